@@ -1,0 +1,46 @@
+"""Deep merge: later values win; maps merge by key, lists by index, other pairs are replaced."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import kinds
+from . import trees
+
+
+def merge_maps(*maps: Column) -> Column:
+    """Overlay of map<string, T> columns (one level); later entries win, null entries too."""
+
+    def two(a: Column, b: Column) -> Column:
+        return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+    return reduce(two, maps)
+
+
+def merge_depth(values: list[Column], depth: int) -> Column:
+    """Merge of VARIANT columns to a fixed small depth, in built-in expressions: below it the later value replaces."""
+
+    def two(a: Column, b: Column, left: int) -> Column:
+        if left <= 0:
+            return b
+        ma, mb = kinds.as_map(a), kinds.as_map(b)
+        la, lb = kinds.as_list(a), kinds.as_list(b)
+        pick = lambda x, y: F.when(y.isNull(), x).when(x.isNull(), y).otherwise(two(x, y, left - 1))
+        as_map = F.to_variant_object(F.map_zip_with(ma, mb, lambda _, x, y: pick(x, y)))
+        as_list = F.to_variant_object(F.zip_with(la, lb, pick))
+        return F.when(kinds.ismap(a) & kinds.ismap(b), as_map).when(kinds.islist(a) & kinds.islist(b), as_list).otherwise(b)
+
+    return reduce(lambda a, b: F.when(b.isNull(), a).when(a.isNull(), b).otherwise(two(a, b, depth)), values)
+
+
+def merge(values: list[Column], maxdepth: int | None = None) -> Column:
+    """Merge of JSON text columns to any depth; JSON text."""
+    return trees.merge_udf(maxdepth)(F.array(*values))
+
+
+def merge_agg(df: DataFrame, by: list[str], order: str, fields: list[str]) -> DataFrame:
+    """Fold the rows of each key in order: of each field, the last value that is there. Pre-aggregates before its shuffle."""
+    return df.groupBy(*by).agg(*(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields))

@@ -1,0 +1,34 @@
+"""walk as a relation: one row for each node of a document, in depth-first order by ord."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAXDEPTH = 32
+
+
+def walk(df: DataFrame, doc: str, keep: list[str], maxdepth: int | None = MAXDEPTH) -> DataFrame:
+    """keep columns, key, path (array), ord (array<int>), depth and value (VARIANT) of all nodes of the VARIANT column doc."""
+    depth = MAXDEPTH if maxdepth is None or maxdepth < 0 else maxdepth
+    view = f"walk_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    own = "".join(f"`{c}`, " for c in keep)
+    above = "".join(f"t.`{c}`, " for c in keep)
+    spark = df.sparkSession
+    return spark.sql(f"""
+        WITH RECURSIVE t AS (
+          SELECT {own} CAST(NULL AS STRING) AS key, CAST(array() AS ARRAY<STRING>) AS path, CAST(array() AS ARRAY<INT>) AS ord, 0 AS depth, `{doc}` AS value FROM {view}
+          UNION ALL
+          SELECT {above} coalesce(e.key, CAST(e.pos AS STRING)), array_append(t.path, coalesce(e.key, CAST(e.pos AS STRING))), array_append(t.ord, e.pos), t.depth + 1, e.value
+          FROM t, LATERAL variant_explode(t.value) AS e WHERE t.depth < {depth}
+        ) SELECT * FROM t""")
+
+
+def leaves(df: DataFrame, doc: str, keep: list[str]) -> DataFrame:
+    """Rows of walk() that have no children."""
+    out = walk(df, doc, keep)
+    schema = F.schema_of_variant("value")
+    return out.where(~(schema.startswith("OBJECT") | schema.startswith("ARRAY")) | F.to_json("value").isin("{}", "[]"))

@@ -26,8 +26,9 @@ BLOCK = 256
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
 _CLASS[0x80:0xC0] = 27 + np.arange(64)
-_CLASS[0xC0:] = 91 + np.arange(64) % 32
-SYMBOLS = 128
+_CLASS[0xC0:] = 95
+_CLASS[[0xC2, 0xC3, 0xC4, 0xC5]] = 91, 92, 93, 94
+SYMBOLS = 96
 
 
 def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

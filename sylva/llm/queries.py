@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import chat, decontaminate, fingerprint, htmltext, langid, linededup, lm, neardup, packing, quality
+from .common import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

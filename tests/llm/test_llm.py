@@ -1,0 +1,374 @@
+"""The training-data operators on small tables: against brute force, and on rows that are odd."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+from sylva.llm import chat, decontaminate, fingerprint, htmltext, langid, linededup, lm, neardup, packing, quality, queries
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep string, gone int, row int"
+LONG = " ".join(f"w{i}" for i in range(30_000))
+
+
+def table(spark, texts):
+    """Texts with ids from 0; (id, text) pairs as they are; columns with names that the operators use inside."""
+    pairs = [x if isinstance(x, tuple) else (i, x) for i, x in enumerate(texts)]
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "r", 1, 2) for i, t in pairs], SCHEMA)
+
+
+ODD = [None, "", " \n\t ", "...", "one", "one two", LONG, LONG, (7, "same row"), (7, "same row"), (None, "no id"), (9, "é ß\nñ"), (9, "other text")]
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def prose(rng, n):
+    return [rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()) + str(rng.randrange(40)) for _ in range(n)]
+
+
+def near_texts():
+    rng = random.Random(3)
+    texts = []
+    for _ in range(6):
+        base = prose(rng, 70)
+        for edits in (0, 0, 1, 1, 2, 3, 5, 9):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    hub = prose(rng, 80)  # a group beyond the short lists
+    for _ in range(90):
+        w = list(hub)
+        for _ in range(rng.choice((1, 2, 3))):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    passage = " ".join(prose(rng, 60))
+    texts += [passage + " " + " ".join(prose(rng, rng.choice((5, 12, 60)))) for _ in range(60)]
+    return texts
+
+
+def components(texts, n):
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return [(i, len(sets[i]), root(i)) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("n", [4, 5])
+def test_near_dedup_is_exact(spark, n):
+    texts = near_texts()
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.cluster(table(spark, texts), n).collect())
+    assert got == components(texts, n)
+
+
+def test_near_dedup_odd_rows(spark):
+    got = neardup.cluster(table(spark, ODD), 4).collect()
+    assert len(got) == len(ODD)
+    by = {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id not in (None, 7, 9)}
+    assert by == {0: (0, 0), 1: (0, 1), 2: (0, 2), 3: (1, 3), 4: (1, 4), 5: (1, 5), 6: (29_997, 6)} | {}
+    assert [r.component_id for r in got if r.doc_id is None] == [None]
+    kept = neardup.dedupe(table(spark, ["a b c d e f", "a b c d e f", None])).orderBy("doc_id").collect()
+    assert [r.doc_id for r in kept] == [0, 2]
+    assert kept[0].rep == "r"
+
+
+def test_line_dedup(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join(prose(rng, n))
+    passage, short = [line(30), line(28)], line(12)
+    one = line(60)
+    texts = ["\n".join([line(20), *passage, short]), "\n".join([short, *passage, line(9)]), "\n".join([line(7), one]), one + "\n" + line(5), line(80), None, "", "\n".join(["x y"] * 60)]
+    got = {r["row"].doc_id: r["row"].text for r in linededup.dedupe_lines(table(spark, texts)).collect()}
+    assert got[0] == texts[0]
+    assert got[1] == "\n".join([texts[1].split("\n")[0], texts[1].split("\n")[3]])
+    assert got[2] == texts[2]
+    assert got[3] == texts[3].split("\n")[1]
+    assert got[4] == texts[4]
+    assert got[5] is None
+    assert got[6] == ""
+    assert got[7] == "\n".join(["x y"] * 25)
+    assert linededup.dedupe_lines(table(spark, ODD)).count() == len(ODD)
+    assert linededup.dedupe(table(spark, ODD)).columns == table(spark, ODD).columns
+
+
+def test_decontamination(spark):
+    rng = random.Random(8)
+    items = [" ".join(prose(rng, n)) for n in (12, 40, 90)]
+    bench = spark.createDataFrame([*enumerate(items), (3, "of the"), (4, None), (5, "")], "item_id long, text string")
+    cut = " ".join(items[2].split()[:80])
+    texts = [" ".join(prose(rng, 500)) + " " + items[0].upper() + ", " + " ".join(prose(rng, 500)), items[1], cut, " ".join(items[2].split()[:60]), "of the of the", None, ""]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, texts), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2)}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(table(spark, texts), bench).collect()) == [3, 4, 5, 6]
+    assert decontaminate.contaminated(table(spark, ODD), bench.where("false")).count() == 0
+
+
+def test_language_id(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got) > 0
+    odd = langid.identify(table(spark, ODD), langid.training_sample(docs)).collect()
+    assert [r.lang_pred for r in odd if r.doc_id in (0, 1, 2, 3)] == ["und"] * 4
+    assert len(odd) == len(ODD)
+    assert all(r.lang_pred == "und" for r in langid.identify(table(spark, ODD), []).collect())
+    assert sorted(r.doc_id for r in langid.keep_identified(table(spark, ["some words", None, "12"])).collect()) == [0]
+
+
+def test_phrases_match_a_plain_parse():
+    import numpy as np
+
+    rng = random.Random(1)
+    train, text = ("".join(rng.choice("abc ") for _ in range(n)) for n in (200, 150))
+    t, _ = langid.symbols(np.frombuffer(train.encode(), np.uint8), np.array([0, len(train)]))
+    s, _ = langid.symbols(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    table, _ = langid.automaton(t)
+    joined, plain = bytes(t), 1
+    phrase = b""
+    for c in s.tolist():
+        if joined.find(phrase + bytes([c])) >= 0:
+            phrase += bytes([c])
+        else:
+            plain, phrase = plain + 1, bytes([c])
+    assert langid.phrases(table, s[:, None], np.array([len(s)])).tolist() == [plain]
+
+
+def test_quality(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = quality.score(docs, model).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.quality for r in got) >= 0.95 * len(got) > 0
+    odd = quality.score(table(spark, ODD), model).collect()
+    assert len(odd) == len(ODD)
+    assert all(0 <= r.score <= 1 for r in odd)
+    assert quality.train(docs, labels.where("false")) is None
+
+
+def test_quality_gradients():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    bags = [rng.normal(size=(k, quality.FEATURES)) for k in (1, 3, 2)]
+    model = quality.fit(bags, [0, 1, 0])
+    x, first, y = np.concatenate(bags), np.array([0, 1, 4, 6]), np.array([0.0, 1, 0])
+    loss = lambda: -np.mean(y * np.log(model._forward(x, first)[-1]) + (1 - y) * np.log(1 - model._forward(x, first)[-1]))
+    grad = model.gradients(x, first, y)
+    for name in ("w", "v", "u", "e", "c"):
+        at = (0,) * model.p[name].ndim
+        old = model.p[name][at]
+        model.p[name][at] = old + 1e-5
+        up = loss()
+        model.p[name][at] = old - 1e-5
+        down = loss()
+        model.p[name][at] = old
+        assert abs((up - down) / 2e-5 - grad[name][at]) < 1e-5
+
+
+def test_lm_score(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(120).union(spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "", "en", "s", 0), (None, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")).cache()
+    rows = docs.collect()
+    toks = [[*words(r.text), None] for r in rows]
+    held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows]
+    uni = Counter(w for t, h in zip(toks, held, strict=True) if not h for w in t)
+    two = Counter(p for t, h in zip(toks, held, strict=True) if not h for p in zip([None, *t], t, strict=False))
+    n, v = sum(uni.values()), len(uni)
+    n1, n2 = (sum(c == k for c in uni.values()) for k in (1, 2))
+    d = min(0.95, max(0.05, n1 / (n1 + 2 * n2)))
+    want = []
+    for r, t, h in zip(rows, toks, held, strict=True):
+        base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t)
+        score = 0
+        for a, w in zip([None, *t], t, strict=False):
+            p = (uni[w] - d if uni[w] else d * v) / n
+            m = lm.MU + lm.SHARE * uni[a]
+            score += math.log10((two[a, w] + m * p) / (uni[a] + m))
+        want.append((r.doc_id or -1, h, len(t), sum(uni[w] > 0 for w in t), n, round(base, 6), round(score, 6)))
+    got = [(r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs).collect()]
+    assert sorted(got) == sorted(want)
+    assert lm.score(docs.where("false")).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><a href=x>Home</a></nav>
+<div class="cookie-notice">We use cookies</div><article><h1>A &amp; B</h1><p>One  <b>bold</b>
+line<p>Two &lt;x&gt;<br>after<script>var t="</p>";</script><div class="ad">Buy</div><section class="comments"><p>Nice!</p></section></article>
+<aside>Side</aside><form>Name <input></form><footer>&copy; us</footer></body></html>"""
+
+
+def test_html_text(spark):
+    pages = [(0, "http://a/1", PAGE), (1, "http://a/2", None), (2, None, ""), (3, "http://a/3", "<p>cut <b"), (3, "http://a/3", "<p>cut <b")]
+    got = htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    text = {r.page_id: r.text for r in got}
+    assert text == {0: "A & B\nOne bold line\nTwo <x>\nafter", 1: "", 2: "", 3: "cut"}
+    assert len(got) == 5
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_html_boilerplate_without_container(spark):
+    rng = random.Random(4)
+    menu = "<div>" + " ".join(prose(rng, 9)) + "</div>"
+    own = [" ".join(prose(rng, 30)) for _ in range(8)]
+    pages = [(i, f"http://h/{i}", f"<body>{menu}<p>{t}</p>{menu}</body>") for i, t in enumerate(own)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(own))
+
+
+def test_suffix_array():
+    import numpy as np
+
+    t = np.array([1, 2, 1, 2, 3, 1, 2, 3])
+    order, shared = htmltext.suffix_array(t)
+    tails = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert order.tolist() == tails
+    lcp = lambda a, b: next((k for k, (x, y) in enumerate(zip(t[a:], t[b:], strict=False)) if x != y), min(len(t) - a, len(t) - b))
+    assert shared.tolist()[1:] == [lcp(a, b) for a, b in zip(tails, tails[1:], strict=False)]
+
+
+def test_fingerprints(spark):
+    texts = ["p one.\np two.", "p two.\np one.", "", None, "x. y. z.\nlast", (4, "again"), (4, "again"), (None, "no id")]
+    docs = table(spark, texts)
+    got = fingerprint.fingerprints(docs).collect()
+    assert len(got) == len(texts)
+    by = {r.doc_id: r for r in got}
+    assert by[0].fingerprint == by[1].fingerprint
+    assert by[2].fingerprint == by[3].fingerprint != by[0].fingerprint
+    assert by[0].near_next == 1.0
+    assert by[1].near_next == 0.0
+    assert by[0].edited_sha256 == hashlib.sha256("p one.\np two."[:7].encode() + b"p two.\n"[:6]).hexdigest()
+    one = fingerprint.fingerprints(table(spark, ["abcd"])).collect()
+    assert one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+    assert fingerprint.fingerprints(table(spark, [])).count() == 0
+
+
+def test_fingerprint_edits_follow_ids(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    want = {}
+    for r, nxt in zip(rows, [*rows[1:], rows[0]], strict=True):
+        half = len(r.text) // 2
+        want[r.doc_id] = (len(r.text), hashlib.sha256((r.text[: len(r.text) - half] + nxt.text[:half]).encode()).hexdigest())
+    got = fingerprint.fingerprints(docs).collect()
+    assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in got} == want
+    assert sum(r.near_edited for r in got) > 3 * sum(r.near_next for r in got)
+
+
+def test_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer())
+    encoder = packing.Encoder.of(queries.tokenizer())
+    texts = ["", "a", "Hello, world.", " lead", "two  spaces", "tab\there", "end\n", "\nstart", "a\n\nb", "it's I'll é ñ ß", "x<|endoftext|>y", "日本 語。", "a,b.c d1 22", "12. a.", "nb sp", "zero​width x", "line sep", "²a b", "it's, a'.", "word. \nnext"]
+    for t in texts:
+        assert list(memoryview(encoder.encode(t)).cast("I")) == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def test_packing(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-5, None), (-6, ""), (None, "x"), (-7, "twice"), (-7, "twice")], "doc_id long, text string"))
+    rows = docs.collect()
+    got = packing.pack(docs, queries.tokenizer()).collect()
+    encoder = packing.Encoder.of(queries.tokenizer())
+    want = Counter()
+    for r in rows:
+        ids = encoder.encode(r.text or "") + b"\0\0\0\0"
+        n, at = len(ids) // 4, 0
+        for k, size in enumerate([n % 2048 or 2048, *[2048] * ((n - 1) // 2048)][: -(-n // 2048)]):
+            want[r.doc_id, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])] += 1
+            at += size
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(docs.where("false"), queries.tokenizer()).count() == 0
+
+
+def test_plan_is_tight():
+    rng = random.Random(2)
+    for _ in range(3):
+        counts = Counter(min(2048, int(rng.lognormvariate(6.3, 0.9)) + 1) for _ in range(3000))
+        fillings = packing.plan(dict(counts))
+        used = Counter()
+        for chosen, times in fillings:
+            assert sum(chosen) <= packing.CAPACITY
+            for n in chosen:
+                used[n] += times
+        assert used == counts
+        bound = -(-sum(n * c for n, c in counts.items()) // packing.CAPACITY)
+        assert sum(t for _, t in fillings) <= bound + 2
+    assert sum(t for _, t in packing.plan({1100: 5})) == 5
+    assert packing.plan({}) == []
+
+
+def test_chat(spark):
+    probe = "</s>[INST] ok [/INST] \\ \\<s>"
+    rng = random.Random(6)
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", probe), (1, 2, "assistant", probe), (2, 0, "user", None), (2, 1, None, "x"), (2, 1, None, "x"), (None, 0, "assistant", "lost"), (4, 0, "assistant", LONG[:9000])]
+    rows += [(3, k, ("system", "user", "assistant")[0 if k == 0 else 1 + k % 2], " ".join(prose(rng, rng.randrange(1, 150)))) for k in range(60)]
+    convs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.windows(convs, queries.tokenizer())
+    got = {r.conv_id: r for r in chat.digests(made).collect()}
+    for c in (1, 2, 3, 4, None):
+        own = sorted(((t, r or "", x or "") for i, t, r, x in rows if i == c), key=lambda x: x)
+        target = "".join(x for _, r, x in own if r == "assistant")
+        assert got[c].n_turns == len(own)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(target), hashlib.sha256(target.encode()).hexdigest())
+    windows = sorted((r for r in made.collect() if r.conv_id == 3), key=lambda r: r.window)
+    assert len(windows) > 3
+    assert all(r.n_tokens <= chat.BUDGET or r.n_turns == r.repeated + 1 for r in windows)
+    assert all(chat.read_back(r.text)[0][0] == "system" for r in windows)
+    assert any(r.repeated > 1 for r in windows)
+    assert sum(r.n_turns - r.repeated for r in windows) == 60
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert 0 < len(texts)
+    ids = {r.doc_id for r in corpus_pipeline.run(spark, DATA).select("doc_id").distinct().collect()}
+    assert ids == set(texts)
+    odd = table(spark, ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd, DATA).count() >= 0, name
+        assert stage(spark, odd.where("false"), DATA).count() == 0, name
+
+
+def test_queries_are_registered():
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert not set(entry.oracle_sql()) - set(names)
+
+

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import kinds, nodes, paths, scalars
-from .operators import trees
+from .operators import shapes, trees
 from .operators.merge import merge_agg, merge_depth, merge_maps
 from .operators.select import select, select_list
 from .operators.transform import inject, transform
@@ -448,3 +448,15 @@ def transform_tree(spark, d):
 def merge_tree(spark, d):
     m = trees.merge_udf()(F.array(F.lit(json.dumps({"k": None, "a": [1, 5]})), F.col("props"), F.lit('{"a":{}}'), F.lit('{"a":[1,2]}')))
     return table(spark, d, "events").select("event_id", m.alias("merged"))
+
+
+@query("SELECT event_id, '{\"k\":' || k || ',\"n\":5}' AS out, CASE WHEN k IN ('1', '2') THEN '' ELSE 'Expected field k to be exactly equal to one of 1, 2, but found integer: ' || k || '.' END AS errs FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)")
+def validate_tree(spark, d):
+    f = shapes.validate_udf({"k": ["`$EXACT`", 1, 2], "n": 5})
+    return table(spark, d, "events").select("event_id", f(F.col("props")).alias("v")).select("event_id", "v.out", "v.errs")
+
+
+@query("SELECT event_id, CASE WHEN k < 50 THEN '[' ELSE '[{\"a\":' || CAST(k AS VARCHAR) || ',\"$KEY\":\"x\"},' END || '{\"a\":50,\"$KEY\":\"y\"}]' AS picked FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+def select_tree(spark, d):
+    children = F.format_string('{"y":{"a":50},"x":{"a":%s},"z":"a"}', F.get_json_object("props", "$.k"))
+    return table(spark, d, "events").select("event_id", shapes.select_udf({"a": {"`$GTE`": 50}})(children).alias("picked"))

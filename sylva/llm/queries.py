@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, decontaminate, fingerprint, htmltext, langid, linededup, lm, neardup, packing, quality
+from . import chat, decontaminate, fingerprint, htmltext, langid, linededup, lm, neardup, packing, quality, sql
 from .common import small_batches
 
 
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE)

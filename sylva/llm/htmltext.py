@@ -1,28 +1,39 @@
-"""Main text of web pages: block structure plus a suffix array over each host's pages.
+"""Main text of web pages: a suffix array over each host's pages, with block structure as a weight.
 
-A page is parsed to blocks of text. Blocks in an article (or, without one, in main) are its text; menus, headers,
-footers, sidebars, forms and what its class, id or role names as adverts, notices or comments never are. The rest
-is in doubt: everything outside a container on pages that have none, and link lists inside one. The words
-of doubtful blocks of a host's pages, in shards of about SHARD pages, are concatenated and
-sorted as a suffix array; runs of RUN words or more that distinct pages share are boilerplate. A
-doubtful block that such runs cover by half or more goes; unique ones stay.
+A page is parsed to blocks of text; all of them are its token stream. In shards of about SHARD pages of a host the
+streams are sorted as a suffix array, which gives the runs of RUN words (and whole blocks of fewer) that distinct
+pages share. A run that SHARE of the host's pages have is one that SHARE of some shard's pages have: the shards name
+these, count all that were named, and the sums are the host's exact counts, however its pages are dealt.
 
-Edge cases: null and empty html give the empty text; unclosed and cut-off markup ends with the page; pages with the same
-doubtful words count as one page; null urls are one host; rows that repeat are extracted each; an empty
+A block goes if runs that enough pages have cover half of its words. Enough is a share of the host's pages, by where the block
+stands: SHARE of them (2 at least) where structure says nothing (no container, outside of it, link lists inside it),
+SURE_SHARE of them (SURE_LEAST at least) in an article, or in main on pages without one. Menus, footers, forms and what its
+class, id or role names as adverts, notices or comments is compared with the rest and never kept.
+
+Edge cases: null and empty html give the empty text; unclosed and cut-off markup ends with the page; pages of a host with the
+same blocks count as one page; null urls are one host; rows that repeat are extracted each; an empty
 table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
+import json
+import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN, SHARD = 4, 512
+from .common import materialize, shingles, words
+
+RUN, SHARD = 8, 512
+#: A run is boilerplate if this share of the host's pages have it, and so many at least; for blocks of the container after that.
+SHARE, LEAST, SURE_SHARE, SURE_LEAST = 0.1, 2, 0.5, 5
 #: Hosts of more than SHARD pages that may be broadcast (name and number of shards).
 BROADCAST_HOSTS = 50_000
 
@@ -61,10 +72,11 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> str:
 
 
 def parse(page: str) -> list[tuple[str, int, bool]]:
-    """Blocks in page order: text, container (0 none, 1 main, 2 article), mostly links; unwanted ones are left out."""
+    """Blocks in page order: text, container (-1 unwanted, 0 none, 1 main, 2 article), mostly links."""
     blocks: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, str]] = []  # open elements with what is wrong with them
     text: list[str] = []
+    unwanted: list[str] = []
     linked = [0]
     state = {"bad": 0, "article": 0, "main": 0, "a": 0}
 
@@ -75,6 +87,11 @@ def parse(page: str) -> list[tuple[str, int, bool]]:
                 blocks.append((whole, 2 if state["article"] else 1 if state["main"] else 0, linked[0] * 2 > len(whole)))
             text.clear()
             linked[0] = 0
+        if unwanted:
+            whole = _SPACE.sub(" ", htmllib.unescape("".join(unwanted))).strip()
+            if whole:
+                blocks.append((whole, -1, False))
+            unwanted.clear()
 
     def count(tag: str, why: str, step: int) -> None:
         state["bad"] += step * bool(why)
@@ -85,7 +102,9 @@ def parse(page: str) -> list[tuple[str, int, bool]]:
     while at <= len(page):
         m = _TAG.search(page, at)
         piece = page[at : m.start() if m else len(page)]
-        if piece and not state["bad"]:
+        if piece and state["bad"]:
+            unwanted.append(piece)
+        elif piece:
             text.append(piece)
             if state["a"]:
                 linked[0] += len(piece)
@@ -150,83 +169,184 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def boilerplate(pages: list[list[list[str]]]) -> list[list[bool]]:
-    """For the doubtful blocks (lists of words) of each page of a host: whether shared runs cover half of it."""
-    streams: dict[tuple, int] = {}
-    for p in pages:
-        streams.setdefault(tuple(map(tuple, p)), len(streams))
-    code: dict[str, int] = {}
-    tokens, owner = [], []
-    for stream, k in streams.items():
-        for block in stream:
-            tokens += [code.setdefault(w, len(code)) for w in block]
-            owner += [k] * len(block)
-        tokens.append(-1 - k)  # no run crosses pages
-        owner.append(k)
-    t, own = np.array(tokens, np.int64), np.array(owner, np.int64)
-    covered = np.zeros(len(t) + 1, np.int64)
-    if len(t):
-        order, shared = suffix_array(t)
-        group = np.cumsum(shared < RUN)  # suffixes that share a run of RUN words stand together
-        pair = np.unique(group * (len(streams) + 1) + own[order])
-        spread = np.bincount(pair // (len(streams) + 1), minlength=int(group[-1]) + 1)
-        least = 2 if len(streams) < 6 else 3
-        starts = order[spread[group] >= least]
-        np.add.at(covered, starts, 1)
-        np.add.at(covered, np.minimum(starts + RUN, len(t)), -1)
-    flag = np.cumsum(covered)[:-1] > 0
-    flag &= t >= 0
-    result, at = {}, 0
-    for stream in streams:
-        rows = []
-        for block in stream:
-            rows.append(bool(len(block)) and 2 * int(flag[at : at + len(block)].sum()) >= len(block))
-            at += len(block)
-        at += 1
-        result[stream] = rows
-    return [result[tuple(map(tuple, p))] for p in pages]
-
-
-_BLOCKS = "array<struct<text: string, sure: boolean>>"
-
-
-def _choose(blocks: list[tuple[str, int, bool]]) -> list[dict]:
+#: Where a block stands: never kept, in doubt, in the container.
+NEVER_KEPT, DOUBT, SURE = 0, 1, 2
+
+
+def _weigh(blocks: list[tuple[str, int, bool]]) -> list[tuple[str, int]]:
+    """All blocks, with where they stand."""
     best = max((c for _, c, _ in blocks), default=0)
+    return [(text, NEVER_KEPT if c < 0 else SURE if c == best > 0 and not links else DOUBT) for text, c, links in blocks]
+
+
+def _pack(blocks: list[tuple[str, int]]) -> bytes:
+    return zlib.compress(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "surrogatepass"), 6)
+
+
+def _unpack(blob: bytes) -> list[list]:
+    return json.loads(zlib.decompress(blob).decode("utf-8", "surrogatepass"))
+
+
+def _hashes(page: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a page's stream, and each block's first word."""
+    raw = [text.encode("utf-8", "surrogatepass") for text, _ in page]
+    return words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
+def _units(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of RUN words of a page's stream (by start), and its blocks of fewer words: which, and their hashes."""
+    runs, _ = shingles(w, np.array([0, len(w)]), RUN, short=False)
+    whole, first = shingles(w, at, RUN)
+    few = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < RUN))
+    return runs, few, whole[first[few]]
+
+
+def shared_runs(pages: list[list[list]], share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs and short blocks that so many of the distinct pages have, and how many do."""
+    empty = np.zeros(0, np.uint64)
+    made = [_hashes(p) for p in pages]
+    units = [_units(w, at) for w, at in made]
+    least = max(least, math.ceil(share * len(pages) - 1e-9))
+    # short blocks, once for each page
+    value, count = np.unique(np.concatenate([empty, *(np.unique(u[2]) for u in units)]), return_counts=True)
+    value, count = value[count >= least], count[count >= least]
+    size = np.array([len(w) + 1 for w, _ in made], np.int64)
+    n = int(size.sum())
+    ends = np.cumsum(size) - 1
+    t = np.zeros(n, np.int64)
+    inside = np.ones(n, bool)
+    inside[ends] = False
+    t[inside] = np.unique(np.concatenate([empty, *(w for w, _ in made)]), return_inverse=True)[1]
+    t[ends] = -1 - np.arange(len(pages))  # no run crosses pages
+    own = np.repeat(np.arange(len(pages)), size)
+    name = np.zeros(n, np.uint64)
+    for start, (runs, _, _) in zip(ends - size + 1, units, strict=True):
+        name[start : start + len(runs)] = runs
+    order, shared = suffix_array(t)
+    group = np.cumsum(shared < RUN) - 1  # suffixes that share a run of RUN words stand together
+    pair = np.unique(group * len(pages) + own[order])
+    spread = np.bincount(pair // len(pages))
+    head = order[np.flatnonzero(shared < RUN)]
+    full = ends[own[head]] - head >= RUN
+    take = full & (spread >= least)
+    return np.concatenate([value, name[head[take]]]), np.concatenate([count, spread[take]])
+
+
+def gone(page: list[list], runs: np.ndarray, counts: np.ndarray, total: int) -> list[bool]:
+    """Which blocks of a page go; runs (sorted) with the pages that have them, of the host's total."""
+    w, at = _hashes(page)
+    own, few, whole = _units(w, at)
+
+    def pages_of(h: np.ndarray) -> np.ndarray:
+        if not len(runs):
+            return np.zeros(len(h), np.int64)
+        k = np.minimum(np.searchsorted(runs, h), len(runs) - 1)
+        return np.where(runs[k] == h, counts[k], 0)
+
+    spread, found = np.zeros(len(w), np.int64), pages_of(own)
+    for d in range(RUN):
+        spread[d : d + len(own)] = np.maximum(spread[d : d + len(own)], found)
+    alone = dict(zip(few.tolist(), pages_of(whole).tolist(), strict=True))
     out = []
-    for text, container, links in blocks:
-        if container == best:
-            out.append({"text": text, "sure": best > 0 and not links})
+    for k, (_, where) in enumerate(page):
+        share, least = (SURE_SHARE, SURE_LEAST) if where == SURE else (SHARE, LEAST)
+        least = max(least, math.ceil(share * total - 1e-9))
+        part = spread[at[k] : at[k + 1]]
+        out.append(where == NEVER_KEPT or alone.get(k, 0) >= least or len(part) > 0 and 2 * int((part >= least).sum()) >= len(part))
     return out
 
 
+def _distinct(blobs: pa.ChunkedArray) -> list[list[list]]:
+    return [_unpack(b) for b in dict.fromkeys(blobs.to_pylist())]
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.uint64).view(np.int64), pa.int64())
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    kind = pa.list_(pa.struct([("text", pa.string()), ("sure", pa.bool_())]))
-
-    def read(batches):
-        for batch in batches:
-            col = batch.column("html")
-            made = pa.array([_choose(parse(x.as_py() or "")) for x in col], kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), made], names=["page_id", "url", "host", "blocks"])
-
-    parsed = rows.mapInArrow(read, f"page_id long, url string, host string, blocks {_BLOCKS}")
     # only hosts of several shards are looked up: broadcast while they are few, else joined by a shuffle
     large = rows.groupBy("host").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards")).where("shards > 1")
-    few = large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    parsed = parsed.join(F.broadcast(large) if few else large, "host", "left")
-    # one column to group by, so that a host's shards are dealt apart
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1)))
-    parsed = parsed.withColumn("bin", F.concat_ws(" ", shard.cast("string"), "host"))
-
-    def clean(table: pa.Table) -> pa.Table:
-        found = table.column("blocks").to_pylist()
-        doubt = boilerplate([[b["text"].split() for b in p if not b["sure"]] for p in found])
+    found = large.limit(BROADCAST_HOSTS + 1).count()
+
+    def parsed(once: bool, only_large: bool = False) -> DataFrame:
+        """The rows with their blocks; once: a task leaves out blocks that it has seen on the host."""
+
+        def read(batches):
+            seen = set()
+            for batch in batches:
+                blobs = [_pack(_weigh(parse(x.as_py() or ""))) for x in batch.column("html")]
+                digest = [int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True) for b in blobs]
+                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "shards")), pa.array(digest, pa.int64()), pa.array(blobs, pa.binary())], names=["page_id", "url", "host", "shards", "digest", "blob"])
+                if once:
+                    keys = list(zip(batch.column("host").to_pylist(), digest, strict=True))
+                    out = out.filter(pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_()))
+                yield out
+
+        some = rows.join(F.broadcast(large) if found <= BROADCAST_HOSTS else large, "host", "inner" if only_large else "left")
+        some = some.select("page_id", "url", "host", F.coalesce("shards", F.lit(1)).alias("shards"), "html")
+        return some.mapInArrow(read, "page_id long, url string, host string, shards int, digest long, blob binary")
+
+    def dealt(df: DataFrame, by) -> DataFrame:
+        # one column to group by, so that a host's shards are dealt apart
+        return df.withColumn("bin", F.concat_ws(" ", by.cast("string"), "host"))
+
+    def to_all(df: DataFrame) -> DataFrame:
+        return dealt(df.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))), F.col("k"))
+
+    # equal blocks meet in one shard
+    by_content = F.pmod("digest", "shards")
+
+    def name(table: pa.Table) -> pa.Table:
+        distinct, shards = _distinct(table.column("blob")), table.column("shards")[0].as_py()
+        runs, n = shared_runs(distinct, SHARE, LEAST if shards == 1 else 1)
+        size = len(runs) + 1
+        run = pa.concat_arrays([pa.array([None], pa.int64()), _signed(runs)])  # the first row has the number of pages
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * size, pa.string()), "shards": pa.array([shards] * size, pa.int32()), "run": run, "n": pa.array([len(distinct), *n.tolist()], pa.int64())})
+
+    named = materialize(dealt(parsed(True), by_content).select("bin", "host", "shards", "blob").groupBy("bin").applyInArrow(name, "host string, shards int, run long, n long"))
+    total = named.where("run is null").groupBy("host").agg(F.sum("n").alias("total"))
+    runs = named.where("run is not null and shards = 1").select("host", "shards", "run", "n")
+    if found:
+
+        def count(pages: pa.Table, wanted: pa.Table) -> pa.Table:
+            none = pa.table({"host": pa.array([], pa.string()), "shards": pa.array([], pa.int32()), "run": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+            if not len(pages) or not len(wanted):
+                return none
+            want = np.sort(wanted.column("run").to_numpy().view(np.uint64))
+            n = np.zeros(len(want), np.int64)
+            for page in _distinct(pages.column("blob")):
+                own, _, whole = _units(*_hashes(page))
+                h = np.unique(np.concatenate([own, whole]))
+                k = np.minimum(np.searchsorted(want, h), len(want) - 1)
+                n[k[want[k] == h]] += 1
+            has = n > 0
+            size = int(has.sum())
+            return pa.table({"host": pa.array([pages.column("host")[0].as_py()] * size, pa.string()), "shards": pa.array([pages.column("shards")[0].as_py()] * size, pa.int32()), "run": _signed(want[has]), "n": pa.array(n[has])})
+
+        wanted = to_all(named.where("run is not null and shards > 1").select("host", "shards", "run").distinct()).select("bin", "run")
+        many = dealt(parsed(True, only_large=True), by_content).select("bin", "host", "shards", "blob")
+        exact = many.groupBy("bin").cogroup(wanted.groupBy("bin")).applyInArrow(count, "host string, shards int, run long, n long")
+        runs = runs.unionByName(exact.groupBy("host", "shards", "run").agg(F.sum("n").alias("n")))
+    flagged = runs.join(total, "host").where(f"n >= greatest({LEAST}, ceil({SHARE}D * total - 1e-9D))")
+    flagged = materialize(flagged.groupBy("host", "shards", "total").agg(F.collect_list("run").alias("run"), F.collect_list("n").alias("n")))
+
+    def clean(pages: pa.Table, found: pa.Table) -> pa.Table:
+        run, n, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 1
+        if len(found):
+            run, n = np.array(found.column("run")[0].as_py(), np.int64).view(np.uint64), np.array(found.column("n")[0].as_py(), np.int64)
+            total = found.column("total")[0].as_py()
+            order = np.argsort(run)
+            run, n = run[order], n[order]
         texts = []
-        for blocks, gone in zip(found, doubt, strict=True):
-            flags = iter(gone)
-            texts.append("\n".join(b["text"] for b in blocks if b["sure"] or not next(flags)))
-        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+        for blob in pages.column("blob"):
+            page = _unpack(blob.as_py())
+            texts.append("\n".join(text for (text, _), out in zip(page, gone(page, run, n, total), strict=True) if not out))
+        return pa.table({"page_id": pages.column("page_id"), "url": pages.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return parsed.select("bin", "page_id", "url", "blocks").groupBy("bin").applyInArrow(clean, "page_id long, url string, text string, n_chars long")
+    every = dealt(parsed(False), F.pmod(F.xxhash64("page_id", "url"), "shards")).select("bin", "page_id", "url", "blob")
+    lists = to_all(flagged).select("bin", "run", "n", "total")
+    return every.groupBy("bin").cogroup(lists.groupBy("bin")).applyInArrow(clean, "page_id long, url string, text string, n_chars long")

@@ -384,3 +384,35 @@ def test_query_equals_its_sql(spark, name):
     names = sorted(want.columns)
     assert sorted(got.columns) == names
     assert sorted(got[names].itertuples(index=False, name=None)) == sorted(want[names].itertuples(index=False, name=None))
+
+
+def extracted(spark, pages):
+    return {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_html_site_text_inside_the_article_goes(spark):
+    rng = random.Random(14)
+    site = " ".join(prose(rng, 20))
+    own = [" ".join(prose(rng, 40)) for _ in range(12)]
+    extra = " ".join(prose(rng, 30))  # unique, outside the article
+    pages = [(i, f"http://h/{i}", f"<body><article><p>{t}</p><p>{site}</p></article>{f'<div>{extra}</div>' if i == 3 else ''}</body>") for i, t in enumerate(own)]
+    assert extracted(spark, pages) == dict(enumerate(own)) | {3: own[3] + "\n" + extra}
+
+
+def test_html_equal_doubtful_blocks_count_for_each_page(spark):
+    rng = random.Random(15)
+    links = "<div><a href=x>" + " ".join(prose(rng, 12)) + "</a></div>"
+    own = [" ".join(prose(rng, 40)) for _ in range(8)]
+    pages = [(i, f"http://h/{i}", f"<body><main><p>{t}</p>{links}</main></body>") for i, t in enumerate(own)]
+    assert extracted(spark, pages) == dict(enumerate(own))
+
+
+def test_html_runs_are_counted_over_the_whole_host(spark, monkeypatch):
+    rng = random.Random(16)
+    own = [" ".join(prose(rng, 25)) for _ in range(40)]
+    lines = {k: " ".join(prose(rng, 15)) for k in (2, 3, 4, 5, 9)}  # a line that so many pages have
+    pages = [(i, f"http://h/{i}", f"<body><p>{t}</p>{''.join(f'<p>{x}</p>' for k, x in lines.items() if i < k)}</body>") for i, t in enumerate(own)]
+    want = {i: "\n".join([t, *(x for k, x in lines.items() if i < k < 4)]) for i, t in enumerate(own)}  # a tenth of 40 pages
+    assert extracted(spark, pages) == want
+    monkeypatch.setattr(htmltext, "SHARD", 7)
+    assert extracted(spark, pages) == want

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shingles, words
+from .linededup import _runs as sequence_hashes
 
 RUN, SHARD = 8, 512
 #: A run is boilerplate if this share of the host's pages have it, and so many at least; for blocks of the container after that.
@@ -147,12 +148,13 @@ def parse(page: str) -> list[tuple[str, int, bool]]:
     return blocks
 
 
-def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of all suffixes, compared over 32 tokens, and the shared length of each with the one before it."""
+def suffix_array(tokens: np.ndarray, depth: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Order of all suffixes, compared over depth tokens (a power of 2), and the shared length of each with the one before it."""
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
     levels = [rank]
-    for k in (1, 2, 4, 8, 16):
+    steps = [1 << k for k in range(depth.bit_length())]
+    for k in steps[:-1]:
         after = np.zeros(n, np.int64)
         after[: max(0, n - k)] = rank[k:]
         rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
@@ -160,7 +162,7 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(rank, kind="stable")
     shared = np.zeros(n, np.int64)
     a, b = order[1:].copy(), order[:-1].copy()
-    for size, level in zip((32, 16, 8, 4, 2, 1), levels[::-1], strict=True):
+    for size, level in zip(steps[::-1], levels[::-1], strict=True):
         ok = (a < n) & (b < n)
         ok[ok] = level[a[ok]] == level[b[ok]]
         shared[1:][ok] += size
@@ -180,7 +182,7 @@ def _weigh(blocks: list[tuple[str, int, bool]]) -> list[tuple[str, int]]:
 
 
 def _pack(blocks: list[tuple[str, int]]) -> bytes:
-    return zlib.compress(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "surrogatepass"), 6)
+    return zlib.compress(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "surrogatepass"), 1)
 
 
 def _unpack(blob: bytes) -> list[list]:
@@ -196,9 +198,8 @@ def _hashes(page: list[list]) -> tuple[np.ndarray, np.ndarray]:
 def _units(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of RUN words of a page's stream (by start), and its blocks of fewer words: which, and their hashes."""
     runs, _ = shingles(w, np.array([0, len(w)]), RUN, short=False)
-    whole, first = shingles(w, at, RUN)
     few = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < RUN))
-    return runs, few, whole[first[few]]
+    return runs, few, sequence_hashes(w, at[few], at[few + 1])
 
 
 def shared_runs(pages: list[list[list]], share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +223,7 @@ def shared_runs(pages: list[list[list]], share: float, least: int) -> tuple[np.n
     name = np.zeros(n, np.uint64)
     for start, (runs, _, _) in zip(ends - size + 1, units, strict=True):
         name[start : start + len(runs)] = runs
-    order, shared = suffix_array(t)
+    order, shared = suffix_array(t, RUN)
     group = np.cumsum(shared < RUN) - 1  # suffixes that share a run of RUN words stand together
     pair = np.unique(group * len(pages) + own[order])
     spread = np.bincount(pair // len(pages))
@@ -272,23 +273,23 @@ def extract(pages: DataFrame) -> DataFrame:
     large = rows.groupBy("host").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards")).where("shards > 1")
     found = large.limit(BROADCAST_HOSTS + 1).count()
 
-    def parsed(once: bool, only_large: bool = False) -> DataFrame:
-        """The rows with their blocks; once: a task leaves out blocks that it has seen on the host."""
+    def read(batches):
+        for batch in batches:
+            blobs = [_pack(_weigh(parse(x.as_py() or ""))) for x in batch.column("html")]
+            digest = [int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True) for b in blobs]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "shards")), pa.array(digest, pa.int64()), pa.array(blobs, pa.binary())], names=["page_id", "url", "host", "shards", "digest", "blob"])
 
-        def read(batches):
-            seen = set()
-            for batch in batches:
-                blobs = [_pack(_weigh(parse(x.as_py() or ""))) for x in batch.column("html")]
-                digest = [int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True) for b in blobs]
-                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "shards")), pa.array(digest, pa.int64()), pa.array(blobs, pa.binary())], names=["page_id", "url", "host", "shards", "digest", "blob"])
-                if once:
-                    keys = list(zip(batch.column("host").to_pylist(), digest, strict=True))
-                    out = out.filter(pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_()))
-                yield out
+    def once(batches):
+        # a task leaves out blocks that it has seen on the host
+        seen = set()
+        for batch in batches:
+            keys = zip(batch.column("host").to_pylist(), batch.column("digest").to_pylist(), strict=True)
+            yield batch.filter(pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_()))
 
-        some = rows.join(F.broadcast(large) if found <= BROADCAST_HOSTS else large, "host", "inner" if only_large else "left")
-        some = some.select("page_id", "url", "host", F.coalesce("shards", F.lit(1)).alias("shards"), "html")
-        return some.mapInArrow(read, "page_id long, url string, host string, shards int, digest long, blob binary")
+    rows = rows.join(F.broadcast(large) if found <= BROADCAST_HOSTS else large, "host", "left")
+    rows = rows.select("page_id", "url", "host", F.coalesce("shards", F.lit(1)).alias("shards"), "html")
+    parsed = materialize(rows.mapInArrow(read, "page_id long, url string, host string, shards int, digest long, blob binary"))
+    distinct = parsed.select("host", "shards", "digest", "blob").mapInArrow(once, "host string, shards int, digest long, blob binary")
 
     def dealt(df: DataFrame, by) -> DataFrame:
         # one column to group by, so that a host's shards are dealt apart
@@ -301,13 +302,13 @@ def extract(pages: DataFrame) -> DataFrame:
     by_content = F.pmod("digest", "shards")
 
     def name(table: pa.Table) -> pa.Table:
-        distinct, shards = _distinct(table.column("blob")), table.column("shards")[0].as_py()
-        runs, n = shared_runs(distinct, SHARE, LEAST if shards == 1 else 1)
+        pages, shards = _distinct(table.column("blob")), table.column("shards")[0].as_py()
+        runs, n = shared_runs(pages, SHARE, LEAST if shards == 1 else 1)
         size = len(runs) + 1
         run = pa.concat_arrays([pa.array([None], pa.int64()), _signed(runs)])  # the first row has the number of pages
-        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * size, pa.string()), "shards": pa.array([shards] * size, pa.int32()), "run": run, "n": pa.array([len(distinct), *n.tolist()], pa.int64())})
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * size, pa.string()), "shards": pa.array([shards] * size, pa.int32()), "run": run, "n": pa.array([len(pages), *n.tolist()], pa.int64())})
 
-    named = materialize(dealt(parsed(True), by_content).select("bin", "host", "shards", "blob").groupBy("bin").applyInArrow(name, "host string, shards int, run long, n long"))
+    named = materialize(dealt(distinct, by_content).select("bin", "host", "shards", "blob").groupBy("bin").applyInArrow(name, "host string, shards int, run long, n long"))
     total = named.where("run is null").groupBy("host").agg(F.sum("n").alias("total"))
     runs = named.where("run is not null and shards = 1").select("host", "shards", "run", "n")
     if found:
@@ -328,7 +329,7 @@ def extract(pages: DataFrame) -> DataFrame:
             return pa.table({"host": pa.array([pages.column("host")[0].as_py()] * size, pa.string()), "shards": pa.array([pages.column("shards")[0].as_py()] * size, pa.int32()), "run": _signed(want[has]), "n": pa.array(n[has])})
 
         wanted = to_all(named.where("run is not null and shards > 1").select("host", "shards", "run").distinct()).select("bin", "run")
-        many = dealt(parsed(True, only_large=True), by_content).select("bin", "host", "shards", "blob")
+        many = dealt(distinct.where("shards > 1"), by_content).select("bin", "host", "shards", "blob")
         exact = many.groupBy("bin").cogroup(wanted.groupBy("bin")).applyInArrow(count, "host string, shards int, run long, n long")
         runs = runs.unionByName(exact.groupBy("host", "shards", "run").agg(F.sum("n").alias("n")))
     flagged = runs.join(total, "host").where(f"n >= greatest({LEAST}, ceil({SHARE}D * total - 1e-9D))")
@@ -347,6 +348,6 @@ def extract(pages: DataFrame) -> DataFrame:
             texts.append("\n".join(text for (text, _), out in zip(page, gone(page, run, n, total), strict=True) if not out))
         return pa.table({"page_id": pages.column("page_id"), "url": pages.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    every = dealt(parsed(False), F.pmod(F.xxhash64("page_id", "url"), "shards")).select("bin", "page_id", "url", "blob")
+    every = dealt(parsed, F.pmod(F.xxhash64("page_id", "url"), "shards")).select("bin", "page_id", "url", "blob")
     lists = to_all(flagged).select("bin", "run", "n", "total")
     return every.groupBy("bin").cogroup(lists.groupBy("bin")).applyInArrow(clean, "page_id long, url string, text string, n_chars long")

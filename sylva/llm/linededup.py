@@ -1,11 +1,12 @@
 """Line dedup by winnowing over line hashes.
 
 A document is its sequence of lines that have a word; lines are equal if their words are (A-Z
-lower-cased). A window is the shortest run of lines from some line on with MIN_WORDS words, a
-gram the shortest with GRAM_WORDS. Every window selects its smallest gram (the last of equals);
-that minimum with the window's own hash is a fingerprint, so any repeated run of whole lines of
-MIN_WORDS words has one. Each fingerprint is joined with its first occurrence by (doc_id, hash of
-the text, line); the match is extended both ways while lines agree, and the later run's lines go.
+lower-cased). A window is the shortest run of lines from some line on, or up to some line, with MIN_WORDS
+words, a gram the shortest from a line on with GRAM_WORDS. Every window selects its smallest gram;
+that minimum with the window's own hash is a fingerprint. Each is joined with its first occurrence by
+(doc_id, hash of the text, line), and the lines of all later windows go. The windows from and up to its lines cover
+any run of MIN_WORDS words, and each of them repeats where the run does: so a line goes exactly if it is in a run
+of whole lines of MIN_WORDS words that occurs before, whichever documents have its parts first.
 
 Edge cases: null, empty and wordless texts stay as they are; rows that repeat doc_id and text are one
 document and stay alike; null ids come first; lines without words inside a deleted run stay;
@@ -25,7 +26,7 @@ from .common import materialize, mix, text_chunks
 
 MIN_WORDS, GRAM_WORDS = 50, 25
 
-_SEQ = "id long, th long, line array<int>, h array<long>, w array<int>, pos array<int>, gram array<long>, win array<long>"
+_SEQ = "id long, th long, line array<int>, pos array<int>, end array<int>, gram array<long>, win array<long>"
 
 
 def _runs(values: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -51,10 +52,10 @@ def line_units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return line[us], _runs(w, us, ue), ue - us, np.searchsorted(us, at)
 
 
-def winnow(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of all documents: first line, smallest gram and the window's own hash."""
+def winnow(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of all documents: first line, end, smallest gram and the window's own hash."""
     n = len(h)
-    end = np.repeat(at[1:], np.diff(at))
+    begin, end = np.repeat(at[:-1], np.diff(at)), np.repeat(at[1:], np.diff(at))
     cum = np.concatenate([[0], np.cumsum(w)])
     i = np.arange(n)
     g = np.searchsorted(cum, cum[:-1] + GRAM_WORDS)  # the run [i, g)
@@ -62,13 +63,20 @@ def winnow(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np
     gram = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     ok = g <= end
     gram[ok] = _runs(h, i[ok], g[ok])
-    start = i[e <= end]
-    last = np.searchsorted(g, e[start], "right") - 1
+    start, stop = i[e <= end], e[e <= end]
+    # up to line i, where no window from a line on is the same
+    s = np.searchsorted(cum, cum[1:] - MIN_WORDS, "right") - 1
+    back = (cum[1:] - MIN_WORDS >= 0) & (s >= begin)
+    back[back] = e[s[back]] != i[back] + 1
+    start, stop = np.concatenate([start, s[back]]), np.concatenate([stop, i[back] + 1])
+    order = np.lexsort((stop, start))
+    start, stop = start[order], stop[order]
+    last = np.searchsorted(g, stop, "right") - 1
     best = gram[start].copy()
     for d in range(1, int((last - start).max(initial=0)) + 1):
         m = start + d <= last
         best[m] = np.minimum(best[m], gram[start[m] + d])
-    return start, best, _runs(h, start, e[start])
+    return start, stop, best, _runs(h, start, stop)
 
 
 def sequences(docs: DataFrame) -> DataFrame:
@@ -78,68 +86,45 @@ def sequences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b, data, offs in text_chunks(batch.column("text")):
                 line, h, w, at = line_units(data, offs)
-                pos, gram, win = winnow(h, w, at)
+                pos, end, gram, win = winnow(h, w, at)
                 first = np.searchsorted(pos, at)
-                own = pos - at[np.searchsorted(at, pos, "right") - 1]
+                base = at[np.searchsorted(at, pos, "right") - 1]
                 part = batch.slice(a, b - a)
 
                 def lists(at, values, kind):
                     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64) if kind == pa.int64() else values, kind))
 
-                out = [part.column("id"), part.column("th"), lists(at, line, pa.int32()), lists(at, h, pa.int64()), lists(at, w, pa.int32()), lists(first, own, pa.int32()), lists(first, gram, pa.int64()), lists(first, win, pa.int64())]
-                out = pa.RecordBatch.from_arrays(out, names=["id", "th", "line", "h", "w", "pos", "gram", "win"])
+                out = [part.column("id"), part.column("th"), lists(at, line, pa.int32()), lists(first, pos - base, pa.int32()), lists(first, end - base, pa.int32()), lists(first, gram, pa.int64()), lists(first, win, pa.int64())]
+                out = pa.RecordBatch.from_arrays(out, names=["id", "th", "line", "pos", "end", "gram", "win"])
                 yield out.filter(pa.array(np.diff(first) > 0))
 
     return docs.select("id", "th", "text").mapInArrow(run, _SEQ)
 
 
-def extend(ha: list, hb: list, wb: list, same: bool, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal equal runs through the matched positions (i in a, j in b), as ranges of a."""
-    found: list[tuple[int, int]] = []
-    reach: dict[int, int] = {}  # shift: end of the last run
-    for i, j in sorted(hits):
-        if reach.get(i - j, -1) >= i:
-            continue
-        s, e = i, i
-        while s > 0 and s - (i - j) > 0 and ha[s - 1] == hb[s - 1 - (i - j)]:
-            s -= 1
-        while e < len(ha) and e - (i - j) < len(hb) and ha[e] == hb[e - (i - j)]:
-            e += 1
-        reach[i - j] = e
-        if same:  # the first window stays
-            k, words = s - (i - j), 0
-            while words < MIN_WORDS and k < len(wb):
-                words += wb[k]
-                k += 1
-            s = max(s, k)
-        if s < e:
-            found.append((s, e))
-    return found
-
-
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """id, th, gone: the line numbers that dedup deletes, for documents that lose any."""
     seq = materialize(sequences(docs))
-    fp = seq.select("id", "th", F.explode(F.arrays_zip("pos", "gram", "win")).alias("f")).select("id", "th", "f.*")
-    first = fp.groupBy("gram", "win").agg(F.min(F.struct("id", "th", "pos")).alias("b"), F.count("*").alias("n")).where("n > 1").select("gram", "win", "b")
-    hits = fp.join(first, ["gram", "win"]).where("struct(id, th, pos) > b")
-    pairs = hits.groupBy("id", "th", F.col("b.id").alias("bid"), F.col("b.th").alias("bth")).agg(F.collect_set(F.struct(F.col("pos").alias("i"), F.col("b.pos").alias("j"))).alias("hits"))
-    lines = seq.dropDuplicates(["id", "th"])
-    pairs = pairs.join(lines.select("id", "th", "line", F.col("h").alias("ha")), ["id", "th"])
-    pairs = pairs.join(lines.select(F.col("id").alias("bid"), F.col("th").alias("bth"), F.col("h").alias("hb"), F.col("w").alias("wb")), ["bid", "bth"])
+    fp = seq.select("id", "th", F.explode(F.arrays_zip("pos", "end", "gram", "win")).alias("f")).select("id", "th", "f.*")
+    first = fp.groupBy("gram", "win").agg(F.min(F.struct("id", "th", "pos", "end")).alias("b"), F.count("*").alias("n")).where("n > 1").select("gram", "win", "b")
+    hits = fp.join(first, ["gram", "win"]).where("struct(id, th, pos, end) > b")
+    # in its own document the first window stays
+    same = (F.col("id") == F.col("b.id")) & (F.col("th") == F.col("b.th"))
+    hits = hits.select("id", "th", F.when(same, F.greatest("pos", "b.end")).otherwise(F.col("pos")).alias("s"), F.col("end").alias("e")).where("s < e")
+    hits = hits.groupBy("id", "th").agg(F.collect_set(F.struct("s", "e")).alias("hits"))
+    lines = seq.select("id", "th", "line").dropDuplicates(["id", "th"])
 
     def run(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                got = extend(r["ha"], r["hb"], r["wb"], (r["id"], r["th"]) == (r["bid"], r["bth"]), [(x["i"], x["j"]) for x in r["hits"]])
-                gone = sorted({r["line"][k] for s, e in got for k in range(s, e)})
-                if gone:
-                    out.append({"id": r["id"], "th": r["th"], "gone": gone})
+                units, at = [], 0
+                for s, e in sorted((x["s"], x["e"]) for x in r["hits"]):
+                    units += range(max(s, at), e)
+                    at = max(at, e)
+                out.append({"id": r["id"], "th": r["th"], "gone": [r["line"][k] for k in units]})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", pa.int64()), ("th", pa.int64()), ("gone", pa.list_(pa.int32()))]))
 
-    runs = pairs.select("id", "th", "bid", "bth", "line", "ha", "hb", "wb", "hits").mapInArrow(run, "id long, th long, gone array<int>")
-    return runs.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    return hits.join(lines, ["id", "th"]).select("id", "th", "line", "hits").mapInArrow(run, "id long, th long, gone array<int>")
 
 
 def dedupe_lines(docs: DataFrame) -> DataFrame:

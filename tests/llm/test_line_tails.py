@@ -1,0 +1,44 @@
+"""Line dedup against brute force: a line goes if a run of 50 words that holds it occurs before."""
+
+import itertools
+import random
+
+from sylva.llm import linededup
+
+SCHEMA = "doc_id long, text string"
+
+
+def left(spark, texts):
+    return [r["row"].text for r in linededup.dedupe_lines(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).orderBy("row.doc_id").collect()]
+
+
+def brute(texts):
+    seen, out = set(), []
+    for text in texts:  # no run repeats inside a text
+        lines = text.split("\n")
+        runs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if sum(len(x.split()) for x in lines[a:b]) >= 50]
+        gone = {k for a, b in runs if tuple(lines[a:b]) in seen for k in range(a, b)}
+        seen |= {tuple(lines[a:b]) for a, b in runs}
+        out.append("\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def line(name, n):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_a_tail_goes_in_every_order(spark):
+    one, two = line("one", 60), line("two", 40)
+    a, b, c = f"{one}\n{line('a', 20)}", f"{one}\n{two}\n{line('b', 20)}", f"{one}\n{two}\n{line('c', 20)}"
+    for texts in itertools.permutations([a, b, c]):
+        assert left(spark, texts) == brute(texts)
+
+
+def test_parts_of_several_documents(spark):
+    rng = random.Random(11)
+    stock = [line(f"s{k}x", rng.choice((3, 9, 17, 28, 55))) for k in range(12)]
+    texts = []
+    for k in range(40):
+        at = rng.randrange(10)
+        texts.append("\n".join([line(f"own{k}x", 4), *stock[at : at + rng.randrange(1, 9)], line(f"end{k}x", 4)]))
+    assert left(spark, texts) == brute(texts)

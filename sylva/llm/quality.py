@@ -2,8 +2,8 @@
 
 A document is a bag of passages of PASSAGE words, each encoded as a vector of surface statistics. Gated
 attention, a = softmax(w . (tanh(V h) * sigmoid(U h))), weighs them; the weighted sum is scored by a
-logistic layer. It is fitted on the driver by Adam on a bounded sample of labelled documents: TRAIN_DOCS,
-of each TRAIN_PASSAGES passages at most (scoring sees all).
+logistic layer. It is fitted on the driver by Adam on a bounded sample of labelled documents: TRAIN_DOCS at most,
+all passages of each.
 
 Edge cases: null, empty and wordless texts are one passage of zeros and get a score like any other; null ids are never held
 out; conflicting labels of one document all count; null labels are left out; without labelled rows every score is
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 from .common import crc_mod, text_chunks
 
-PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES, TRAIN_BYTES = 64, 4000, 48, 24_000
+PASSAGE, TRAIN_DOCS = 64, 4000
 HIDDEN, EPOCHS, BATCH, RATE = 12, 14, 64, 0.02
 
 # Kinds of bytes that are counted: upper, lower, digit, other ASCII marks by group, non-ASCII.
@@ -151,19 +151,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model |
     """Fit on at most TRAIN_DOCS labelled rows that are not held out, the first by a hash of doc_id."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(crc_mod(F.col("doc_id"), 5) != 0)
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(TRAIN_DOCS)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_BYTES).alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def encode(batches):
         for batch in batches:
             for a, b, data, offs in text_chunks(batch.column("text")):
                 x, first = passages(data, offs)
                 part = batch.slice(a, b - a)
-                kept = [x[first[k] : first[k + 1]][:TRAIN_PASSAGES].ravel().tolist() for k in range(b - a)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(kept, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+                kept = [x[first[k] : first[k + 1]].tobytes() for k in range(b - a)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(kept, pa.binary())], names=["doc_id", "y", "x"])
 
     both = text.join(F.broadcast(rows), "doc_id").select("doc_id", "y", "text")  # at most TRAIN_DOCS rows of two numbers
-    got = both.mapInArrow(encode, "doc_id long, y int, x array<double>").orderBy("doc_id", "y", "x").collect()
-    return fit([np.array(r.x).reshape(-1, FEATURES) for r in got], [int(r.y > 0) for r in got])
+    got = both.mapInArrow(encode, "doc_id long, y int, x binary").orderBy("doc_id", "y", "x").collect()
+    return fit([np.frombuffer(r.x).reshape(-1, FEATURES) for r in got], [int(r.y > 0) for r in got])
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -257,7 +257,20 @@ def cluster(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
 
 
 def dedupe(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
-    """One document of each component: the smallest doc_id (the first of rows that repeat it); null ids stay."""
-    gone = cluster(docs, n, threshold).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.select(F.struct("*").alias("row")).withColumn("id", F.col("row.doc_id").cast("long")).join(gone, F.col("id") == F.col("gone_id"), "left_anti")
-    return kept.select("row.*")
+    """One row of each component: the one with the smallest doc_id (null ids come last).
+
+    The nodes are keys of 64 bits made of doc_id and text: different texts of one doc_id, and texts without one, are
+    nodes of their own; of rows that repeat both, one stays.
+    """
+    null = F.col("row.doc_id").isNull()
+    keyed = docs.select(F.struct("*").alias("row")).withColumn("id", F.col("row.doc_id").cast("long"))
+    keyed = keyed.withColumn("key", F.xxhash64(null, F.coalesce("id", F.lit(0)), F.col("row.text").isNull(), "row.text"))
+    found = materialize(cluster(keyed.select(F.col("key").alias("doc_id"), "row.text"), n, threshold).select(F.col("doc_id").alias("key"), "component_id"))
+    several = found.groupBy("component_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("component_id")
+    members = found.distinct().join(several, "component_id").join(keyed.select("key", "id").distinct(), "key")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("best"))
+    gone = members.join(best, "component_id").where("key != best").select("key")
+    kept = keyed.join(gone, "key", "left_anti")
+    repeated = materialize(found.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
+    once = kept.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    return kept.join(repeated, "key", "left_anti").unionByName(once).select("row.*")

@@ -10,6 +10,8 @@ out; repeated rows are scored alike; without labelled rows every text is ``und``
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,7 +24,8 @@ TRAIN_DOCS, TRAIN_CHARS = 24, 1200
 #: Texts are parsed in blocks of so many symbols; a phrase does not cross blocks.
 BLOCK = 256
 
-# Symbols: 0 any run of non-letters, 1-26 a-z, then lead and continuation bytes of non-ASCII letters.
+# Symbols: 0 any run of non-letters, 1-26 a-z, then lead and continuation bytes of non-ASCII letters and their marks;
+# a lead byte without a symbol of its own is 95 and the symbol of its lower six bits.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
 _CLASS[0x80:0xC0] = 27 + np.arange(64)
@@ -31,15 +34,50 @@ _CLASS[[0xC2, 0xC3, 0xC4, 0xC5]] = 91, 92, 93, 94
 SYMBOLS = 96
 
 
+_KINDS: list[np.ndarray] = []
+
+
+def _kinds() -> np.ndarray:
+    """Of all code points: 2 letters, 1 marks that go with them, 0 others."""
+    if not _KINDS:
+        first = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+        _KINDS.append(np.array([2 if k == "L" else k == "M" for k in first], np.uint8))
+    return _KINDS[0]
+
+
+def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes start a letter, and which belong to a letter or mark."""
+    letter = (_CLASS[data] > 0) & (data < 0x80)
+    inside = letter.copy()
+    if (data >= 0x80).any():
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        code = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _kinds()[code]
+        letter[lead] = kind == 2
+        inside = np.repeat(kind > 0, np.diff(np.append(lead, len(data))))
+    return letter, inside
+
+
 def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts as symbols (runs of non-letters collapsed into one) and their offsets."""
+    return _symbols(data, offs)[:2]
+
+
+def _symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """symbols(), and whether each text has a letter."""
     up = np.zeros(len(data), bool)
     if len(data) > 1:
         up[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-    c = _CLASS[np.where(up, data + 0x20, data)]
+    letter, inside = _letters(data)
+    c = np.where(inside, _CLASS[np.where(up, data + 0x20, data)], 0).astype(np.uint8)
     keep = c != 0
     keep[1:] |= c[:-1] != 0
-    return c[keep], np.concatenate([[0], np.cumsum(keep)])[offs]
+    rare = c == 95
+    size = keep.astype(np.int64) + rare
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.repeat(c, size)
+    out[at[1:][rare] - 1] = 27 + (data[rare] & 63)
+    return out, at[offs], np.diff(np.concatenate([[0], np.cumsum(letter)])[offs]) > 0
 
 
 def automaton(text: np.ndarray) -> tuple[np.ndarray, int]:
@@ -109,8 +147,8 @@ class Model:
         self.langs, self.tables = [], []
         for lang in sorted(by):
             raw = np.frombuffer("\n".join(by[lang]).encode(), np.uint8)
-            s, _ = symbols(raw, np.array([0, len(raw)]))
-            if (s != 0).any():
+            s, _, has = _symbols(raw, np.array([0, len(raw)]))
+            if has[0]:
                 self.langs.append(lang)
                 self.tables.append(automaton(s))
 
@@ -123,9 +161,8 @@ class Model:
 
     def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (share of the winner in a softmax over bits) and bits per symbol of each text."""
-        s, at = symbols(data, offs)
+        s, at, has = _symbols(data, offs)
         n = np.diff(at)
-        letters = np.diff(np.concatenate([[0], np.cumsum(s != 0)])[at])
         per = -(-n // BLOCK)
         first = np.concatenate([[0], np.cumsum(per)])
         lane_of = np.repeat(np.arange(len(n)), per)
@@ -143,7 +180,7 @@ class Model:
         low = bits[best, np.arange(len(n))]
         with np.errstate(invalid="ignore", over="ignore"):
             score = 1 / np.exp2(-(bits - low) * 8).sum(0)
-        known = (letters > 0) & bool(self.langs)
+        known = has & bool(self.langs)
         return [self.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0), np.where(known, low, np.inf)
 
 
@@ -174,7 +211,7 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]] | None = None) -> Da
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits double")
 
 
-def keep_identified(docs: DataFrame, max_bits: float = 1e9) -> DataFrame:
+def keep_identified(docs: DataFrame) -> DataFrame:
     """Rows whose text has a recognised language, with the columns they came with."""
     sample = training_sample(docs)
     key, names = str(hash(tuple(sample))), docs.columns
@@ -183,7 +220,7 @@ def keep_identified(docs: DataFrame, max_bits: float = 1e9) -> DataFrame:
         for batch in batches:
             model = Model.of(key, sample)
             for a, b, data, offs in text_chunks(batch.column(names.index("text"))):
-                lang, _, bits = model.predict(data, offs)
-                yield batch.slice(a, b - a).filter(pa.array([x != "und" and y <= max_bits for x, y in zip(lang, bits, strict=True)], pa.bool_()))
+                lang, _, _ = model.predict(data, offs)
+                yield batch.slice(a, b - a).filter(pa.array([x != "und" for x in lang], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

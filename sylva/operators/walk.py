@@ -18,6 +18,7 @@ def walk(df: DataFrame, doc: str, keep: list[str], maxdepth: int | None = MAXDEP
     own = "".join(f"`{c}`, " for c in keep)
     above = "".join(f"t.`{c}`, " for c in keep)
     spark = df.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # depth bounds the recursion; its rows grow with the table
     return spark.sql(f"""
         WITH RECURSIVE t AS (
           SELECT {own} CAST(NULL AS STRING) AS key, CAST(array() AS ARRAY<STRING>) AS path, CAST(array() AS ARRAY<INT>) AS ord, 0 AS depth, `{doc}` AS value FROM {view}

@@ -427,6 +427,17 @@ def walk_leaves(spark, d):
     return leaves(_trees(spark, d), "v", ["r_regionkey"]).groupBy("r_regionkey").agg(F.count("*").alias("leaves"))
 
 
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"))
+    nested = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    return nested.select("l_orderkey", document(F.struct("lines").alias("order")).alias("v"))
+
+
+@query("SELECT CAST(d AS INTEGER) AS depth, CAST(CASE WHEN d < 3 THEN count(DISTINCT l_orderkey) WHEN d = 3 THEN count(*) ELSE 2 * count(*) END AS BIGINT) AS nodes FROM lineitem, range(5) t(d) GROUP BY d")
+def walk_order_nodes(spark, d):
+    return walk(_orders(spark, d), "v", ["l_orderkey"]).groupBy(F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("nodes"))
+
+
 # ---------------------------------------------------------------- trees as Arrow functions
 
 

@@ -15,33 +15,77 @@ from pyspark.sql import functions as F
 #: Bytes of text that Python workers hold as numpy arrays at a time.
 CHUNK_BYTES = 1 << 20
 
+#: Spark removes a query's shuffle files when it ends, if this is set while it is planned.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Ids that may be broadcast (a few tens of MB); larger sets are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
 _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """Folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset in local mode (tests)."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="sylva-checkpoint-")
     return _own_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Its shuffle files go once it is written; discard() removes the table when its last reader is done.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sylva-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are at most BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def pick(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df whose key (the one column of the materialised ids) is among them; df stays where it is while they are few."""
+    return df.join(_small(ids), ids.columns, "left_semi")
+
+
+def leave(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df whose key is not among the materialised ids."""
+    return df.join(_small(ids), ids.columns, "left_anti")
 
 
-def small_batches(spark: SparkSession, rows: int = 1500) -> None:
-    """Fewer rows of text to a Python worker at a time, unless the session asks for a number of its own."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, rows)
+def small_batches(spark: SparkSession, rows: int = 1500, size: int = 32 << 20) -> None:
+    """Less text to a Python worker at a time, unless the session asks for other numbers than Spark's own."""
+    for name, usual, less in (("maxRecordsPerBatch", 10000, rows), ("maxBytesPerBatch", 64 << 20, size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, str(usual)) in (str(usual), f"{usual}b"):
+            spark.conf.set(name, str(less))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shingles, text_chunks, words
+from .common import discard, leave, materialize, pick, shingles, text_chunks, words
 from .components import components
 
 K, SHARED = 32, 10
@@ -92,18 +92,30 @@ def _estimate(a: str, b: str):
     return both / F.size(union)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """doc_id of all documents in pairs (u, v)."""
+    return materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, n: int, threshold: int) -> DataFrame:
-    """Links (u, v) among the distinct pairs: estimate, then exact Jaccard on full sets."""
-    a = sketch.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su"), F.col("n_shingles").alias("nu"))
-    b = sketch.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv"), F.col("n_shingles").alias("nv"))
-    pairs = pairs.join(a, "u").join(b, "v")
-    pairs = pairs.where(f"100 * least(nu, nv) >= {threshold} * greatest(nu, nv)")
-    pairs = materialize(pairs.where(_estimate("su", "sv") >= threshold / 100 - MARGIN).select("u", "v").distinct())
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = materialize(full_sets(docs.join(wanted, "doc_id", "left_semi"), n).dropDuplicates(["doc_id", "items"]))
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("items").alias("iu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("items").alias("iv")), "v")
+    """Links (u, v) among the distinct pairs (materialised ids): estimate, then exact Jaccard on full sets.
+
+    Sketches and texts of documents in no pair stay where they are.
+    """
+    wanted = _ends(pairs)
+    some = materialize(pick(sketch, wanted))
+    a = some.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su"), F.col("n_shingles").alias("nu"))
+    b = some.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv"), F.col("n_shingles").alias("nv"))
+    likely = pairs.join(a, "u").join(b, "v").where(f"100 * least(nu, nv) >= {threshold} * greatest(nu, nv)")
+    likely = materialize(likely.where(_estimate("su", "sv") >= threshold / 100 - MARGIN).select("u", "v").distinct())
+    discard(wanted, some)
+    wanted = _ends(likely)
+    sets = materialize(full_sets(pick(docs, wanted), n).dropDuplicates(["doc_id", "items"]))
+    both = likely.join(sets.select(F.col("doc_id").alias("u"), F.col("items").alias("iu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("items").alias("iv")), "v")
     shared = F.size(F.array_intersect("iu", "iv"))
-    return both.select("u", "v", shared.alias("i"), (F.size("iu") + F.size("iv") - shared).alias("o")).where(f"100 * i >= {threshold} * o").select("u", "v").distinct()
+    links = materialize(both.select("u", "v", shared.alias("i"), (F.size("iu") + F.size("iv") - shared).alias("o")).where(f"100 * i >= {threshold} * o").select("u", "v").distinct())
+    discard(wanted, likely, sets)
+    return links
 
 
 def _own_counts(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -136,8 +148,7 @@ def _own_counts(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
         who, own = np.unique(o[lone], return_counts=True)
         return pa.table({"doc_id": pa.array(who, pa.int64()), "own": pa.array(own, pa.int64())})
 
-    some = docs.join(members.select("doc_id"), "doc_id", "left_semi")
-    cuts_of = some.mapInArrow(cut, "part int, doc_id long, raw binary")
+    cuts_of = pick(docs, members.select("doc_id")).mapInArrow(cut, "part int, doc_id long, raw binary")
     return cuts_of.groupBy("part").applyInArrow(count, "doc_id long, own long").groupBy("doc_id").agg(F.sum("own").alias("own"))
 
 
@@ -205,13 +216,14 @@ def cluster(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) of every row of docs."""
     rows = materialize(sketches(docs, n))
     some = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    classes = materialize(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     # a node is a doc_id; rows of its set point to the class's smallest
     same = some.join(classes.where("n > 1"), ["n_shingles", "d1", "d2"]).where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     reps = materialize(some.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "d1", "d2"), ["doc_id", "n_shingles", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]).select("doc_id", "n_shingles", "sketch"))
 
     posts = reps.select("doc_id", F.explode("sketch").alias("value"))
-    shared = posts.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    # written, so that the join is one of two plain shuffles, whose skewed partitions Spark splits
+    shared = materialize(posts.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
     mine = posts.join(shared, "value").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vals"), F.sum("df").alias("common"))
     # a sketch of s values: a partner shares at least SHARED of K, or ceil(t * s) if the sketch is the whole set
     whole = F.ceil(F.col("n_shingles") * (threshold / 100) - 1e-9)
@@ -220,10 +232,12 @@ def cluster(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     lone = F.size("sketch") - F.size("vals")
     mine = mine.withColumn("keep", F.size("sketch") - F.col("need") + 1 - lone).where("keep > 0")
     mine = materialize(mine.select("doc_id", "n_shingles", "sketch", "common", F.slice("vals", F.lit(1), F.col("keep")).alias("vals")))
+    discard(shared, reps)
 
     lists = mine.select("doc_id", "common", F.explode("vals.value").alias("value"))
     heads = lists.groupBy("value").agg(F.max_by("doc_id", F.struct(F.col("common"), -F.col("doc_id"))).alias("u"), F.count("*").alias("df")).where("df > 1")
-    pairs = lists.join(heads, "value").where("doc_id != u").select("u", F.col("doc_id").alias("v")).distinct()
+    heads = materialize(heads)
+    pairs = materialize(lists.join(heads, "value").where("doc_id != u").select("u", F.col("doc_id").alias("v")).distinct())
     sketch = mine.select("doc_id", "sketch", "n_shingles")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     edges = materialize(_verified(pairs, docs, sketch, n, threshold).unionByName(same))
@@ -232,22 +246,25 @@ def cluster(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     # the rest: lists with members of several components
     member = mine.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     member = member.select("doc_id", "n_shingles", "component", F.explode("vals.value").alias("value"))
-    mixed = member.groupBy("value").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("value", "df")
+    mixed = materialize(member.groupBy("value").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("value", "df"))
     ids = materialize(member.join(mixed, "value"))
+    discard(mixed)
     short = ids.where(f"df <= {SHORT_LIST}")
     other = short.select("value", F.col("doc_id").alias("v"), F.col("component").alias("cv"), F.col("n_shingles").alias("nv"))
     rest = short.select("value", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n_shingles").alias("nu")).join(other, "value")
     rest = rest.where(f"u < v and cu != cv and 100 * least(nu, nv) >= {threshold} * greatest(nu, nv)").select("u", "v").distinct()
-    rest = rest.join(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
+    rest = materialize(rest.join(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+    discard(pairs)
     more = _verified(rest, docs, sketch, n, threshold)
+    discard(rest)
     long = ids.where(f"df > {SHORT_LIST}")
     if long.limit(1).count():
-        members = sketch.select("doc_id", "n_shingles").join(long.select("doc_id"), "doc_id", "left_semi")
+        members = materialize(sketch.select("doc_id", "n_shingles").join(long.select("doc_id"), "doc_id", "left_semi"))
         members = members.join(_own_counts(docs, members, n), "doc_id", "left").where(f"100 * (n_shingles - coalesce(own, 0)) >= {threshold} * n_shingles")
         members = materialize(members.select("doc_id"))
         groups = materialize(long.join(members, "doc_id").join(heads.select("value", F.col("u").alias("head")), "value").select("head", "doc_id", "n_shingles", "component").distinct())
         size = groups.groupBy("head").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("head", "size")
-        sets = full_sets(docs.join(members, "doc_id", "left_semi"), n).dropDuplicates(["doc_id", "items"])
+        sets = full_sets(pick(docs, members), n).dropDuplicates(["doc_id", "items"])
         more = more.unionByName(_block_links(groups.join(size, "head"), sets, threshold))
     more = materialize(more)
     if more.limit(1).count():
@@ -269,8 +286,8 @@ def dedupe(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     several = found.groupBy("component_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("component_id")
     members = found.distinct().join(several, "component_id").join(keyed.select("key", "id").distinct(), "key")
     best = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("best"))
-    gone = members.join(best, "component_id").where("key != best").select("key")
-    kept = keyed.join(gone, "key", "left_anti")
+    gone = materialize(members.join(best, "component_id").where("key != best").select("key"))
+    kept = leave(keyed, gone)
     repeated = materialize(found.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
-    once = kept.join(repeated, "key", "left_semi").dropDuplicates(["key"])
-    return kept.join(repeated, "key", "left_anti").unionByName(once).select("row.*")
+    once = pick(kept, repeated).dropDuplicates(["key"])
+    return leave(kept, repeated).unionByName(once).select("row.*")

@@ -1,12 +1,16 @@
 """Line dedup by winnowing over line hashes.
 
 A document is its sequence of lines that have a word; lines are equal if their words are (A-Z
-lower-cased). A window is the shortest run of lines from some line on, or up to some line, with MIN_WORDS
-words, a gram the shortest from a line on with GRAM_WORDS. Every window selects its smallest gram;
-that minimum with the window's own hash is a fingerprint. Each is joined with its first occurrence by
-(doc_id, hash of the text, line), and the lines of all later windows go. The windows from and up to its lines cover
-any run of MIN_WORDS words, and each of them repeats where the run does: so a line goes exactly if it is in a run
-of whole lines of MIN_WORDS words that occurs before, whichever documents have its parts first.
+lower-cased). A gram is the shortest run of lines from a line on with GRAM_WORDS words, a window the shortest
+from some line on, or up to some line, with MIN_WORDS. Each window selects its smallest gram (the last of equal
+ones); the selected grams with their places, each place once however many windows select it, are the document's
+fingerprints. A run of MIN_WORDS words or more that occurs twice holds a window that does, which selects
+the same gram at the same place in it: so every repeat is found by a fingerprint that occurs more than once, and only
+those go on. Their places are joined and extended both ways: each such place is extended to all windows that
+selected it, by lines on its left and right; extensions that agree in all lines with one at an earlier place (by doc_id,
+hash of the text, line) are repeats, and overlapping ones are one long match. Its lines go. As the windows from and up to its
+lines cover any run of MIN_WORDS words, a line goes exactly if it is in a run of whole lines of MIN_WORDS words that
+occurs before, whichever documents have its parts first.
 
 Edge cases: null, empty and wordless texts stay as they are; rows that repeat doc_id and text are one
 document and stay alike; null ids come first; lines without words inside a deleted run stay;
@@ -22,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import materialize, mix, text_chunks
+from .common import discard, leave, materialize, mix, pick, text_chunks
 
 MIN_WORDS, GRAM_WORDS = 50, 25
 
-_SEQ = "id long, th long, line array<int>, pos array<int>, end array<int>, gram array<long>, win array<long>"
+_SEQ = "id long, th long, line array<int>, place array<int>, gram array<long>, pos array<int>, end array<int>, by array<int>, win array<long>"
 
 
 def _runs(values: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -53,7 +57,7 @@ def line_units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def winnow(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of all documents: first line, end, smallest gram and the window's own hash."""
+    """Grams from all lines, and the windows of all documents: first line, end, and the line whose gram each selects."""
     n = len(h)
     begin, end = np.repeat(at[:-1], np.diff(at)), np.repeat(at[1:], np.diff(at))
     cum = np.concatenate([[0], np.cumsum(w)])
@@ -72,30 +76,33 @@ def winnow(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np
     order = np.lexsort((stop, start))
     start, stop = start[order], stop[order]
     last = np.searchsorted(g, stop, "right") - 1
-    best = gram[start].copy()
+    best = start.copy()
     for d in range(1, int((last - start).max(initial=0)) + 1):
         m = start + d <= last
-        best[m] = np.minimum(best[m], gram[start[m] + d])
-    return start, stop, best, _runs(h, start, stop)
+        m[m] = gram[start[m] + d] <= gram[best[m]]
+        best[m] = start[m] + d
+    return gram, start, stop, best
 
 
 def sequences(docs: DataFrame) -> DataFrame:
-    """One row for each row with words: its lines and fingerprints (key columns id, th)."""
+    """One row for each row with a window (key columns id, th): the numbers of its lines, its fingerprints (place, gram), and
+    its windows as extensions of these: pos, end, by (the place that the window selects) and win (hash of its lines)."""
 
     def run(batches):
         for batch in batches:
             for a, b, data, offs in text_chunks(batch.column("text")):
                 line, h, w, at = line_units(data, offs)
-                pos, end, gram, win = winnow(h, w, at)
-                first = np.searchsorted(pos, at)
-                base = at[np.searchsorted(at, pos, "right") - 1]
+                gram, pos, end, by = winnow(h, w, at)
+                place = np.unique(by)  # where the selected minimum changes
+                first, marks = np.searchsorted(pos, at), np.searchsorted(place, at)
+                base, from_ = at[np.searchsorted(at, pos, "right") - 1], at[np.searchsorted(at, place, "right") - 1]
                 part = batch.slice(a, b - a)
 
                 def lists(at, values, kind):
                     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64) if kind == pa.int64() else values, kind))
 
-                out = [part.column("id"), part.column("th"), lists(at, line, pa.int32()), lists(first, pos - base, pa.int32()), lists(first, end - base, pa.int32()), lists(first, gram, pa.int64()), lists(first, win, pa.int64())]
-                out = pa.RecordBatch.from_arrays(out, names=["id", "th", "line", "pos", "end", "gram", "win"])
+                out = [part.column("id"), part.column("th"), lists(at, line, pa.int32()), lists(marks, place - from_, pa.int32()), lists(marks, gram[place], pa.int64()), lists(first, pos - base, pa.int32()), lists(first, end - base, pa.int32()), lists(first, by - base, pa.int32()), lists(first, _runs(h, pos, end), pa.int64())]
+                out = pa.RecordBatch.from_arrays(out, names=["id", "th", "line", "place", "gram", "pos", "end", "by", "win"])
                 yield out.filter(pa.array(np.diff(first) > 0))
 
     return docs.select("id", "th", "text").mapInArrow(run, _SEQ)
@@ -104,27 +111,26 @@ def sequences(docs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """id, th, gone: the line numbers that dedup deletes, for documents that lose any."""
     seq = materialize(sequences(docs))
-    fp = seq.select("id", "th", F.explode(F.arrays_zip("pos", "end", "gram", "win")).alias("f")).select("id", "th", "f.*")
-    first = fp.groupBy("gram", "win").agg(F.min(F.struct("id", "th", "pos", "end")).alias("b"), F.count("*").alias("n")).where("n > 1").select("gram", "win", "b")
-    hits = fp.join(first, ["gram", "win"]).where("struct(id, th, pos, end) > b")
+    marks = seq.select("id", "th", F.explode(F.arrays_zip("place", "gram")).alias("f")).select("id", "th", "f.*")
+    # tables that are written make a join one of two plain shuffles, whose skewed partitions Spark splits
+    several = materialize(marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    places = marks.join(several, "gram", "left_semi").groupBy("id", "th").agg(F.collect_set("place").alias("places"))
+    # extend the places that occur elsewhere too
+    near = seq.join(places, ["id", "th"]).select("id", "th", "places", F.explode(F.arrays_zip("pos", "end", "by", "win")).alias("f"))
+    near = materialize(near.where("array_contains(places, f.by)").select("id", "th", "f.pos", "f.end", (F.col("f.by") - F.col("f.pos")).alias("left"), "f.win"))
+    first = near.groupBy("left", "win").agg(F.min(F.struct("id", "th", "pos", "end")).alias("b"), F.count("*").alias("n")).where("n > 1").select("left", "win", "b")
+    first = materialize(first)
+    hits = near.join(first, ["left", "win"]).where("struct(id, th, pos, end) > b")
     # in its own document the first window stays
     same = (F.col("id") == F.col("b.id")) & (F.col("th") == F.col("b.th"))
     hits = hits.select("id", "th", F.when(same, F.greatest("pos", "b.end")).otherwise(F.col("pos")).alias("s"), F.col("end").alias("e")).where("s < e")
     hits = hits.groupBy("id", "th").agg(F.collect_set(F.struct("s", "e")).alias("hits"))
+    # the union of what matched, as line numbers
+    units = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["s"], x["e"] - 1))))
     lines = seq.select("id", "th", "line").dropDuplicates(["id", "th"])
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                units, at = [], 0
-                for s, e in sorted((x["s"], x["e"]) for x in r["hits"]):
-                    units += range(max(s, at), e)
-                    at = max(at, e)
-                out.append({"id": r["id"], "th": r["th"], "gone": [r["line"][k] for k in units]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", pa.int64()), ("th", pa.int64()), ("gone", pa.list_(pa.int32()))]))
-
-    return hits.join(lines, ["id", "th"]).select("id", "th", "line", "hits").mapInArrow(run, "id long, th long, gone array<int>")
+    gone = materialize(hits.join(lines, ["id", "th"]).select("id", "th", F.transform(F.array_sort(units), lambda k: F.get("line", k)).alias("gone")))
+    discard(several, near, first, seq)
+    return gone
 
 
 def dedupe_lines(docs: DataFrame) -> DataFrame:
@@ -132,7 +138,9 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
     least = -(1 << 63)
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), F.xxhash64("text").alias("th"))
     gone = repeated_lines(keyed.select("id", "th", F.col("row.text").alias("text")))
-    both = keyed.join(gone, ["id", "th"], "left")
+    # documents that lose nothing stay where they are while the others are few
+    hurt = materialize(gone.select("id", "th"))
+    both = leave(keyed, hurt).withColumn("gone", F.lit(None).cast("array<int>")).unionByName(pick(keyed, hurt).join(gone, ["id", "th"]))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n"))
     both = both.withColumn("text", text)
     made = {"text": F.col("text"), "n_chars": F.when(F.col("gone").isNull(), F.col("row").getField("n_chars")).otherwise(F.length("text")) if "n_chars" in docs.columns else None}

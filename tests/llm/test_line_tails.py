@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from sylva.llm import linededup
 
 SCHEMA = "doc_id long, text string"
@@ -42,3 +44,37 @@ def test_parts_of_several_documents(spark):
         at = rng.randrange(10)
         texts.append("\n".join([line(f"own{k}x", 4), *stock[at : at + rng.randrange(1, 9)], line(f"end{k}x", 4)]))
     assert left(spark, texts) == brute(texts)
+
+
+def test_fingerprints_are_the_selected_minima():
+    rng = np.random.default_rng(3)
+    n = 400
+    h, w = rng.integers(0, 1 << 62, n, dtype=np.uint64), rng.integers(1, 30, n)
+    at = np.array([0, 150, 150, 390, n])
+    gram, pos, end, by = linededup.winnow(h, w, at)
+    found = set(zip(pos.tolist(), end.tolist(), by.tolist(), strict=True))
+    want = set()
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        wide = lambda s, e: sum(w[s:e])
+        runs = {(s, e) for s in range(a, b) for e in range(s + 1, b + 1) if wide(s, e) >= 50 and (wide(s, e - 1) < 50 or wide(s + 1, e) < 50)}
+        for s, e in runs:
+            inside = [k for k in range(s, e) if any(wide(k, g) >= linededup.GRAM_WORDS for g in range(k + 1, e + 1))]
+            if wide(s, e - 1) < 50 or wide(s + 1, e) < 50:
+                want.add((s, e, max(inside, key=lambda k: (-int(gram[k]), k))))
+    assert found <= want
+    starts = {s: min(e for x, e, _ in want if x == s and sum(w[s:e]) >= 50) for s, _, _ in want}
+    assert {(s, e) for s, e, _ in found} >= set(starts.items())
+    assert len(np.unique(by)) < len(pos)  # windows share their minima
+
+
+def test_nothing_is_found_without_fingerprints(spark, monkeypatch):
+    text = "\n".join(line(f"r{k}x", 30) for k in range(4))
+    assert left(spark, [text, text])[1] == ""
+    plain = linededup.winnow
+
+    def other(h, w, at):  # grams that no two texts share
+        gram, *windows = plain(h, w, at)
+        return np.arange(len(gram), dtype=np.uint64) * np.uint64(7919), *windows
+
+    monkeypatch.setattr(linededup, "winnow", other)
+    assert left(spark, [text + "\n" + line("end", 3), line("a", 3) + "\n" + text])[1].count("r0x0 ") == 1

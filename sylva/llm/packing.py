@@ -1,11 +1,13 @@
 """Best-fit packing of tokenised documents by bin completion with branch and bound.
 
 A document is its token ids and END; longer ones are cut into full pieces, with what is over as the first.
-Only the count of pieces of each length (at most CAPACITY numbers) reaches the driver. There, bins are completed around
-the largest remaining piece by undominated fillings, least waste first; equal fillings are repeated
-while pieces last. The plan lists each length's ranks, its size is bounded by CAPACITY, not by the data.
-The last TAIL pieces are packed anew by branch and bound on the waste that the bound of bins leaves,
-with the greedy solution as incumbent. Pieces get ranks within their length and look their place up.
+Only the count of pieces of each length (at most CAPACITY numbers) reaches the driver. There, best-fit decreasing over all
+counts is the first incumbent (bins with equal contents are one entry, so its size is bounded by CAPACITY, not by the
+data). If it needs more sequences than the lower bound, branch and bound looks for less: bins are completed around the
+largest remaining piece by undominated fillings, least waste first, each used as often as pieces and waste allow; a branch
+ends where its waste rules out a better packing than the incumbent. It visits at most NODES nodes; the incumbent stays if
+it finds nothing, so a plan never needs more sequences than best-fit. Pieces get ranks within their length where they
+are cut, and look their place up.
 
 Edge cases: null and empty texts are one END; rows that repeat doc_id are packed each on their own (their
 pieces number alike); null ids are packed too; an empty table gives no rows; extra columns are ignored.
@@ -21,14 +23,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize
 
 CAPACITY, END = 2048, 0
-#: Pieces of the last bins that branch and bound packs anew, and the nodes it may visit.
-TAIL, NODES = 160, 20_000
+#: Nodes that branch and bound may visit, and fillings it tries at each.
+NODES, BRANCH = 4_000, 8
 #: Distinct words whose ids a worker remembers.
 CACHE = 500_000
 
@@ -99,11 +102,12 @@ class _Words(dict):
 
 
 def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
+    """doc_id, piece, start, length, ids_crc32 of every piece of every row; part (the task) and rank (among those of its length there)."""
 
     def run(batches):
         encoder = Encoder.of(tokenizer)
         end = array.array("I", [END]).tobytes()
+        part, seen = TaskContext.get().partitionId(), np.zeros(CAPACITY + 1, np.int64)
         for batch in batches:
             ids, col = batch.column("doc_id").to_pylist(), batch.column("text")
             out: list[list] = [[], [], [], [], []]
@@ -115,159 +119,211 @@ def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
                     row = (doc_id, k, cuts[k], cuts[k + 1] - cuts[k], zlib.crc32(raw[4 * cuts[k] : 4 * cuts[k + 1]]))
                     for o, x in zip(out, row, strict=True):
                         o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(o, pa.int64()) for o in out[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            rank = np.zeros(len(out[0]), np.int64)
+            length = np.array(out[3], np.int64)
+            order = np.argsort(length, kind="stable")
+            kinds, first, count = np.unique(length[order], return_index=True, return_counts=True)
+            rank[order] = np.arange(len(order)) - np.repeat(first - seen[kinds], count)
+            seen[kinds] += count
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(o, pa.int64()) for o in out[2:]), pa.array(np.full(len(rank), part, np.int32)), pa.array(rank)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 # ---------------------------------------------------------------- the plan
 
 
-def filling(avail: np.ndarray, room: int) -> list[int]:
-    """The undominated filling with least waste, fewest and largest pieces first (avail: count by length)."""
-    have = avail > 0
-    for waste in range(room):
+Fillings = list[tuple[list[int], int]]
+
+
+def best_fit(counts: dict[int, int]) -> Fillings:
+    """Best-fit decreasing over so many pieces of each length: contents of bins, with how many bins have them."""
+    groups: dict[int, list[tuple[tuple, int]]] = {}  # by room: (contents as nested pairs, how many)
+    rooms = 0  # bit r: there are bins with room r
+
+    def put(room: int, contents: tuple, times: int) -> None:
+        nonlocal rooms
+        if times:
+            groups.setdefault(room, []).append((contents, times))
+            rooms |= 1 << room
+
+    for x in sorted(counts, reverse=True):
+        left = counts[x]
+        while left:
+            fits = rooms >> x
+            room = x + (fits & -fits).bit_length() - 1 if fits else CAPACITY
+            if fits:
+                contents, times = groups[room].pop()
+                if not groups[room]:
+                    rooms &= ~(1 << room)
+            else:
+                contents, times = (), left
+            each = room // x  # a bin that gets one piece is the best fit for the next
+            full = min(times, left // each)
+            put(room - each * x, (contents, x, each), full)
+            left -= full * each
+            if full < times and left:  # less than a full bin's worth
+                put(room - left * x, (contents, x, left), 1)
+                times, left = times - 1, 0
+            if fits:
+                put(room, contents, times - full)
+    out = []
+    for bins in groups.values():
+        for contents, times in bins:
+            flat: list[int] = []
+            while contents:
+                contents, x, each = contents
+                flat = [x] * each + flat
+            out.append((flat, times))
+    return out
+
+
+def lower_bound(counts: dict[int, int]) -> int:
+    """Sequences that any packing needs: by the sum of lengths, and by pieces that cannot share one."""
+    n = np.zeros(CAPACITY + 1, np.int64)
+    for x, c in counts.items():
+        n[x] = c
+    size = n * np.arange(CAPACITY + 1)
+    best = -(-int(size.sum()) // CAPACITY)
+    half = CAPACITY // 2
+    for least in range(1, half + 1):  # pieces shorter than this are left out
+        alone = int(n[CAPACITY - least + 1 :].sum())
+        large = slice(half + 1, CAPACITY - least + 1)
+        free = int(n[large].sum()) * CAPACITY - int(size[large].sum())
+        best = max(best, alone + int(n[large].sum()) + max(0, -(-(int(size[least : half + 1].sum()) - free) // CAPACITY)))
+    return best
+
+
+class _Stock:
+    """Pieces left by length, with bit sets of the lengths there are (from below and from above)."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.n = [0] * (CAPACITY + 1)
+        self.up = self.down = 0
+        for x, c in counts.items():
+            self.add(x, c)
+
+    def add(self, x: int, c: int) -> None:
+        self.n[x] += c
+        bit = bool(self.n[x])
+        self.up = self.up & ~(1 << x) | bit << x
+        self.down = self.down & ~(1 << CAPACITY - x) | bit << CAPACITY - x
+
+    def pairs(self, total: int, most: int) -> int:
+        """Bit set of lengths a <= most for which a and total - a <= a are there."""
+        both = self.up & (self.down >> CAPACITY - total) if total > 1 else 0
+        return both & (1 << most + 1) - 1 & -(1 << (total + 1) // 2)
+
+    def has(self, chosen: list[int]) -> bool:
+        return all(self.n[x] >= chosen.count(x) for x in chosen)
+
+
+def fillings(stock: _Stock, top: int, spare: int) -> list[list[int]]:
+    """Undominated fillings around top with up to ``spare`` waste, least waste and fewest pieces first, BRANCH at most."""
+    room, out = CAPACITY - top, []
+    for waste in range(min(spare, room) + 1):
         r = room - waste
-        if have[r]:
-            return [r]
-        a = np.arange(r // 2 + r % 2, r)  # pairs a >= r - a
-        pair = a[have[a] & have[r - a] & ((a != r - a) | (avail[a] > 1))]
-        if len(pair):
-            return [int(pair[-1]), r - int(pair[-1])]
-        if waste == 0:
-            for a in np.flatnonzero(have[1:r])[::-1] + 1:  # three pieces a >= b >= c
-                rest = r - int(a)
-                b = np.arange(-(-rest // 2), min(int(a), rest - 1) + 1)
-                c = rest - b
-                need = 1 + (b == c)
-                ok = have[b] & have[c] & (avail[b] >= need + (b == a)) & (avail[c] >= need + (c == a))
-                if ok.any():
-                    k = np.flatnonzero(ok)[-1]
-                    return [int(a), int(b[k]), int(c[k])]
-                if a < r / 3:
-                    break
-        if waste == 0 and have[1:r].any():  # more pieces: the largest, then the rest
-            top = int(np.flatnonzero(have[1 : r + 1])[-1]) + 1
-            left = avail.copy()
-            left[top] -= 1
-            more = filling(left, r - top) if r > top else []
-            if top + sum(more) == r:
-                return [top, *more]
-            best = [top, *more]
-            if sum(best) > room - CAPACITY // 64 and not _pairs_fit(have, room, room - sum(best)):
-                return best
-    return []
-
-
-def _pairs_fit(have: np.ndarray, room: int, waste: int) -> bool:
-    """Whether one or two pieces might leave less waste."""
-    sizes = np.flatnonzero(have)
-    sizes = sizes[(sizes > 0) & (sizes <= room)]
-    for r in range(room, room - waste, -1):
-        if have[r] or len(np.intersect1d(sizes, r - sizes, assume_unique=True)):
-            return True
-    return False
-
-
-def best_fit(lengths: list[int]) -> list[list[int]]:
-    """Best-fit decreasing."""
-    bins: list[list[int]] = []
-    room: list[int] = []
-    for x in sorted(lengths, reverse=True):
-        fits = [(r, k) for k, r in enumerate(room) if r >= x]
-        if fits:
-            _, k = min(fits)
-            bins[k].append(x)
-            room[k] -= x
+        if r == 0:
+            out.append([top])
+            break
+        if stock.n[r] and stock.has([top, r]):
+            out.append([top, r])
+            break  # dominates what fits into its place
+        pairs = stock.pairs(r, r)
+        while pairs and len(out) < BRANCH:
+            a = pairs.bit_length() - 1
+            pairs &= ~(1 << a)
+            if stock.has(chosen := [top, a, r - a]):
+                out.append(chosen)
+                break
+        more = _several(stock, top, r)
+        if more:
+            out.append(more)
+        if len(out) >= BRANCH:
+            break
+    return out
+
+
+def _several(stock: _Stock, top: int, r: int) -> list[int]:
+    """top and three or more pieces that fill r exactly, large ones first; [] if none is found."""
+    below = stock.up & (1 << r) - 1
+    while below > 1:
+        a = below.bit_length() - 1
+        below &= ~(1 << a)
+        if 3 * a < r:
+            break
+        pairs = stock.pairs(r - a, a)
+        while pairs:
+            b = pairs.bit_length() - 1
+            pairs &= ~(1 << b)
+            if stock.has(chosen := [top, a, b, r - a - b]):
+                return chosen
+    # more: the largest pieces, and two for the rest
+    chosen, left = [top], r
+    below = stock.up
+    while left > 1:
+        below &= (1 << left) - 1
+        if below < 2:
+            return []
+        a = below.bit_length() - 1
+        if stock.n[a] > chosen.count(a):
+            chosen.append(a)
+            left -= a
+            pairs = stock.pairs(left, a)
+            while pairs:
+                b = pairs.bit_length() - 1
+                pairs &= ~(1 << b)
+                if stock.has(chosen + [b, left - b]):
+                    return chosen + [b, left - b]
+            if stock.n[left] > chosen.count(left):
+                return [*chosen, left]
         else:
-            bins.append([x])
-            room.append(CAPACITY - x)
-    return bins
-
-
-def complete(lengths: list[int], incumbent: list[list[int]]) -> list[list[int]]:
-    """Bin completion by branch and bound: the best packing found within NODES nodes."""
-    bound = -(-sum(lengths) // CAPACITY)
-    best, nodes = incumbent, [0]
-
-    def options(rest: list[int], room: int, spare: int) -> list[tuple[int, ...]]:
-        found: dict[tuple[int, ...], int] = {}
-
-        def grow(start: int, left: int, chosen: tuple[int, ...]) -> None:
-            nodes[0] += 1
-            if nodes[0] > NODES or len(found) >= 64:
-                return
-            deeper = False
-            last = None
-            for k in range(start, len(rest)):
-                x = rest[k]
-                if x <= left and x != last:
-                    last, deeper = x, True
-                    grow(k + 1, left - x, (*chosen, x))
-            if not deeper and left <= spare:
-                used = list(rest)
+            below &= ~(1 << a)
+    return [*chosen, 1] if left == 1 and stock.n[1] > chosen.count(1) else chosen if left == 0 else []
+
+
+def complete(counts: dict[int, int], incumbent: Fillings, bound: int) -> Fillings:
+    """Bin completion by branch and bound: the best packing found within NODES nodes, the incumbent if none is better."""
+    best, need = incumbent, sum(t for _, t in incumbent)
+    total = sum(x * c for x, c in counts.items())
+    stock, made, waste, nodes = _Stock(counts), [], 0, 0
+    branches: list = []  # of the open nodes: fillings not tried yet
+    while need > bound and nodes < NODES:
+        spare = (need - 1) * CAPACITY - total - waste
+        if stock.up == 0:
+            best, need = list(made), sum(t for _, t in made)
+        elif spare >= 0 and len(branches) == len(made):
+            nodes += 1
+            branches.append(iter(fillings(stock, stock.up.bit_length() - 1, spare)))
+        # the next filling of the last node, or back
+        while branches:
+            if len(made) == len(branches):
+                chosen, times = made.pop()
+                waste -= times * (CAPACITY - sum(chosen))
                 for x in chosen:
-                    used.remove(x)
-                if not any(y < x <= y + left for y in chosen for x in used):  # else a larger piece dominates
-                    found[chosen] = left
-
-        grow(0, room, ())
-        return sorted(found, key=lambda c: (found[c], len(c), [-x for x in c]))
-
-    def search(rest: list[int], made: list[list[int]]) -> None:
-        nonlocal best
-        if not rest:
-            if len(made) < len(best):
-                best = list(made)
-            return
-        spare = (len(best) - 1 - len(made)) * CAPACITY - sum(rest)
-        if spare < 0 or nodes[0] > NODES:
-            return
-        top, others = rest[0], rest[1:]
-        for chosen in options(others, CAPACITY - top, spare):
-            left = list(others)
-            for x in chosen:
-                left.remove(x)
-            search(left, [*made, [top, *chosen]])
-            if len(best) <= bound or nodes[0] > NODES:
-                return
-
-    if len(best) > bound:
-        search(sorted(lengths, reverse=True), [])
+                    stock.add(x, times)
+            spare = (need - 1) * CAPACITY - total - waste
+            chosen = next(branches[-1], None)
+            lost = CAPACITY - sum(chosen) if chosen else 0
+            if chosen and lost <= spare:
+                times = min(stock.n[x] // chosen.count(x) for x in chosen)
+                times = min(times, spare // lost) if lost else times
+                for x in chosen:
+                    stock.add(x, -times)
+                waste += times * lost
+                made.append((chosen, times))
+                break
+            branches.pop()
+        else:
+            break
     return best
 
 
-def plan(counts: dict[int, int]) -> list[tuple[list[int], int]]:
+def plan(counts: dict[int, int]) -> Fillings:
     """Fillings with how often each is used, for so many pieces of each length."""
-    avail = np.zeros(CAPACITY + 1, np.int64)
-    for n, c in counts.items():
-        avail[n] = c
-    out: list[tuple[list[int], int]] = []
-    for n in (CAPACITY,):
-        if avail[n]:
-            out.append(([n], int(avail[n])))
-            avail[n] = 0
-    while avail.sum() > TAIL:
-        top = int(np.flatnonzero(avail)[-1])
-        avail[top] -= 1
-        chosen = [top, *(filling(avail, CAPACITY - top) if top < CAPACITY else [])]
-        avail[top] += 1
-        kinds, each = np.unique(chosen, return_counts=True)
-        times = int((avail[kinds] // each).min())
-        avail[kinds] -= each * times
-        out.append((chosen, times))
-    # branch and bound packs the rest and the last bins anew
-    rest = [n for n in range(1, CAPACITY + 1) for _ in range(avail[n])]
-    while out and len(rest) < TAIL:
-        chosen, times = out.pop()
-        again = min(times, max(1, (TAIL - len(rest)) // len(chosen)))
-        rest += chosen * again
-        if times > again:
-            out.append((chosen, times - again))
-            break
-    out += [(b, 1) for b in complete(rest, best_fit(rest))]
-    return out
+    counts = {x: c for x, c in counts.items() if c}
+    return complete(counts, best_fit(counts), lower_bound(counts))
 
 
 class Places:
@@ -302,9 +358,7 @@ class Places:
 
 def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; all sequences hold CAPACITY ids at most."""
-    cut = pieces(docs, tokenizer).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(partitions(docs.sparkSession))))
-    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
-    cut = materialize(cut.withColumn("rank", (rank - 1).cast("long")))
+    cut = materialize(pieces(docs, tokenizer))
     sizes = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = Places(plan(counts))

@@ -1,0 +1,113 @@
+"""Packing plans against plain best-fit and exhaustive search; piece ids against the tokenizer."""
+
+import random
+import zlib
+from collections import Counter
+from functools import lru_cache
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from sylva.llm import packing, queries
+
+
+def plain_best_fit(lengths):
+    room = []
+    for x in sorted(lengths, reverse=True):
+        fits = [(r, k) for k, r in enumerate(room) if r >= x]
+        if fits:
+            room[min(fits)[1]] -= x
+        else:
+            room.append(packing.CAPACITY - x)
+    return len(room)
+
+
+def least(lengths):
+    """Fewest bins, by trying every bin for every piece."""
+    @lru_cache(None)
+    def go(rest, rooms):
+        if not rest:
+            return len(rooms)
+        x, best = rest[0], 99
+        for k, r in enumerate(rooms):
+            if r >= x and r not in rooms[:k]:
+                best = min(best, go(rest[1:], tuple(sorted([*rooms[:k], r - x, *rooms[k + 1 :]]))))
+        return min(best, go(rest[1:], tuple(sorted([*rooms, packing.CAPACITY - x]))))
+
+    return go(tuple(sorted(lengths, reverse=True)), ())
+
+
+def checked(fillings, lengths):
+    used = Counter()
+    for chosen, times in fillings:
+        assert times > 0
+        assert 0 < sum(chosen) <= packing.CAPACITY
+        for x in chosen:
+            used[x] += times
+    assert used == Counter(lengths)
+    return sum(t for _, t in fillings)
+
+
+def draws(rng, n):
+    kind = rng.randrange(3)
+    if kind == 0:
+        return [rng.randrange(1, 2049) for _ in range(n)]
+    if kind == 1:
+        return [min(2048, int(rng.lognormvariate(6.3, 0.9)) + 1) for _ in range(n)]
+    return [rng.choice((rng.randrange(300, 800), 700, 683, 1025, 1100)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_never_more_than_best_fit(seed, monkeypatch):
+    monkeypatch.setattr(packing, "NODES", 300)
+    rng = random.Random(seed)
+    lengths = draws(rng, rng.choice((0, 1, 7, 60, 400)))
+    counts = Counter(lengths)
+    greedy = checked(packing.best_fit(counts), lengths)
+    assert greedy == plain_best_fit(lengths)
+    assert packing.lower_bound(counts) <= checked(packing.plan(dict(counts)), lengths) <= greedy
+
+
+def test_small_plans_are_the_best_there_are():
+    rng = random.Random(4)
+    won = 0
+    for _ in range(60):
+        lengths = [rng.choice((rng.randrange(300, 1100), 683, 1025, 500)) for _ in range(rng.randrange(1, 10))]
+        need = checked(packing.plan(Counter(lengths)), lengths)
+        assert need == least(lengths), lengths
+        won += need < plain_best_fit(lengths)
+    assert won  # branch and bound matters
+
+
+def test_large_counts_stay_small():
+    rng = random.Random(6)
+    counts = Counter(draws(random.Random(1), 4000) + [rng.randrange(1, 2049) for _ in range(4000)])
+    counts = {x: c * 1_000_003 for x, c in counts.items()}
+    fillings = packing.best_fit(counts)
+    assert len(fillings) < 4 * packing.CAPACITY
+    used = Counter()
+    for chosen, times in fillings:
+        for x in chosen:
+            used[x] += times
+    assert used == counts
+
+
+def test_pieces_are_the_tokenizers(spark):
+    plain = Tokenizer.from_file(queries.tokenizer())
+    rng = random.Random(12)
+    parts = ["a", "Word", " ", "  ", "\n", "\t", "'s", "ß", "日本", "12", ".", ",", " ", "<|endoftext|>", "é", "x y z"]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.choice((1, 4, 30, 900, 7000)))) for _ in range(60))]
+    got = packing.pack(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, rank string"), queries.tokenizer()).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    for i, t in enumerate(texts):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for k, r in enumerate(sorted(by[i], key=lambda r: r.piece)):
+            assert (r.piece, r.start) == (k, at)
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            assert r.length == 2048 or k == 0
+            at += r.length
+        assert at == len(ids)

@@ -1,14 +1,15 @@
 """Chat formatting in budgeted windows.
 
-Turns become ``<s>[INST] role [/INST] text </s>``; a backslash goes before each control string (and
-backslash) in a role or text, so reading back is exact. Prefix sums of the turns' tokens choose windows of
-whole turns within BUDGET: each opens with the system turn (a first turn of role system), then repeats the last
-turns before it that HISTORY allows, then has new turns, one at least. Loss spans cover the texts of new
-assistant turns only; what is repeated is masked.
+Turns become lines ``<s>[INST] role [/INST] text </s>``; a backslash goes before each control string (and
+backslash) in a role or text, so reading back is exact. A turn's tokens are those of its whole line with marks and
+escapes; the tokenizer never joins across the line end that ends it, so the tokens of a window are the sum of its
+turns'. Prefix sums of them choose windows of whole turns within BUDGET: each opens with the system turn (a first
+turn of role system), then repeats the last turns before it that HISTORY allows, then has new turns, one at least.
+Loss spans cover the texts of new assistant turns only; what is repeated is masked.
 
 Rows are streamed in order of (conv_id, turn, role, text), so a conversation of any length needs the
 memory of one window. Edge cases: null roles and texts are empty; rows that repeat are turns each; null conv_ids are
-one conversation; a turn longer than the budget is a window's only new one; an empty table gives no rows; extra
+one conversation; a turn that fits into no window with the system turn is a window's only new one, without history; an empty table gives no rows; extra
 columns are ignored.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +33,8 @@ _ESCAPE = re.compile(rf"\\|{_CONTROL}")
 _UNESCAPE = re.compile(rf"\\(\\|{_CONTROL})")
 _SCAN = re.compile(rf"\\(?:\\|{_CONTROL})|({_CONTROL})")
 
+_TAIL = " </s>\n"
+
 _WINDOW = pa.schema([("conv_id", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("n_turns", pa.int32()), ("repeated", pa.int32()), ("n_tokens", pa.int64()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
@@ -52,60 +56,63 @@ def read_back(text: str) -> list[tuple[str, str]]:
     return turns
 
 
+def line(role: str, text: str) -> tuple[str, int]:
+    """The line of a turn, and where its text begins."""
+    head = f"<s>[INST] {escape(role)} [/INST] "
+    return f"{head}{escape(text)} </s>\n", len(head)
+
+
 class _Conversation:
-    """State of the conversation that is being read."""
+    """State of the conversation that is being read: turns that may still be used, with prefix sums of their tokens.
+
+    ``upto[k]`` is the sum of all tokens before turn k of those kept; the first ``fresh`` of them were in a window.
+    """
 
     def __init__(self, conv_id: int | None):
         self.conv_id, self.window = conv_id, 0
         self.system: tuple | None = None
-        self.history: list[tuple] = []
-        self.fresh: list[tuple] = []
-
-    def _repeats(self, room: int) -> list[tuple]:
-        """System turn and the last turns before the window, as far as tokens allow."""
-        total, first = 0, len(self.history)
-        while first and total + self.history[first - 1][2] <= min(HISTORY, room):
-            first -= 1
-            total += self.history[first][2]
-        return ([self.system] if self.system else []) + self.history[first:]
-
-    def add(self, role: str, text: str, tokens: int) -> dict | None:
+        self.turns: list[tuple[str, str, int]] = []  # role, line, where its text begins
+        self.upto = [0]
+        self.fresh = 0
+
+    def _first(self) -> int:
+        """The first turn that the window repeats, as history and the first new turn allow."""
+        lead = self.system[1] if self.system else 0
+        room = min(HISTORY, BUDGET - lead - (self.upto[self.fresh + 1] - self.upto[self.fresh]))
+        return bisect_left(self.upto, self.upto[self.fresh] - max(0, room), 0, self.fresh)
+
+    def add(self, role: str, text: str, count) -> dict | None:
         """A window, if this turn doesn't fit in it any more."""
-        turn, out = (role, text, tokens), None
-        if self.fresh:
-            lead = sum(t[2] for t in self._repeats(BUDGET - self._system_tokens() - self.fresh[0][2]))
-            if lead + sum(t[2] for t in self.fresh) + tokens > BUDGET:
+        made, begin = line(role, text)
+        tokens, out = count(made), None
+        if len(self.turns) > self.fresh:
+            lead = self.system[1] if self.system else 0
+            if lead + self.upto[-1] - self.upto[self._first()] + tokens > BUDGET:
                 out = self.flush()
-        self.fresh.append(turn)
+        self.turns.append((role, made, begin))
+        self.upto.append(self.upto[-1] + tokens)
         return out
 
-    def _system_tokens(self) -> int:
-        return self.system[2] if self.system else 0
-
     def flush(self) -> dict | None:
-        if not self.fresh:
+        if len(self.turns) == self.fresh:
             return None
-        repeats = self._repeats(BUDGET - self._system_tokens() - self.fresh[0][2])
-        parts, loss, at = [], [], 0
-        for k, (role, text, _) in enumerate([*repeats, *self.fresh]):
-            head, body = f"<s>[INST] {escape(role)} [/INST] ", escape(text)
-            if k >= len(repeats) and role == "assistant":
-                loss.append({"start": at + len(head), "end": at + len(head) + len(body)})
-            parts.append(f"{head}{body} </s>")
-            at += len(parts[-1])
-        out = {"conv_id": self.conv_id, "window": self.window, "text": "".join(parts), "n_turns": len(repeats) + len(self.fresh), "repeated": len(repeats), "n_tokens": sum(t[2] for t in [*repeats, *self.fresh]), "loss": loss}
-        rest = self.fresh
-        if self.window == 0 and rest and rest[0][0] == "system":
-            self.system, rest = rest[0], rest[1:]
-        self.history += rest
+        first = self._first()
+        shown = [*([self.system[0]] if self.system else []), *self.turns[first:]]
+        repeated = len(shown) - (len(self.turns) - self.fresh)
+        loss, at = [], 0
+        for k, (role, made, begin) in enumerate(shown):
+            if k >= repeated and role == "assistant":
+                loss.append({"start": at + begin, "end": at + len(made) - len(_TAIL)})
+            at += len(made)
+        tokens = (self.system[1] if self.system else 0) + self.upto[-1] - self.upto[first]
+        out = {"conv_id": self.conv_id, "window": self.window, "text": "".join(t[1] for t in shown), "n_turns": len(shown), "repeated": repeated, "n_tokens": tokens, "loss": loss}
+        keep = 0
+        if self.window == 0 and self.turns[0][0] == "system":
+            self.system, keep = (self.turns[0], self.upto[1]), 1
         # older turns can't be repeated again
-        total = 0
-        for k in range(len(self.history) - 1, -1, -1):
-            total += self.history[k][2]
-            if total > HISTORY:
-                self.history = self.history[k + 1 :]
-                break
-        self.fresh = []
+        keep = max(keep, bisect_left(self.upto, self.upto[-1] - HISTORY))
+        self.turns, self.upto = self.turns[keep:], self.upto[keep:]
+        self.fresh = len(self.turns)
         self.window += 1
         return out
 
@@ -144,8 +151,7 @@ def windows(conversations: DataFrame, tokenizer: str) -> DataFrame:
                     if now is not None and (out := now.flush()):
                         yield out
                     now = _Conversation(conv_id)
-                tokens = len(encoder.encode(text)) // 4 + len(encoder.encode(role)) // 4 + 4
-                if out := now.add(role, text, tokens):
+                if out := now.add(role, text, lambda made: len(encoder.raw(made)) // 4):
                     yield out
             if now is not None and (out := now.flush()):
                 yield out

@@ -21,7 +21,10 @@ from .common import crc_mod, text_chunks
 
 #: Bound of the training sample: documents per language and characters of each (from its middle).
 TRAIN_DOCS, TRAIN_CHARS = 24, 1200
-#: Texts are parsed in blocks of so many symbols; a phrase does not cross blocks.
+#: Limits of keep_identified: a text of n symbols goes if its best language needs more than MAX_BITS * n + SLACK bits. Text of
+#: the languages learned needs 2 to 3 a symbol, letters drawn at random over 10; SLACK keeps texts too short to tell.
+MAX_BITS, SLACK = 6.0, 200.0
+#: Symbols of a lane: texts are parsed in lanes side by side; phrases cross them, so its size changes no result.
 BLOCK = 256
 
 # Symbols: 0 any run of non-letters, 1-26 a-z, then lead and continuation bytes of non-ASCII letters and their marks;
@@ -72,6 +75,8 @@ def _symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     c = np.where(inside, _CLASS[np.where(up, data + 0x20, data)], 0).astype(np.uint8)
     keep = c != 0
     keep[1:] |= c[:-1] != 0
+    first = offs[:-1][offs[:-1] < len(c)]
+    keep[first] = c[first] != 0  # a text begins with a letter, whatever the one before ends with
     rare = c == 95
     size = keep.astype(np.int64) + rare
     at = np.concatenate([[0], np.cumsum(size)])
@@ -119,19 +124,61 @@ def automaton(text: np.ndarray) -> tuple[np.ndarray, int]:
     cols = np.fromiter((c for a in arcs for c in a), np.int64, len(rows))
     to = np.fromiter((t for a in arcs for t in a.values()), np.int64, len(rows))
     table[rows, cols] = to * SYMBOLS * 2
+    table[0] = restart  # the root is only left to begin a phrase
     return table.ravel(), len(text)
 
 
-def phrases(table: np.ndarray, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Phrases of each lane; lanes is (step, lane), longest lanes first."""
+def _walk(table: np.ndarray, lanes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where phrases start in each lane if one does at its first symbol, and the state at its end; lanes is (step, lane), longest first."""
+    starts = np.zeros(lanes.shape, bool)
+    starts[:1] = True
     state = np.zeros(lanes.shape[1], np.int32)
-    count = np.ones(lanes.shape[1], np.int64)
     live = np.searchsorted(-lengths, -np.arange(lanes.shape[0]), "left")
     for step in range(lanes.shape[0]):
         n = live[step]
         v = table[state[:n] + lanes[step, :n]]
-        count[:n] += v & 1
+        starts[step, :n] |= (v & 1).astype(bool)
         state[:n] = v >> 1
+    return starts, state
+
+
+def phrases(table: np.ndarray, lanes: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Phrases that start in each lane; lanes is (step, lane), longest lanes first, ``before`` the lane that each goes on from, or -1.
+
+    All lanes are walked as if a phrase started with them. A lane that goes on from another is then walked again from that
+    one's last state, until a phrase starts where one did before: from there on both walks are the same.
+    """
+    starts, end = _walk(table, lanes, lengths)
+    count = starts.sum(0)
+    if before is None:
+        return count
+    last = end.copy()
+    again = np.flatnonzero(before >= 0)
+    while len(again):
+        own, state, got, changed = again, last[before[again]], np.zeros(len(again), np.int64), []
+
+        def settle(lane: np.ndarray, total: np.ndarray, state: np.ndarray) -> None:
+            count[lane] = total
+            changed.append(lane[last[lane] != state])
+            last[lane] = state
+
+        for step in range(lanes.shape[0]):
+            over = lengths[own] <= step  # the walks never met
+            if over.any():
+                settle(own[over], got[over], state[over])
+                own, state, got = own[~over], state[~over], got[~over]
+            if not len(own):
+                break
+            v = table[state + lanes[step, own]]
+            new, state = (v & 1).astype(bool), v >> 1
+            met = new & starts[step, own]
+            if met.any():
+                settle(own[met], got[met] + starts[step:, own[met]].sum(0), end[own[met]])
+            got = got + new
+            own, state, got = own[~met], state[~met], got[~met]
+        if len(own):
+            settle(own, got, state)
+        again = np.flatnonzero((before >= 0) & np.isin(before, np.concatenate(changed)))
     return count
 
 
@@ -171,9 +218,12 @@ class Model:
         order = np.argsort(-length, kind="stable")
         padded = np.concatenate([s, np.zeros(BLOCK, np.uint8)])
         lanes = np.ascontiguousarray(padded[start[order][:, None] + np.arange(BLOCK)].T)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        before = np.where(start > at[lane_of], place[np.maximum(np.arange(len(order)) - 1, 0)], -1)[order]
         bits = np.full((max(1, len(self.langs)), len(n)), np.inf)
         for k, (table, size) in enumerate(self.tables):
-            got = phrases(table, lanes, length[order])
+            got = phrases(table, lanes, length[order], before)
             total = np.bincount(lane_of[order], got, len(n))
             bits[k] = total * np.log2(size + 1) / np.maximum(n, 1)
         best = bits.argmin(0)
@@ -211,8 +261,8 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]] | None = None) -> Da
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits double")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """Rows whose text has a recognised language, with the columns they came with."""
+def keep_identified(docs: DataFrame, max_bits: float = MAX_BITS, slack: float = SLACK) -> DataFrame:
+    """Rows whose text has a letter and is in a language of the labelled rows, by the bits that its parse needs; all their columns."""
     sample = training_sample(docs)
     key, names = str(hash(tuple(sample))), docs.columns
 
@@ -220,7 +270,10 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         for batch in batches:
             model = Model.of(key, sample)
             for a, b, data, offs in text_chunks(batch.column(names.index("text"))):
-                lang, _, _ = model.predict(data, offs)
-                yield batch.slice(a, b - a).filter(pa.array([x != "und" for x in lang], pa.bool_()))
+                lang, _, bits = model.predict(data, offs)
+                n = np.diff(symbols(data, offs)[1])
+                with np.errstate(invalid="ignore"):
+                    fits = bits * n <= max_bits * n + slack
+                yield batch.slice(a, b - a).filter(pa.array(fits & np.array([x != "und" for x in lang], bool), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

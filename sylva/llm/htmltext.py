@@ -5,7 +5,8 @@ streams are sorted as a suffix array, which gives the runs of RUN words (and who
 pages share. A run that SHARE of the host's pages have is one that SHARE of some shard's pages have: the shards name
 these, count all that were named, and the sums are the host's exact counts, however its pages are dealt.
 
-A block goes if runs that enough pages have cover half of its words. Enough is a share of the host's pages, by where the block
+What runs that enough pages have cover is cut out of a block; its unique runs stay, those of fewer than RUN words only if
+less than half of the block is covered. Enough is a share of the host's pages, by where the block
 stands: SHARE of them (2 at least) where structure says nothing (no container, outside of it, link lists inside it),
 SURE_SHARE of them (SURE_LEAST at least) in an article, or in main on pages without one. Menus, footers, forms and what its
 class, id or role names as adverts, notices or comments is compared with the rest and never kept.
@@ -41,11 +42,13 @@ BROADCAST_HOSTS = 50_000
 # Tag names of HTML by their part in a page.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "audio", "video", "select"}
-NEVER = {"nav", "aside", "footer", "form", "button", "dialog", "menu", "head", "label"}
+NEVER = {"nav", "aside", "footer", "form", "button", "dialog", "menu", "head"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 # Words of class and id that name what is not the article.
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promoted", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "subscription", "signup", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "comment", "comments", "reply", "replies", "respond", "discussion", "disqus", "related", "recommended", "recommendations", "share", "sharing", "social", "widget", "toolbar", "login", "pagination", "pager", "skip", "copyright", "legal"}
+#: Elements that hold an article's own text: inside one their class and id name its subject, not a part of the page.
+TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "caption", "figcaption", "span", "b", "i", "em", "strong", "a", "code", "label"}
 COMMENTS = {"comment", "comments", "reply", "replies", "respond", "discussion", "disqus"}
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -63,7 +66,7 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> str:
             name, value = name.lower(), "".join(values).lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
                 return "other"
-            if name in ("class", "id"):
+            if name in ("class", "id") and not (inside and tag in TEXT):
                 found = NAMES.intersection(_NAME.findall(value))
                 if found & COMMENTS:
                     return "comments"
@@ -233,8 +236,8 @@ def shared_runs(pages: list[list[list]], share: float, least: int) -> tuple[np.n
     return np.concatenate([value, name[head[take]]]), np.concatenate([count, spread[take]])
 
 
-def gone(page: list[list], runs: np.ndarray, counts: np.ndarray, total: int) -> list[bool]:
-    """Which blocks of a page go; runs (sorted) with the pages that have them, of the host's total."""
+def unique_text(page: list[list], runs: np.ndarray, counts: np.ndarray, total: int) -> list[str]:
+    """What stays of a page's blocks; runs (sorted) with the pages that have them, of the host's total."""
     w, at = _hashes(page)
     own, few, whole = _units(w, at)
 
@@ -249,11 +252,20 @@ def gone(page: list[list], runs: np.ndarray, counts: np.ndarray, total: int) ->
         spread[d : d + len(own)] = np.maximum(spread[d : d + len(own)], found)
     alone = dict(zip(few.tolist(), pages_of(whole).tolist(), strict=True))
     out = []
-    for k, (_, where) in enumerate(page):
+    for k, (text, where) in enumerate(page):
         share, least = (SURE_SHARE, SURE_LEAST) if where == SURE else (SHARE, LEAST)
         least = max(least, math.ceil(share * total - 1e-9))
-        part = spread[at[k] : at[k + 1]]
-        out.append(where == NEVER_KEPT or alone.get(k, 0) >= least or len(part) > 0 and 2 * int((part >= least).sum()) >= len(part))
+        covered = spread[at[k] : at[k + 1]] >= least
+        if where == NEVER_KEPT or alone.get(k, 0) >= least:
+            continue
+        if not covered.any():
+            out.append(text)
+            continue
+        parts, size = text.split(" "), 1 if 2 * int(covered.sum()) < len(covered) else RUN
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]]).astype(np.int8)))
+        kept = [" ".join(parts[a:b]) for a, b in edge.reshape(-1, 2).tolist() if b - a >= size]
+        if kept:
+            out.append(" ".join(kept))
     return out
 
 
@@ -344,8 +356,7 @@ def extract(pages: DataFrame) -> DataFrame:
             run, n = run[order], n[order]
         texts = []
         for blob in pages.column("blob"):
-            page = _unpack(blob.as_py())
-            texts.append("\n".join(text for (text, _), out in zip(page, gone(page, run, n, total), strict=True) if not out))
+            texts.append("\n".join(unique_text(_unpack(blob.as_py()), run, n, total)))
         return pa.table({"page_id": pages.column("page_id"), "url": pages.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     every = dealt(parsed, F.pmod(F.xxhash64("page_id", "url"), "shards")).select("bin", "page_id", "url", "blob")

@@ -1,0 +1,92 @@
+"""Boilerplate by shared runs against counting in dictionaries; what class names inside an article mean."""
+
+import math
+import random
+from collections import defaultdict
+
+import pytest
+
+from sylva.llm import htmltext
+
+SCHEMA = "page_id long, url string, html string, host string, blob string, bin int"
+
+
+def extracted(spark, pages):
+    rows = [(i, u, h, "x", None, 1) for i, u, h in pages]
+    return {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def brute(pages):
+    """Blocks of pages without structure -> their text, by the definition."""
+    run, own = htmltext.RUN, {}
+    for blocks in {tuple(b) for b in pages.values()}:
+        words = [w.lower() for b in blocks for w in b.split()]
+        own[blocks] = {tuple(words[k : k + run]) for k in range(len(words) - run + 1)} | {("short", *b.lower().split()) for b in blocks if len(b.split()) < run}
+    seen = defaultdict(int)
+    for units in own.values():
+        for u in units:
+            seen[u] += 1
+    least = max(htmltext.LEAST, math.ceil(htmltext.SHARE * len(own) - 1e-9))
+    out = {}
+    for i, blocks in pages.items():
+        flat = [w.lower() for b in blocks for w in b.split()]
+        cover = [False] * len(flat)
+        for k in range(len(flat) - run + 1):
+            if seen[tuple(flat[k : k + run])] >= least:
+                cover[k : k + run] = [True] * run
+        kept, at = [], 0
+        for b in blocks:
+            words = b.split()
+            mask, at = cover[at : at + len(words)], at + len(words)
+            if len(words) < run and seen[("short", *b.lower().split())] >= least:
+                continue
+            size = run if 2 * sum(mask) >= len(mask) else 1
+            runs, now = [], []
+            for w, c in [*zip(words, mask, strict=True), (None, True)]:
+                if c:
+                    runs += [now] if len(now) >= size else []
+                    now = []
+                else:
+                    now = [*now, w]
+            if not any(mask):
+                runs = [words]
+            if runs:
+                kept.append(" ".join(" ".join(r) for r in runs))
+        out[i] = "\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("shard", [512, 5])
+@pytest.mark.parametrize("n", [1, 3, 45])
+def test_runs_shared_by_pages_go(spark, monkeypatch, shard, n):
+    monkeypatch.setattr(htmltext, "SHARD", shard)
+    rng = random.Random(n)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(60)}"
+    stock = [" ".join(word() for _ in range(rng.choice((2, 5, 8, 13, 30)))) for _ in range(14)]
+    pages = {}
+    for i in range(n):
+        blocks = []
+        for _ in range(rng.randrange(1, 7)):
+            own = " ".join(word() for _ in range(rng.choice((1, 4, 12, 40))))
+            blocks.append(rng.choice((own, rng.choice(stock), f"{own} {rng.choice(stock)}", f"{own} {rng.choice(stock)} {word()} {word()}")))
+        pages[i] = blocks
+    if n > 3:
+        pages[n] = pages[0]  # equal pages count once
+    html = [(i, "http://h/x", "<body>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body>") for i, blocks in pages.items()]
+    assert extracted(spark, html) == brute(pages)
+
+
+def test_names_inside_an_article(spark):
+    page = (
+        '<body><article><h2 id="notice">Of notices</h2><p class="legal-history">The law.</p><p id="related-work">More <span class="ad">of</span> it.</p>'
+        '<label>A label</label><div class="share-buttons">Tell</div><section id="comments"><p>Nice</p></section></article></body>'
+    )
+    assert extracted(spark, [(1, None, page)]) == {1: "Of notices\nThe law.\nMore of it.\nA label"}
+
+
+def test_long_and_empty_pages(spark):
+    long = "<p>" + " ".join(f"w{i}" for i in range(200_000)) + "</p>"
+    got = extracted(spark, [(1, "http://a/", long), (2, "http://a/", ""), (3, "http://a/", None), (None, "http://a/", "<p>x")])
+    assert len(got[1].split()) == 200_000
+    assert (got[2], got[3], got[None]) == ("", "", "x")
+    assert extracted(spark, []) == {}

@@ -41,6 +41,40 @@ def _likeness(a: str, b: str) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - square / (3.0 * NEAR * total))))
 
 
+#: Hex digits of each number in a fingerprint as text.
+_DIGITS = [8, *[10] * WIDE, *[16] * NEAR]
+
+
+def _numbers(fingerprint: Column) -> list[Column]:
+    at = [1 + sum(_DIGITS[:k]) for k in range(len(_DIGITS))]
+    return [F.conv(F.substring(fingerprint, a, n), 16, 10).cast("decimal(20,0)").cast("long") for a, n in zip(at, _DIGITS, strict=True)]
+
+
+def _combined(a: Column, b: Column, sign: int) -> Column:
+    sums = [x + sign * y for x, y in zip(_numbers(a), _numbers(b), strict=True)]
+    sums = [sums[0], *(F.pmod(x, F.lit(1 << 40)) for x in sums[1 : 1 + WIDE]), *sums[1 + WIDE :]]
+    return F.concat(*(F.lower(F.lpad(F.hex(x), n, "0")) for x, n in zip(sums, _DIGITS, strict=True)))
+
+
+def inserted(fingerprint: Column, paragraphs: Column) -> Column:
+    """Fingerprint of a text with paragraphs added anywhere, from its own and that of these paragraphs alone."""
+    return _combined(fingerprint, paragraphs, 1)
+
+
+def deleted(fingerprint: Column, paragraphs: Column) -> Column:
+    """Fingerprint of a text without paragraphs that it has."""
+    return _combined(fingerprint, paragraphs, -1)
+
+
+def _at_most(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted cuts are at most value, by binary search (null: 0)."""
+    if not cuts:
+        return F.lit(0)
+    table = F.array(*(F.lit(c) for c in cuts))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= value, at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """slot, after, place, doc_id, text, next_text: rows in order of doc_id, dealt by ranges of it into slots.
 
@@ -51,7 +85,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.select("doc_id")
     cuts = sorted({int(c) for c in ids.where("doc_id is not null").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)})
-    at = F.coalesce(F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
+    at = _at_most(cuts, F.col("doc_id"))
     heads = {r.part: r.h for r in ids.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(at)).groupBy("part").agg(F.min(F.struct("doc_id")).alias("h")).collect()}
     parts = sorted(heads)
     first = [heads[p].doc_id if p in heads else None for p in range(len(cuts) + 1)]

@@ -6,8 +6,8 @@ sketched by its floor((1 - t) * u) + 1 smallest shingle hashes (all, if it has f
 share t of the item's shingles has one of these at least, so the search misses nothing; every hit is
 verified by exact containment. The benchmark is searched in blocks of bounded size.
 
-Edge cases: null and short texts have no shingles; items of under five words are never found (they
-would match clean text); repeated items or rows are each reported; empty tables give no rows; extra columns
+Edge cases: null and wordless texts have no shingles; with under five words the whole sequence is one shingle, so such
+an item is found in texts that are no more than it; repeated items or rows are each reported; empty tables give no rows; extra columns
 are ignored or pass through.
 """
 
@@ -34,7 +34,7 @@ class Index:
         self.ids = [i for i, _ in items]
         raw = [t.encode() for _, t in items]
         offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        h, at = shingles(*plain_words(np.frombuffer(b"".join(raw), np.uint8), offs), N, short=False)
+        h, at = shingles(*plain_words(np.frombuffer(b"".join(raw), np.uint8), offs), N)
         self.sets = [np.unique(h[at[k] : at[k + 1]]) for k in range(len(items))]
         values, owner = [], []
         for k, s in enumerate(self.sets):
@@ -50,7 +50,7 @@ class Index:
 
     def search(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, shared, size) with shared >= threshold * size."""
-        h, at = shingles(*plain_words(data, offs), N, short=False)
+        h, at = shingles(*plain_words(data, offs), N)
         hit = np.flatnonzero(self.seen[h & _MASK])
         left, right = np.searchsorted(self.values, h[hit], "left"), np.searchsorted(self.values, h[hit], "right")
         hit, left, right = hit[right > left], left[right > left], right[right > left]

@@ -32,12 +32,12 @@ FROM least LEFT JOIN sizes USING (doc_id)
 def _runs(table: str, key: str) -> str:
     return rf"""
 {table}_word AS (
-  SELECT {key}, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
+  SELECT {key}, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
     SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}{_LATIN}', '{_UPPER.lower()}{_LATIN.lower()}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM {table})),
 {table}_run AS (
-  SELECT {key}, w || ' ' || lead(w, 1) OVER d || ' ' || lead(w, 2) OVER d || ' ' || lead(w, 3) OVER d || ' ' || lead(w, 4) OVER d AS s
+  SELECT {key}, n, i, concat_ws(' ', w, lead(w, 1) OVER d, lead(w, 2) OVER d, lead(w, 3) OVER d, lead(w, 4) OVER d) AS s
   FROM {table}_word WINDOW d AS (PARTITION BY {key} ORDER BY i)),
-{table}_set AS (SELECT DISTINCT {key}, s FROM {table}_run WHERE s IS NOT NULL)"""
+{table}_set AS (SELECT DISTINCT {key}, s FROM {table}_run WHERE i <= greatest(1, n - 4))"""
 
 
 #: Exact containment of every item's shingles in every text.

@@ -1,7 +1,7 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words, each encoded as a vector of surface statistics. Gated
-attention, a = softmax(w . (tanh(V h) * sigmoid(U h))), weighs them; the weighted sum is scored by a
+A document is a bag of passages of PASSAGE words. A passage's vector has the shares of its words, and of their first
+and last three bytes, in hashed buckets, and surface statistics; a learned layer encodes it. Gated attention, a = softmax(w . (tanh(V h) * sigmoid(U h))), weighs them; the weighted sum is scored by a
 logistic layer. It is fitted on the driver by Adam on a bounded sample of labelled documents: TRAIN_DOCS at most,
 all passages of each.
 
@@ -29,7 +29,10 @@ _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = 0, 1, 2, 3
 for _k, _marks in enumerate((b".,;:'\"", b"!?", b"|<>/\\=_{}[]()", b"#$%&*@^~+`"), 5):
     _KIND[list(_marks)] = _k
 KINDS = 9
-FEATURES = KINDS + 9
+SURFACE = KINDS + 9
+#: Hashed buckets of words, and of their beginnings and endings.
+WORDS, AFFIXES = 32, 32
+FEATURES = SURFACE + WORDS + AFFIXES
 
 
 def passages(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +71,17 @@ def passages(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     out[:, KINDS + 6] = np.bincount(own, kind[s] == 0, len(out)) / some
     out[:, KINDS + 7] = np.bincount(own, length == 1, len(out)) / some
     out[:, KINDS + 8] = size / PASSAGE
+    # hashed words, beginnings and endings, as square roots of shares
+    base = own * (WORDS + AFFIXES)
+    count = np.bincount(base + (h >> np.uint64(59)).astype(np.int64), minlength=len(out) * (WORDS + AFFIXES))
+    for at_ in (s, np.maximum(s, e - 3)):
+        code = np.zeros(len(s), np.uint64)
+        for k in range(3):
+            code = code * np.uint64(256) + np.where(at_ + k < e, low[np.minimum(at_ + k, len(low) - 1)], 0).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            code = common.mix(code * np.uint64(2) + np.uint64(at_ is not s))
+        count += np.bincount(base + WORDS + (code >> np.uint64(59)).astype(np.int64), minlength=len(count))
+    out[:, SURFACE:] = np.sqrt(count.reshape(len(out), -1) / some[:, None])
     return out, first
 
 
@@ -158,12 +172,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model |
             for a, b, data, offs in text_chunks(batch.column("text")):
                 x, first = passages(data, offs)
                 part = batch.slice(a, b - a)
-                kept = [x[first[k] : first[k + 1]].tobytes() for k in range(b - a)]
+                kept = [x[first[k] : first[k + 1]].astype(np.float32).tobytes() for k in range(b - a)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(kept, pa.binary())], names=["doc_id", "y", "x"])
 
     both = text.join(F.broadcast(rows), "doc_id").select("doc_id", "y", "text")  # at most TRAIN_DOCS rows of two numbers
     got = both.mapInArrow(encode, "doc_id long, y int, x binary").orderBy("doc_id", "y", "x").collect()
-    return fit([np.frombuffer(r.x).reshape(-1, FEATURES) for r in got], [int(r.y > 0) for r in got])
+    return fit([np.frombuffer(r.x, np.float32).reshape(-1, FEATURES).astype(float) for r in got], [int(r.y > 0) for r in got])
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -145,3 +145,20 @@ def stringify(v: Column, maxlen: int | None = None) -> Column:
 def jsonify(v: Column) -> Column:
     """Compact JSON; absent is null. Keys come sorted, as VARIANT keeps them."""
     return F.coalesce(F.to_json(v), F.lit("null"))
+
+
+def pretty(v: Column, indent: int = 2) -> Column:
+    """JSON over several lines, keys sorted; absent is null."""
+    text, pad = jsonify(v), " " * indent
+    # outside of strings: marks open, close or separate; a scan that carries (depth, inside a string, after a backslash, text)
+    start = F.struct(F.lit(0).alias("d"), F.lit(False).alias("q"), F.lit(False).alias("b"), F.lit("").alias("p"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, c: Column) -> Column:
+        line = lambda d: F.concat(F.lit("\n"), F.repeat(F.lit(pad), d))
+        opens, closes = c.isin("{", "["), c.isin("}", "]")
+        empty = a["p"].isin("{", "[") & closes
+        own = F.when(a["q"], c).when(opens, F.when(a["p"].isin("{", "["), F.concat(line(a["d"]), c)).otherwise(c)).when(closes, F.when(empty, c).otherwise(F.concat(line(a["d"] - 1), c))).when(c == ",", F.concat(c, line(a["d"]))).when(c == ":", ": ").otherwise(F.when(a["p"].isin("{", "["), F.concat(line(a["d"]), c)).otherwise(c))
+        quote = (c == '"') & ~a["b"]
+        return F.struct((a["d"] + F.when(a["q"], 0).when(opens, 1).when(closes, -1).otherwise(0)).alias("d"), F.when(quote, ~a["q"]).otherwise(a["q"]).alias("q"), (a["q"] & ~a["b"] & (c == "\\")).alias("b"), F.when(a["q"] | quote, F.lit("")).otherwise(c).alias("p"), F.array_append(a["out"], own).alias("out"))
+
+    return F.array_join(F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step, lambda a: a["out"]), "")

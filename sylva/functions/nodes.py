@@ -58,12 +58,16 @@ def keysof(v: Column) -> Column:
     return F.coalesce(F.array_sort(F.map_keys(kinds.as_map(v))), indexes, F.array().cast("array<string>"))
 
 
-def items(v: Column) -> Column:
-    """array<struct<key, value>> in the order of keysof."""
-    m = kinds.as_map(v)
-    named = F.transform(F.array_sort(F.map_keys(m)), lambda k: F.struct(k.alias("key"), F.element_at(m, k).alias("value")))
+def entries(m: Column) -> Column:
+    """Entries of a map column in order of their keys; one pass and one sort."""
+    return F.array_sort(F.map_entries(m), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+
+
+def items(v: Column, to=None) -> Column:
+    """array<struct<key, value>> in the order of keysof; or what to(key, value) makes of each."""
     listed = F.transform(kinds.as_list(v), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
-    return F.coalesce(named, listed, F.array().cast("array<struct<key:string,value:variant>>"))
+    out = F.coalesce(entries(kinds.as_map(v)), listed, F.array().cast("array<struct<key:string,value:variant>>"))
+    return out if to is None else F.transform(out, lambda x: to(x["key"], x["value"]))
 
 
 def filter_values(v: Column, check) -> Column:
@@ -85,11 +89,28 @@ def as_variant(c: Column) -> Column:
     return F.variant_get(F.to_variant_object(F.struct(c.alias("v"))), "$.v", "variant")
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def writable(v: Column) -> Column:
+    """v; a condensed value raises, as it must be expanded before it can be changed."""
+    condensed = F.coalesce(F.try_variant_get(v, "$['$condense']", "int") == 1, F.lit(False)) & islist_at(v, "sym") & islist_at(v, "node")
+    return F.when(condensed, F.raise_error(F.lit("a condensed value cannot be changed; expand it first")).cast("variant")).otherwise(v)
+
+
+def islist_at(v: Column, key: str) -> Column:
+    return kinds.islist(F.variant_get(v, f"$['{key}']", "variant"))
+
+
 def setprop(v: Column, key: str | int, value: Column) -> Column:
     """A copy with v[key] = value; in lists an index past the end appends, a negative one prepends."""
+    return v if _key(key) == "" else bind(writable(v), lambda x: _set(x, key, value))
+
+
+def _set(v: Column, key: str | int, value: Column) -> Column:
     k = _key(key)
-    if k == "":
-        return v
     m, a = kinds.as_map(v), kinds.as_list(v)
     named = F.to_variant_object(F.map_concat(F.map_filter(m, lambda n, _: n != k), F.create_map(F.lit(k), value)))
     if not re.fullmatch(r"-?\d+", k):
@@ -104,6 +125,10 @@ def setprop(v: Column, key: str | int, value: Column) -> Column:
 
 def delprop(v: Column, key: str | int) -> Column:
     """A copy without v[key]; later list elements move up."""
+    return bind(writable(v), lambda x: _without(x, key))
+
+
+def _without(v: Column, key: str | int) -> Column:
     k = _key(key)
     named = F.to_variant_object(F.map_filter(kinds.as_map(v), lambda n, _: n != k))
     if not _INDEX.fullmatch(k):

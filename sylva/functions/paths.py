@@ -8,6 +8,8 @@ from pyspark.sql import Column
 
 from . import nodes
 
+_NAME = re.compile(r"[^0-9\"\\][^\"\\]*")
+
 Path = str | int | float | list | tuple
 
 
@@ -59,13 +61,21 @@ def getpath(v: Column, path: Path | None, alt: Column | None = None, here: list[
     """The value at path; absent and null give alt (SQL NULL)."""
     from pyspark.sql import functions as F
 
+    from . import kinds
+
     steps = resolve(path, here)
     if steps is None:
         found = F.lit(None).cast("variant")
     else:
-        found = v
-        for s in steps:
-            found = nodes.getprop(found, s)
+        found, k = v, 0
+        while k < len(steps):
+            run = next((j for j in range(k, len(steps)) if not _NAME.fullmatch(steps[j])), len(steps))
+            if run > k:  # names that no list has: one read for the run of them
+                found = F.variant_get(found, "$" + "".join(f'["{x}"]' for x in steps[k:run]), "variant")
+            else:
+                found, run = nodes.lookup(found, steps[k]), k + 1
+            k = run
+        found = kinds.present(found) if steps else found
     return found if alt is None else F.coalesce(found, alt)
 
 
@@ -81,12 +91,16 @@ def setpath(v: Column, path: Path, value: Column | None) -> Column:
 
     def put(node: Column, k: int) -> Column:
         fresh = "[]" if not isinstance(kinds_of[k], str) else "{}"
-        node = F.when(kinds.isnode(node), node).otherwise(F.parse_json(F.lit(fresh)))
-        if k == len(steps) - 1:
-            return nodes.delprop(node, steps[k]) if value is None else nodes.setprop(node, steps[k], value)
-        return nodes.setprop(node, steps[k], put(nodes.lookup(node, steps[k]), k + 1))
 
-    return put(v, 0)
+        def change(x: Column) -> Column:
+            if k == len(steps) - 1:
+                return nodes._without(x, steps[k]) if value is None else nodes._set(x, steps[k], value)
+            return nodes.bind(put(nodes.lookup(x, steps[k]), k + 1), lambda new: nodes._set(x, steps[k], new))
+
+        # each level is bound to a name, so that the expression grows by a fixed size with each step
+        return nodes.bind(F.when(kinds.isnode(node), node).otherwise(F.parse_json(F.lit(fresh))), change)
+
+    return put(nodes.writable(v), 0)
 
 
 def setpath_parent(v: Column, path: Path, value: Column | None) -> Column:

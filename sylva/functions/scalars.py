@@ -56,13 +56,12 @@ def join(parts: Column, sep: str = ",", url: bool = False) -> Column:
         total = F.size(parts)
 
         def trim(x: Column, i: Column) -> Column:
-            if url:
-                x0 = F.regexp_replace(x, f"{s}+$", "")
-                x = F.when(i == 0, x0).otherwise(x)
             inner = F.regexp_replace(x, f"([^{s}]){s}+([^{s}])", f"$1{_dollar(sep)}$2")
             lead = F.when(i > 0, F.regexp_replace(inner, f"^{s}+", "")).otherwise(inner)
             last = (i == total - 1) if url else F.lit(False)
-            return F.when(last | (i == 0 if url else F.lit(False)), lead).otherwise(F.regexp_replace(lead, f"{s}+$", ""))
+            kept = F.when(last, lead).otherwise(F.regexp_replace(lead, f"{s}+$", ""))
+            # an address begins with a scheme, whose doubled separator stays
+            return F.when(i == 0, F.regexp_replace(x, f"{s}+$", "")).otherwise(kept) if url else kept
 
         some = F.filter(F.transform(some, trim), lambda x: x != "")
     return F.array_join(some, sep)
@@ -98,6 +97,16 @@ def flatten(a: Column, depth: int = 1) -> Column:
     return a
 
 
+def flatten_mixed(v: Column, depth: int = 1) -> Column:
+    """array<variant> of a VARIANT list whose lists, and theirs to the depth, are replaced by their elements."""
+    from . import kinds
+
+    out = kinds.as_list(v)
+    for _ in range(depth):
+        out = F.flatten(F.transform(out, lambda x: F.coalesce(kinds.as_list(x), F.array(x))))
+    return out
+
+
 # ---------------------------------------------------------------- regular expressions (a portable subset)
 
 #: Constructs outside the subset: look-around, back-references, atomic groups and possessive repeats.
@@ -138,6 +147,12 @@ def re_find_all(pattern: str, s: Column) -> Column:
     return F.transform(each[0], lambda x, i: F.array(x, *(F.get(e, i) for e in each[1:])))
 
 
-def re_replace(pattern: str, s: Column, to: str) -> Column:
-    """Replace all matches; $1 to $9 are groups, $& is the whole."""
-    return F.regexp_replace(s, re_compile(pattern), re.sub(r"\$&", r"$0", to))
+def re_replace(pattern: str, s: Column, to) -> Column:
+    """Replace all matches; $1 to $9 are groups, $& is the whole. to can be a function of the array [whole, group 1, ...]."""
+    if not callable(to):
+        return F.regexp_replace(s, re_compile(pattern), re.sub(r"\$&", r"$0", to))
+    if re.search(re.sub(r"\(\?<(\w)", r"(?P<\1", re_compile(pattern)), ""):
+        raise ValueError("a function needs a pattern that does not match the empty text")
+    between = F.split(s, pattern, -1)
+    made = F.transform(re_find_all(pattern, s), to)
+    return F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(made, i), F.lit("")))), "")

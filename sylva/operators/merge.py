@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from ..functions import kinds
 from . import trees
@@ -42,5 +45,51 @@ def merge(values: list[Column], maxdepth: int | None = None) -> Column:
 
 
 def merge_agg(df: DataFrame, by: list[str], order: str, fields: list[str]) -> DataFrame:
-    """Fold the rows of each key in order: of each field, the last value that is there. Pre-aggregates before its shuffle."""
-    return df.groupBy(*by).agg(*(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields))
+    """Merge of the rows of each key in order (equal orders by the value's text): one row for each key.
+
+    Of a scalar field the last value that is there stays; it is pre-aggregated before the shuffle. Maps, lists and VARIANT
+    fields are merged as deep as they go, row after row: the fold depends on its order, so a key's rows are streamed in
+    order through one task that holds no more than the merged value (VARIANT).
+    """
+    deep = [c for c in fields if isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType, VariantType))]
+    flat = [c for c in fields if c not in deep]
+    last = {c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.col(order), F.col(c).cast("string")))).alias(c) for c in flat}
+    out = df.groupBy(*by).agg(*last.values()) if flat or not deep else None
+    if deep:
+        folded = _fold(df, by, order, deep)
+        keys = [folded[c].eqNullSafe(out[c]) for c in by] if out is not None else None
+        out = folded if out is None else out.join(folded, reduce(lambda a, b: a & b, keys)).select(*(out[c] for c in by), *(out[c] for c in flat), *(folded[c] for c in deep))
+    return out.select(*by, *fields)
+
+
+def _fold(df: DataFrame, by: list[str], order: str, fields: list[str]) -> DataFrame:
+    texts = df.select(*by, F.col(order).alias("__order"), *(F.to_json(c).alias(c) for c in fields))
+    texts = texts.repartition(*by).sortWithinPartitions(*by, "__order", *fields).drop("__order")
+    width, schema = len(by), texts.schema
+
+    def run(batches):
+        key, now, done = None, None, []
+
+        def row() -> dict:
+            merged = [None if v is trees.ABSENT else json.dumps(trees._tidy(v), separators=(",", ":"), ensure_ascii=False) for v in now]
+            return dict(zip(schema.names, [*key, *merged], strict=True))
+
+        arrow = None
+        for batch in batches:
+            arrow = batch.schema
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != values[:width]:
+                    if key is not None:
+                        done.append(row())
+                    key, now = values[:width], [trees.ABSENT] * len(fields)
+                for k, text in enumerate(values[width:]):
+                    if text is not None:
+                        v = json.loads(text)
+                        now[k] = v if now[k] is trees.ABSENT else trees.merge([now[k], v])
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=arrow)
+                done = []
+        if key is not None:
+            yield pa.RecordBatch.from_pylist([row()], schema=arrow)
+
+    return texts.mapInArrow(run, schema).select(*by, *(F.parse_json(c).alias(c) for c in fields))

@@ -12,9 +12,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, NumericType, StringType
+from pyspark.sql.types import ArrayType, DataType, LongType, MapType, NumericType, StringType
 
-from ..functions import kinds
+from ..functions import kinds, nodes
 from ..functions.scalars import re_compile
 from ..plans.node import Node, equals
 
@@ -34,10 +34,11 @@ def _compare(node: Node, op, value) -> Column:
         return op(node.col, F.lit(value))
     # mixed kinds compare as numbers; two strings as text
     text = node.string()
-    number = F.coalesce(node.number(), F.expr("CAST(NULL AS DOUBLE)") if not node.is_variant else kinds.boolean(node.col).cast("double"), text.try_cast("double"))
+    blank = F.when(F.trim(text) == "", F.lit(0.0))  # text without a mark counts as 0
+    number = F.coalesce(node.number(), F.expr("CAST(NULL AS DOUBLE)") if not node.is_variant else kinds.boolean(node.col).cast("double"), blank, text.try_cast("double"))
     if isinstance(value, str):
         try:
-            as_number = float(value)
+            as_number = float(value) if value.strip() else 0.0
         except ValueError:
             as_number = None
         mixed = op(number, F.lit(as_number)) if as_number is not None else F.lit(False)
@@ -45,8 +46,11 @@ def _compare(node: Node, op, value) -> Column:
     return F.lit(False) if value is None else _sure(op(number, F.lit(float(value))))
 
 
-def predicate(node: Node, query) -> Column:
-    """Whether the document matches."""
+def predicate(node: Node, query, key: Node | None = None) -> Column:
+    """Whether the document matches; key is what `$KEY` names, the place of a child among its siblings."""
+    if key is not None and isinstance(query, dict) and "$KEY" in query:
+        rest = {k: v for k, v in query.items() if k != "$KEY"}
+        return predicate(key, query["$KEY"]) & node.is_kind(kinds.MAP) & (predicate(node, rest, key) if rest else F.lit(True))
     if isinstance(query, dict):
         tests = []
         plain = {k: v for k, v in query.items() if not k.startswith("`$")}
@@ -56,11 +60,11 @@ def predicate(node: Node, query) -> Column:
             elif name == "`$LIKE`":
                 tests.append(F.regexp_like(F.coalesce(node.text(), F.lit("")), F.lit(re_compile(str(arg)))))
             elif name == "`$AND`":
-                tests.append(reduce(operator.and_, (predicate(node, q) for q in arg), F.lit(True)))
+                tests.append(reduce(operator.and_, (predicate(node, q, key) for q in arg), F.lit(True)))
             elif name == "`$OR`":
-                tests.append(reduce(operator.or_, (predicate(node, q) for q in arg), F.lit(False)))
+                tests.append(reduce(operator.or_, (predicate(node, q, key) for q in arg), F.lit(False)))
             elif name == "`$NOT`":
-                tests.append(~_sure(predicate(node, arg)))
+                tests.append(~_sure(predicate(node, arg, key)))
             elif name not in plain and name != "`$OPEN`":
                 raise ValueError(f"unknown operator: {name}")
         if plain or not query:
@@ -84,3 +88,16 @@ def select_list(col: Column, kind: DataType, query) -> Column:
     if isinstance(kind, ArrayType):
         return F.filter(col, lambda x: _sure(predicate(Node(x, kind.elementType), query)))
     return F.filter(kinds.as_list(col), lambda x: _sure(predicate(Node.variant(x), query)))
+
+
+def select_children(col: Column, kind: DataType, query) -> Column:
+    """array<struct<key, value>> of the children of a map (by key) or of a list that match, as their parent has them."""
+    if isinstance(kind, MapType):
+        return F.filter(nodes.entries(col), lambda x: _sure(predicate(Node(x["value"], kind.valueType), query, Node(x["key"], StringType()))))
+    if isinstance(kind, ArrayType):
+        places = F.transform(col, lambda x, i: F.struct(i.cast("long").alias("key"), x.alias("value")))
+        return F.filter(places, lambda x: _sure(predicate(Node(x["value"], kind.elementType), query, Node(x["key"], LongType()))))
+    # a list's keys are numbers, a map's are texts
+    own = lambda x: nodes.as_variant(x["key"].cast("long"))
+    key = lambda x: F.when(kinds.islist(col), own(x)).otherwise(nodes.as_variant(x["key"]))
+    return F.filter(nodes.items(col), lambda x: _sure(predicate(Node.variant(x["value"]), query, Node.variant(key(x)))))

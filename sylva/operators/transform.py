@@ -3,12 +3,13 @@
 A leaf that is one backtick reference keeps the type of what it names, references inside text become text, other leaves
 are literals. Maps become structs, lists become arrays (of VARIANT if mixed). Commands: `$COPY`, `$DELETE`, `$KEY`, `$BT`,
 `$DS`, `$WHEN`; as list heads `$EACH`, `$REF`, `$FORMAT`, `$APPLY`; as map keys `$PACK` and `$MERGE`.
-Absent values are NULL (a struct's fields are fixed); specs whose shape depends on the data go through
-sylva.operators.trees instead.
+References with leading dots go up from the data beside them. Absent values are NULL (a struct's fields are fixed); specs whose
+shape depends on the data go through sylva.operators.trees instead. Misplaced commands raise when the template is compiled.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -19,6 +20,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, MapT
 
 from ..functions import kinds, nodes, paths
 from ..plans.node import ABSENT, Node
+from .trees import has_ref, merge_udf, misplaced
 
 _FULL = re.compile(r"`(\$[A-Z]+\d*|[^`]*)`")
 _PART = re.compile(r"`([^`]*)`")
@@ -36,16 +38,61 @@ class Context:
     step: str | None = None
     extra: dict[str, Callable] = field(default_factory=dict)
     going: tuple[str, ...] = ()
+    above: tuple[Node, ...] = ()  # from the root to what holds ``here``
+    meta: dict = field(default_factory=dict)
+    field: str | None = None  # names the key instead (a sibling `$KEY`)
+
+    def down(self, at: str, **more) -> Context:
+        """Beside the value at a step of what is beside this."""
+        return replace(self, here=self.here.get(at), above=(*self.above, self.here), **more)
+
+    def slot(self) -> Context:
+        """Beside the value that this place has itself."""
+        return self if self.step is None else self.down(self.step, step=None)
+
+
+_SPECIAL = re.compile(r"\$(GET|REF|META):(.*)\$")
+
+
+def _constant(store, path: str) -> str:
+    """Text of a constant at a path of a spec or of meta."""
+    for step in paths.resolve(path) or []:
+        store = store.get(step) if isinstance(store, dict) else store[int(step)] if isinstance(store, list) and step.isdigit() and int(step) < len(store) else None
+    return "" if store is None or isinstance(store, (dict, list)) else str(store)
 
 
 def _reference(ref: str, cx: Context) -> Node:
+    return _found(ref, cx)[-1]
+
+
+def _found(ref: str, cx: Context) -> tuple[Node, ...]:
+    """The value at a path, after those that hold it from the root on."""
     ref = ref.replace("$BT", "`").replace("$DS", "$") if len(ref) > 3 else ref
-    if ref.startswith("."):
-        if ref.startswith(".."):
-            raise ValueError("references above the element need absolute paths")
-        rest = ref[1:]
-        return cx.here if not rest else cx.here.path(paths.resolve(rest))
-    return cx.root.path(paths.resolve(ref))
+    steps = paths.parse(ref) if ref else []
+    keys: dict[str, Column] = {}  # steps that are columns
+    for k, step in enumerate(steps):
+        m = _SPECIAL.fullmatch(step)
+        if m and m[1] == "GET":
+            keys[step] = F.coalesce(cx.root.path(paths.resolve(m[2])).text(), F.lit(""))
+        elif m:
+            steps[k] = _constant(cx.spec if m[1] == "REF" else cx.meta, m[2])
+            if not steps[k]:
+                return (ABSENT,)
+        elif step == "$KEY" and cx.key is not None:
+            keys[step] = cx.key
+    trail = [*cx.above, cx.here] if cx.above else [cx.here]
+    marks = [f"\0{k}" for k in range(1, len(trail))]
+    at = paths.resolve(steps, marks) if steps else []
+    if at is None:
+        return (ABSENT,)
+    up = sum(step in marks for step in at)
+    nodes_ = list(trail[: up + 1]) if ref.startswith(".") else [cx.root]
+    at = at[up:]
+    if at and at[0] == "$TOP" and (cx.root.is_variant or cx.root.get("$TOP").absent):
+        at = at[1:]
+    for step in at:
+        nodes_.append(nodes_[-1].at(keys[step]) if step in keys else nodes_[-1].get(step))
+    return tuple(nodes_)
 
 
 def _leaf(text: str, cx: Context):
@@ -85,7 +132,13 @@ def _command(name: str, cx: Context):
         return cx.here.get(cx.step) if cx.step is not None else cx.here
     if base == "$DELETE":
         return DROP
+    if base == "$TOP":
+        return cx.root
+    if base == "$SPEC":
+        return nodes.as_variant(F.lit(None)) if cx.spec is None else F.parse_json(F.lit(json.dumps(cx.spec)))
     if base == "$KEY":
+        if cx.field is not None:
+            return cx.here.path(paths.resolve(cx.field))
         return F.lit(None).cast("string") if cx.key is None else cx.key
     if base == "$BT":
         return F.lit("`")
@@ -129,6 +182,15 @@ def _format(name, child, cx: Context):
     how = FORMATS.get(name) if isinstance(name, str) else name
     if how is None:
         raise ValueError(f"$FORMAT: unknown format: {name}.")
+    own = cx.slot()
+    if isinstance(child, list) and not _is_command(child):
+        places = [replace(own, step=str(i)) for i in range(len(child))]
+        if name == "concat":
+            return F.concat(F.lit(""), *(_leaf_text(x, at) for x, at in zip(child, places, strict=True)))
+        made = [_format(name, x, at) for x, at in zip(child, places, strict=True)]
+        return F.array(*made) if made else F.array()
+    if isinstance(child, dict) and child and not _is_command(child) and not any(k.startswith("`$") for k in child):
+        return F.struct(*(_format(name, x, replace(own, step=k)).alias(k) for k, x in child.items()))
     got = compile_spec(child, cx)
     node = got if isinstance(got, Node) else _literal_node(child, got)
     if isinstance(node.kind, ArrayType) and name != "concat":
@@ -138,6 +200,16 @@ def _format(name, child, cx: Context):
     return how(node)
 
 
+def _leaf_text(spec, cx: Context) -> Column:
+    """What concat takes of an element: maps and lists are empty."""
+    got = compile_spec(spec, cx)
+    if got is DROP or isinstance(spec, dict) or isinstance(spec, list) and not _is_command(spec):
+        return F.lit("")
+    if isinstance(got, Node):
+        return F.lit("") if isinstance(got.kind, (ArrayType, MapType, StructType)) else F.when(kinds.isnode(got.as_variant()), F.lit("")).otherwise(F.coalesce(got.text(), F.lit("null"))) if got.is_variant else F.coalesce(got.text(), F.lit("null"))
+    return F.coalesce(got.cast("string"), F.lit("null"))
+
+
 def _literal_node(spec, col: Column) -> Node:
 
     kind = BooleanType() if isinstance(spec, bool) else LongType() if isinstance(spec, int) else DoubleType() if isinstance(spec, float) else StringType()
@@ -147,10 +219,20 @@ def _literal_node(spec, col: Column) -> Node:
 # ---------------------------------------------------------------- structure
 
 
-def _collection(path: str, cx: Context) -> Node:
+def _collection(path: str, cx: Context) -> tuple[Node, ...]:
+    """The collection that a command names, after what holds it."""
+    path = path.strip("`")
     if path == "":
-        return cx.root
-    return cx.here if path == "." else _reference(path, cx) if not path.startswith("`") else _reference(path.strip("`"), cx)
+        return (cx.root,)
+    if path == ".":
+        own = cx.slot()
+        return (*own.above, own.here)
+    return _found(path, cx)
+
+
+def _inside(found: tuple[Node, ...], element: Node, key: Column, cx: Context) -> Context:
+    """Beside an element of a collection."""
+    return replace(cx, here=element, above=found, key=key, step=None, field=None)
 
 
 def _children(source: Node) -> tuple[Column, Callable[[Column], Node], Callable[[Column, Column], Column]] | None:
@@ -159,8 +241,7 @@ def _children(source: Node) -> tuple[Column, Callable[[Column], Node], Callable[
     if isinstance(t, ArrayType):
         return source.column, (lambda x: Node(x, t.elementType)), lambda x, i: i.cast("string")
     if isinstance(t, MapType):
-        entries = F.transform(F.array_sort(F.map_keys(source.column)), lambda k: F.struct(k.alias("key"), F.element_at(source.column, k).alias("value")))
-        return entries, (lambda x: Node(x["value"], t.valueType)), lambda x, i: x["key"]
+        return nodes.entries(source.column), (lambda x: Node(x["value"], t.valueType)), lambda x, i: x["key"]
     if isinstance(t, VariantType):
         return nodes.items(source.column), (lambda x: Node.variant(x["value"])), lambda x, i: x["key"]
     return None
@@ -168,17 +249,18 @@ def _children(source: Node) -> tuple[Column, Callable[[Column], Node], Callable[
 
 def _each(path: str, child, cx: Context) -> Column:
     source = _collection(path, cx)
-    kids = _children(source)
+    kids = _children(source[-1])
     if kids is None:
         return F.array()
     array, node, key = kids
-    made = F.transform(array, lambda x, i: _column(compile_spec(child, replace(cx, here=node(x), key=key(x, i), step=None))))
+    made = F.transform(array, lambda x, i: _column(compile_spec(child, _inside(source, node(x), key(x, i), cx))))
     return F.coalesce(made, F.expr("array()"))
 
 
 def _pack(args, cx: Context) -> Column:
     path, child = args
-    kids = _children(_collection(path, cx))
+    source = _collection(path, cx)
+    kids = _children(source[-1])
     if kids is None:
         return F.lit(None)
     array, node, key = kids
@@ -188,7 +270,7 @@ def _pack(args, cx: Context) -> Column:
         body = body["`$VAL`"]
 
     def entry(x: Column, i: Column) -> Column:
-        inner = replace(cx, here=node(x), key=key(x, i), step=None)
+        inner = _inside(source, node(x), key(x, i), cx)
         if name is None:
             k = key(x, i)
         elif "`" in name:
@@ -198,10 +280,7 @@ def _pack(args, cx: Context) -> Column:
         return F.struct(k.alias("key"), _column(compile_spec(body, inner)).alias("value"))
 
     entries = F.filter(F.transform(array, entry), lambda e: e["key"].isNotNull() & (e["key"] != ""))
-    # of equal keys the last stays
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda k: k == e["key"]))
-    return F.map_from_entries(last)
+    return F.map_from_entries(entries)  # of equal keys the last stays: spark.sql.mapKeyDedupPolicy, which transform() sets
 
 
 def _text(x) -> Column:
@@ -240,12 +319,9 @@ def compile_spec(spec, cx: Context):
                 raise ValueError(f"$APPLY: invalid argument: {spec[1]} ({kinds.NAMES[kinds.T_string]} at position 1) is not of type: function.")
             return spec[1](_column(compile_spec(spec[2], cx)))
         if name == "$REF":
-            if spec[1] in cx.going:
-                return DROP
-            sub = _subspec(spec[1], cx)
-            return DROP if sub is None else compile_spec(sub, replace(cx, going=(*cx.going, spec[1])))
-        made = [compile_spec(s, replace(cx, step=str(i))) for i, s in enumerate(spec)]
-        made = [m for m in made if m is not DROP]
+            return _again(spec[1], cx)
+        made = [compile_spec(x, cx.slot().down(str(i)) if isinstance(x, dict) else replace(cx.slot(), step=str(i))) for i, x in enumerate(spec)]
+        made = [m for m in made if m is not DROP and not (isinstance(m, Node) and m.absent)]
         kinds_of = {m.kind.simpleString() if isinstance(m, Node) and m.kind else type(s).__name__ for m, s in zip(made, spec, strict=False)}
         if len(kinds_of) <= 1:
             return F.array(*map(_column, made))
@@ -255,43 +331,74 @@ def compile_spec(spec, cx: Context):
     return F.lit(spec)
 
 
+def _again(path: str, cx: Context):
+    """`$REF`: a part of the spec once more, in this place; one that refers on ends where the data ends."""
+    sub = _subspec(path, cx)
+    if sub is None or sub == ["`$REF`", path]:
+        return DROP
+    own = cx.slot()
+    if has_ref(sub):
+        if own.here.absent:
+            return DROP
+        if own.here.is_variant or len(cx.going) > 32:
+            raise ValueError("a $REF that refers to itself over VARIANT needs trees.transform_udf")
+    inner = replace(own if isinstance(sub, (dict, list)) and not _is_command(sub) else cx, going=(*cx.going, path))
+    made = compile_spec(sub, inner)
+    return F.when(~own.here.missing(), _column(made)) if has_ref(sub) and made is not DROP else made
+
+
 def compile_map(spec: dict, cx: Context) -> dict[str, Column] | Column:
     """Fields of a map template in order; a Column for `$PACK`."""
     if "`$PACK`" in spec:
         return _pack(spec["`$PACK`"], cx)
     out: dict[str, Column] = {}
+    cx = replace(cx, field=spec["`$KEY`"] if isinstance(spec.get("`$KEY`"), str) else None)
     for k, v in spec.items():
         if _FULL.fullmatch(k) and k.startswith("`$"):
             continue
         step = re.sub(r"^`|`$", "", k)
-        inner = replace(cx, here=cx.here.get(step) if isinstance(v, (dict, list)) and not _is_command(v) else cx.here, step=step)
+        inner = cx.down(step, step=None, key=F.lit(step)) if isinstance(v, dict) and not _is_command(v) else replace(cx, step=step)
         made = compile_spec(v, inner)
         if made is not DROP and not (isinstance(made, Node) and made.absent):
             out[k] = _column(made)
     merges = sorted(k for k in spec if re.fullmatch(r"`\$MERGE\d*`", k))
     for k in merges:  # what is there already wins
         args = spec[k] if isinstance(spec[k], list) else [spec[k]]
-        for a in reversed(args):
-            node = compile_spec(a, cx) if not isinstance(a, dict) else compile_spec(a, cx)
+        made = [cx.root if a in ("", "``") else compile_spec(a, replace(cx, step=None)) for a in args]
+        if any(isinstance(m, Node) and (m.is_variant or isinstance(m.kind, MapType)) for m in made):
+            return _merged(out, made)
+        for a, node in zip(reversed(args), reversed(made), strict=True):
             if isinstance(node, Node) and isinstance(node.kind, StructType):
                 for f in node.kind.fields:
                     out.setdefault(f.name, node.get(f.name).column)
             elif isinstance(a, dict):
                 for name, c in compile_map(a, cx).items():
                     out.setdefault(name, c)
-            else:
-                raise ValueError("$MERGE: needs a struct or a literal map")
+            elif not (node is DROP or isinstance(node, Node) and node.absent):
+                raise ValueError("$MERGE: needs a map")
     return out
 
 
+def _merged(fields: dict[str, Column], args: list) -> Column:
+    """Maps whose keys only the data knows, under the fields, merged to any depth: VARIANT."""
+    texts = [F.to_json(m.as_variant() if isinstance(m, Node) else nodes.as_variant(m)) for m in args if m is not DROP]
+    own = F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))) if fields else F.lit("{}")
+    return F.parse_json(merge_udf()(F.array(*texts, own)))
+
+
 def _is_command(v) -> bool:
     return isinstance(v, list) and bool(v) and isinstance(v[0], str) and v[0].startswith("`$") or isinstance(v, dict) and "`$PACK`" in v
 
 
-def transform(df: DataFrame, spec: dict, doc: str | None = None, extra: dict[str, Callable] | None = None) -> DataFrame:
+def transform(df: DataFrame, spec: dict, doc: str | None = None, extra: dict[str, Callable] | None = None, meta: dict | None = None) -> DataFrame:
     """One column for each key of spec, from each row (or from the document in column doc)."""
+    if wrong := misplaced(spec, extra or ()):
+        raise ValueError(" | ".join(wrong))
+    df.sparkSession.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     root = Node.row(df) if doc is None else Node(F.col(doc), df.schema[doc].dataType)
-    fields = compile_map(spec, Context(root, root, spec, extra=extra or {}))
+    fields = compile_map(spec, Context(root, root, spec, extra=extra or {}, meta=meta or {}))
+    if isinstance(fields, Column):
+        raise ValueError("a $PACK or a $MERGE of VARIANT has no fixed columns: put it under a key")
     return df.select(*(c.alias(k) for k, c in fields.items()))
 
 

@@ -1,29 +1,41 @@
 """validate: by-example shapes compiled to an array of error texts and the completed document.
 
 A literal leaf gives a default and fixes the type; `$STRING` and the like fix it without a default;
-a map is closed unless it is empty or has `$OPEN`. Paths in texts leave out the root.
+a map is closed unless it is empty or has `$OPEN`. Paths in texts leave out the root. Shapes that refer to the
+data or to themselves, to meta, or to checkers of one's own are run by the tree engine instead, with the same results.
 """
 
 from __future__ import annotations
 
 import json
+import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StringType, StructType, VariantType
 
 from ..functions import kinds, nodes
 from ..plans.node import Node, equals, typecode
+from . import shapes
 
 _CHECKS = {"`$NUMBER`": "number", "`$INTEGER`": "integer", "`$DECIMAL`": "decimal", "`$BOOLEAN`": "boolean", "`$NULL`": "null", "`$MAP`": "map", "`$LIST`": "list", "`$STRING`": "string", "`$FUNCTION`": "function", "`$INSTANCE`": "instance"}
 _BITS = {"number": kinds.T_number, "integer": kinds.INTEGER, "decimal": kinds.DECIMAL, "boolean": kinds.BOOLEAN, "map": kinds.MAP, "list": kinds.LIST, "string": kinds.STRING}
 _NAMES = {kinds.INTEGER: "integer", kinds.DECIMAL: "decimal", kinds.BOOLEAN: "boolean", kinds.STRING: "string", kinds.MAP: "map", kinds.LIST: "list"}
 
 
+class NeedsTree(ValueError):
+    """A shape that only the tree engine can run."""
+
+
 def _found(node: Node) -> Column:
     """What an error text says was there."""
     if node.absent:
         return F.lit("no value")
+    t = node.kind
+    if isinstance(t, (NumericType, StringType, BooleanType)):  # no way through VARIANT
+        name = F.when(node.col % 1 == 0, "integer: ").otherwise("decimal: ") if isinstance(t, NumericType) else F.lit("string: " if isinstance(t, StringType) else "boolean: ")
+        return F.when(node.missing(), F.lit("no value")).otherwise(F.concat(name, node.text()))
     v = node.as_variant()
     return F.when(kinds.is_missing(v), F.lit("no value")).otherwise(F.concat(kinds.typename(kinds.typify(v).bitwiseAND(~(kinds.T_scalar | kinds.T_node))), F.lit(": "), kinds.stringify(v)))
 
@@ -63,6 +75,8 @@ def errors(node: Node, shape, path: Column | None = None) -> Column:
         return _when(~node.missing(), _expected(path, "nil", node))
     if shape == "`$ANY`":
         return F.array().cast("array<string>")
+    if isinstance(shape, str) and shapes._REF.fullmatch(shape):
+        raise NeedsTree(shape)
     if isinstance(shape, dict):
         return _map_errors(node, shape, path)
     if isinstance(shape, (list, tuple)):
@@ -73,35 +87,36 @@ def errors(node: Node, shape, path: Column | None = None) -> Column:
     return _when(~(node.missing() | F.coalesce(node.is_kind(want), F.lit(False))), _expected(path, _NAMES[want], node))
 
 
-def _each_child(node: Node, shape, path: Column | None) -> Column:
-    """Errors of all children against one shape."""
+def _each_child(node: Node, shape, path: Column | None, known: tuple[str, ...] = ()) -> Column:
+    """Errors of all children but the known ones against one shape."""
     t = node.kind
     if isinstance(t, ArrayType):
         lists = F.transform(node.column, lambda x, i: errors(Node(x, t.elementType), shape, _sub(path, i.cast("string"))))
     elif isinstance(t, StructType):
-        return _join([errors(node.get(f.name), shape, _sub(path, f.name)) for f in sorted(t.fields, key=lambda f: f.name)])
-    elif isinstance(t, MapType):
-        lists = F.transform(F.array_sort(F.map_keys(node.column)), lambda k: errors(Node(F.element_at(node.column, k), t.valueType), shape, _sub(path, k)))
+        return _join([errors(node.get(f.name), shape, _sub(path, f.name)) for f in sorted(t.fields, key=lambda f: f.name) if f.name not in known])
     else:
-        lists = F.transform(nodes.items(node.as_variant()), lambda x: errors(Node.variant(x["value"]), shape, _sub(path, x["key"])))
-    return F.coalesce(F.flatten(lists), F.array().cast("array<string>"))
+        entries = nodes.entries(node.column) if isinstance(t, MapType) else nodes.items(node.as_variant())
+        entries = F.filter(entries, lambda x: ~x["key"].isin(*known)) if known else entries
+        value = (lambda x: Node(x["value"], t.valueType)) if isinstance(t, MapType) else (lambda x: Node.variant(x["value"]))
+        lists = F.transform(entries, lambda x: errors(value(x), shape, _sub(path, x["key"])))
+    # children without errors are gone before their lists are joined
+    return F.coalesce(F.flatten(F.filter(lists, lambda e: F.size(e) > 0)), F.array().cast("array<string>"))
 
 
 def _map_errors(node: Node, shape: dict, path: Column | None) -> Column:
     is_row = node.col is None and not node.absent
     wrong = F.lit(False) if is_row else ~(node.missing() | F.coalesce(node.is_kind(kinds.MAP), F.lit(False)))
+    none = F.array().cast("array<string>")
     out = [_when(wrong, _expected(path, "map", node))]
-    if "`$CHILD`" in shape:
+    plain = sorted(k for k in shape if k not in (shapes.OPEN, shapes.CHILD))
+    body = [errors(node.get(k), shape[k], _sub(path, k)) for k in plain]
+    if shapes.CHILD in shape:
         there = F.lit(True) if is_row else F.coalesce(node.is_kind(kinds.MAP), F.lit(False))
-        out.append(F.when(there, _each_child(node, shape["`$CHILD`"], path)).otherwise(F.array().cast("array<string>")))
-        return _join(out)
-    plain = sorted(k for k in shape if not k.startswith("`$"))
-    inner = [errors(node.get(k), shape[k], _sub(path, k)) for k in plain]
-    if plain:
-        body = _join(inner)
-        if plain and not shape.get("`$OPEN`"):
-            body = F.concat(body, _unexpected(node, plain, path))
-        out.append(body if is_row else F.when(wrong, F.array().cast("array<string>")).otherwise(body))
+        body.append(F.when(there, _each_child(node, shape[shapes.CHILD], path, tuple(plain))).otherwise(none))
+    elif plain and shape.get(shapes.OPEN) is not True:
+        body.append(_unexpected(node, plain, path))
+    if body:
+        out.append(_join(body) if is_row else F.when(wrong, none).otherwise(_join(body)))
     return _join(out)
 
 
@@ -130,11 +145,13 @@ def _list_errors(node: Node, shape: list, path: Column | None) -> Column:
     if head == "`$EXACT`":
         ok = F.lit(False)
         for s in shape[1:]:
-            same = equals(node, s) if not isinstance(s, (dict, list)) else F.coalesce(F.to_json(node.as_variant()) == json.dumps(s, sort_keys=True, separators=(",", ":"), ensure_ascii=False), F.lit(False))
+            same = equals(node, s) if not isinstance(s, (dict, list)) else _same_tree(node.as_variant(), s)
             ok = ok | F.coalesce(same, F.lit(False))
         names = ", ".join(_plain(s) for s in shape[1:])
         what = f"exactly equal to {'one of ' if len(shape) > 2 else ''}{names}"
         return _when(~ok, _expected(path, what, node) if path is not None else F.concat(F.lit(f"Expected value {what}, but found "), _found(node), F.lit(".")))
+    if head == "`$REF`":
+        raise NeedsTree(head)
     wrong = ~(node.missing() | F.coalesce(node.is_kind(kinds.LIST), F.lit(False)))
     out = [_when(wrong, _expected(path, "list", node))]
     if head == "`$CHILD`":
@@ -153,28 +170,96 @@ def _describe(shape) -> str:
     return _CHECKS.get(shape, shape.strip("`$").lower()) if isinstance(shape, str) else _plain(shape)
 
 
-def completed(node: Node, shape):
-    """The document with defaults: a Column, or None where the shape keeps the data as it is."""
-    if isinstance(shape, dict) and shape and "`$CHILD`" not in shape and not shape.get("`$OPEN`"):
-        return F.struct(*(_or_data(node.get(k), v).alias(k) for k, v in shape.items() if not k.startswith("`$")))
-    return _or_data(node, shape)
+def _same_tree(v: Column, value) -> Column:
+    """Whether a VARIANT value equals a literal map or list: 1 is 1.0, and keys come in any order."""
+    if isinstance(value, dict):
+        m = kinds.as_map(v)
+        parts = [_same_tree(F.try_element_at(m, F.lit(k)), x) for k, x in value.items()]
+        return reduce(operator.and_, parts, F.coalesce(F.size(m) == len(value), F.lit(False)))
+    if isinstance(value, (list, tuple)):
+        a = kinds.as_list(v)
+        return reduce(operator.and_, (_same_tree(F.get(a, F.lit(i)), x) for i, x in enumerate(value)), F.coalesce(F.size(a) == len(value), F.lit(False)))
+    if value is None:
+        return F.coalesce(F.is_variant_null(v), F.lit(False))
+    return F.coalesce(equals(Node.variant(v), value), F.lit(False))
 
 
-def _or_data(node: Node, shape) -> Column:
-    if isinstance(shape, dict) and shape and not any(k.startswith("`$") for k in shape):
-        return completed(node, shape)
-    if isinstance(shape, (dict, list, tuple)) or shape is None or isinstance(shape, str) and shape.startswith("`$"):
-        return node.column
-    if node.absent:
-        return F.lit(shape)
-    value = {bool: lambda: kinds.boolean(node.col), str: node.string}.get(type(shape), node.number)() if node.is_variant else node.column
-    return F.coalesce(value, F.lit(shape))
+def _literal(value) -> Column:
+    return F.parse_json(F.lit(json.dumps(value)))
+
+
+def _as_map(entries: Column) -> Column:
+    return F.to_variant_object(F.map_from_entries(F.filter(entries, lambda x: x["value"].isNotNull())))
+
+
+def completed(node: Node, shape) -> Column:
+    """The document with the shape's defaults, as VARIANT; absent is NULL. Values of a wrong kind stay."""
+    own = node.as_variant()
+    if isinstance(shape, dict):
+        return _completed_map(node, own, shape)
+    if isinstance(shape, (list, tuple)):
+        return _completed_list(node, own, list(shape))
+    if shape is None or isinstance(shape, str) and shapes._REF.fullmatch(shape):
+        return own
+    return F.when(node.missing(), _literal(shape)).otherwise(own)
+
+
+def _completed_map(node: Node, own: Column, shape: dict) -> Column:
+    plain = sorted(k for k in shape if k not in (shapes.OPEN, shapes.CHILD))
+    entry = "array<struct<key:string,value:variant>>"
+    fields = [F.struct(F.lit(k).alias("key"), completed(node.get(k), shape[k]).alias("value")) for k in plain]
+    made = F.array(*fields).cast(entry) if fields else F.array().cast(entry)
+    if shapes.CHILD in shape or not shape or shape.get(shapes.OPEN) is True:
+        more = F.coalesce(nodes.entries(kinds.as_map(own)), F.array().cast(entry))
+        more = F.filter(more, lambda x: ~x["key"].isin(*plain)) if plain else more
+        if shapes.CHILD in shape:
+            more = F.transform(more, lambda x: F.struct(x["key"].alias("key"), completed(Node.variant(x["value"]), shape[shapes.CHILD]).alias("value")))
+        made = F.concat(made, more)
+    is_row = node.col is None and not node.absent
+    fits = F.lit(True) if is_row else node.missing() | F.coalesce(node.is_kind(kinds.MAP), F.lit(False))
+    return F.when(fits, _as_map(made)).otherwise(own)
+
+
+def _completed_list(node: Node, own: Column, shape: list) -> Column:
+    head = shape[0] if shape and isinstance(shape[0], str) else ""
+    if head == "`$ONE`":
+        return F.coalesce(*(F.when(F.size(errors(node, x)) == 0, completed(node, x)) for x in shape[1:]), own)
+    if head == "`$EXACT`":
+        return own
+    if head == shapes.CHILD:
+        made = F.transform(kinds.as_list(own), lambda x: completed(Node.variant(x), shape[1]))
+    elif shape:
+        made = F.array(*(completed(node.get(i), x) for i, x in enumerate(shape)))
+        made = F.filter(made, lambda x: x.isNotNull())
+    else:
+        made = kinds.as_list(own)
+    fits = node.missing() | F.coalesce(node.is_kind(kinds.LIST), F.lit(False))
+    return F.when(fits, F.to_variant_object(F.coalesce(made, F.array().cast("array<variant>")))).otherwise(own)
+
+
+def _by_trees(df: DataFrame, node: Node, shape, extra: dict | None, meta: dict | None) -> Column:
+    """struct(out: JSON text, errs) of the tree engine over the document's JSON text."""
+    v = node.column if isinstance(node.kind, (StructType, MapType, ArrayType, VariantType)) else node.as_variant()
+    return shapes.checked_udf(shape, extra, meta)(F.to_json(v))
+
 
+def validate(df: DataFrame, shape, doc: str | None = None, strict: bool = False, out: str | None = None, extra: dict | None = None, meta: dict | None = None) -> DataFrame:
+    """df with errs (array of texts); strict raises the texts of a bad row, joined by ' | '.
 
-def validate(df: DataFrame, shape: dict, doc: str | None = None, strict: bool = False) -> DataFrame:
-    """df with errs (array of texts); strict raises the texts of a bad row, joined by ' | '."""
+    out names a VARIANT column for the completed document. extra has checkers of one's own by `$NAME` ((value, path, errors) ->
+    value) and values under the data; meta has what `name$=path` and `name$~path` read, and `$EXACT`.
+    """
     node = Node.row(df) if doc is None else Node(F.col(doc), df.schema[doc].dataType)
-    errs = errors(node, shape)
+    made = None
+    try:
+        if extra or meta:
+            raise NeedsTree("names from outside")
+        errs = errors(node, shape)
+        made = completed(node, shape) if out else None
+    except NeedsTree:
+        both = _by_trees(df, node, shape, extra, meta)
+        errs, made = both["errs"], F.parse_json(both["out"])
     if strict:
         errs = F.when(F.size(errs) > 0, F.raise_error(F.array_join(errs, " | ")).cast("array<string>")).otherwise(errs)
-    return df.withColumn("errs", errs)
+    more = {"errs": errs} | ({out: made} if out else {})
+    return df.withColumns(more)

@@ -19,13 +19,15 @@ def walk(df: DataFrame, doc: str, keep: list[str], maxdepth: int | None = MAXDEP
     above = "".join(f"t.`{c}`, " for c in keep)
     spark = df.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # depth bounds the recursion; its rows grow with the table
-    return spark.sql(f"""
+    out = spark.sql(f"""
         WITH RECURSIVE t AS (
           SELECT {own} CAST(NULL AS STRING) AS key, CAST(array() AS ARRAY<STRING>) AS path, CAST(array() AS ARRAY<INT>) AS ord, 0 AS depth, `{doc}` AS value FROM {view}
           UNION ALL
           SELECT {above} coalesce(e.key, CAST(e.pos AS STRING)), array_append(t.path, coalesce(e.key, CAST(e.pos AS STRING))), array_append(t.ord, e.pos), t.depth + 1, e.value
           FROM t, LATERAL variant_explode(t.value) AS e WHERE t.depth < {depth}
         ) SELECT * FROM t""")
+    spark.catalog.dropTempView(view)  # the plan has what it needs
+    return out
 
 
 def leaves(df: DataFrame, doc: str, keep: list[str]) -> DataFrame:

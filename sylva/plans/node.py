@@ -58,6 +58,22 @@ class Node:
             return Node(nodes.getprop(self.col, k), t)
         return ABSENT
 
+    def at(self, key: Column) -> Node:
+        """The value at a key that is text of the row."""
+        t, index = self.kind, F.when(key.rlike(f"^({_INDEX.pattern})$"), key.try_cast("int"))
+        if isinstance(t, StructType):
+            same = [f for f in t.fields if f.dataType == t.fields[0].dataType]
+            if len(same) < len(t.fields):
+                raise ValueError("a key that depends on the row needs fields of one type")
+            return Node(F.coalesce(*(F.when(key == f.name, self.get(f.name).column) for f in same)), same[0].dataType) if same else ABSENT
+        if isinstance(t, MapType):
+            return Node(F.try_element_at(self.col, key), t.valueType)
+        if isinstance(t, ArrayType):
+            return Node(F.get(self.col, index), t.elementType)
+        if self.is_variant:
+            return Node(kinds.present(F.coalesce(F.try_element_at(kinds.as_map(self.col), key), F.get(kinds.as_list(self.col), index))), t)
+        return ABSENT
+
     def path(self, steps: list[str] | None) -> Node:
         out = ABSENT if steps is None else self
         for s in steps or []:

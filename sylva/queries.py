@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import kinds, nodes, paths, scalars
 from .operators import shapes, trees
 from .operators.merge import merge_agg, merge_depth, merge_maps
-from .operators.select import select, select_list
+from .operators.select import select, select_children, select_list
 from .operators.transform import inject, transform
 from .operators.validate import validate
 from .operators.walk import leaves, walk
@@ -77,10 +77,10 @@ def getelem_negative(spark, d):
     return o.select("o_orderkey", F.try_variant_get(last, "$.n", "bigint").alias("last_line"))
 
 
-@query("SELECT event_id, 'none' AS missing FROM events")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 9 = 6 THEN '1' ELSE 'none' END AS b FROM customer")
 def getprop_default(spark, d):
-    e = _events(spark, d)
-    return e.select("event_id", kinds.text(nodes.getprop(F.col("doc"), "nothing", F.parse_json(F.lit('"none"')))).alias("missing"))
+    m = _mixed(spark, d)
+    return m.select("c_custkey", kinds.text(nodes.getprop(F.col("v"), "b", F.parse_json(F.lit('"none"')))).alias("b"))
 
 
 @query("SELECT c_custkey, c_custkey % 9 = 6 AS has_b, c_custkey % 9 = 5 AS has_0, false AS has_1 FROM customer")
@@ -251,9 +251,9 @@ def select_or(spark, d):
     return select(table(spark, d, "events"), {"`$OR`": [{"event_type": "error"}, {"user_id": {"`$LT`": 10}}]}).select("event_id")
 
 
-@query("SELECT event_id FROM events")
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 6")
 def select_not_missing(spark, d):
-    return select(_events(spark, d), {"doc": {"`$NOT`": {"gone": 1}}}).select("event_id")
+    return select(_mixed(spark, d), {"v": {"`$NOT`": {"b": 1}}}).select("c_custkey")
 
 
 @query("SELECT event_id FROM events WHERE NOT (event_type = 'click')")
@@ -266,9 +266,9 @@ def select_range(spark, d):
     return select(_events(spark, d), {"doc": {"k": {"`$AND`": [{"`$GTE`": 20}, {"`$LT`": 40}]}}}).select("event_id")
 
 
-@query("SELECT p_partkey FROM part WHERE regexp_matches(p_type, 'a.*e$')")
+@query("SELECT p_partkey FROM part WHERE regexp_matches(p_type, 'A.*[DL]')")
 def select_like(spark, d):
-    return select(table(spark, d, "part"), {"p_type": {"`$LIKE`": "a.*e$"}}).select("p_partkey")
+    return select(table(spark, d, "part"), {"p_type": {"`$LIKE`": "A.*[DL]"}}).select("p_partkey")
 
 
 @query(f"SELECT o_orderkey FROM orders JOIN {RANKED} ON l_orderkey = o_orderkey WHERE r = 0 AND l_returnflag = 'R'")
@@ -364,9 +364,10 @@ def validate_types(spark, d):
     return validate(_mixed(spark, d), {"v": "`$NUMBER`", "`$OPEN`": True}).select("c_custkey", F.array_join("errs", " | ").alias("errs"))
 
 
-@query("SELECT event_id, 'Unexpected keys at field doc: k' AS errs FROM events")
+@query("SELECT c_custkey, CASE c_custkey % 9 WHEN 6 THEN 'Unexpected keys at field v: b' WHEN 0 THEN '' WHEN 8 THEN '' ELSE 'Expected field v to be map, but found ' END AS errs FROM customer")
 def validate_closed(spark, d):
-    return validate(_events(spark, d), {"doc": {"a": 1}, "`$OPEN`": True}).select("event_id", F.array_join("errs", " | ").alias("errs"))
+    v = validate(_mixed(spark, d), {"v": {"a": {}}, "`$OPEN`": True})
+    return v.select("c_custkey", F.regexp_replace(F.array_join("errs", " | "), "(but found ).*", "$1").alias("errs"))
 
 
 @query(f"SELECT o_orderkey, coalesce(string_agg('Expected field items.' || CAST(r AS VARCHAR) || '.flag to be exactly equal to one of A, N, but found string: R.', ' | ' ORDER BY r) FILTER (l_returnflag = 'R'), '') AS errs FROM orders JOIN {RANKED} ON l_orderkey = o_orderkey GROUP BY 1")
@@ -403,12 +404,12 @@ def merge_agg_rows(spark, d):
     return merge_agg(table(spark, d, "events"), ["user_id"], "event_id", ["event_type", "value"])
 
 
-@query("SELECT c_custkey, '{\"a\":1,\"b\":' || CAST(c_custkey AS VARCHAR) || '}' AS s, '{\"a\":1}' AS x, '{\"a\":1,\"n\":{\"z\":' || CAST(c_custkey AS VARCHAR) || '}}' AS p FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 9 WHEN 6 THEN '{\"a\":{\"c\":2},\"b\":' || CAST(c_custkey AS VARCHAR) || '}' WHEN 5 THEN '[1,null,3]' END AS s, CASE c_custkey % 9 WHEN 6 THEN '{\"b\":1}' WHEN 5 THEN '[1,null,3]' END AS x, CASE c_custkey % 9 WHEN 6 THEN '{\"a\":{\"c\":2,\"z\":' || CAST(c_custkey AS VARCHAR) || '},\"b\":1}' WHEN 5 THEN '[1,null,3]' END AS p, CASE c_custkey % 9 WHEN 5 THEN '[1,' || CAST(c_custkey AS VARCHAR) || ',3]' END AS l FROM customer WHERE c_custkey % 9 IN (5, 6)")
 def setprop_delprop_setpath(spark, d):
-    v = F.parse_json(F.lit('{"a":1}'))
-    n = nodes.as_variant(F.col("c_custkey"))
-    s = nodes.setprop(v, "b", n)
-    return table(spark, d, "customer").select("c_custkey", F.to_json(s).alias("s"), F.to_json(nodes.delprop(s, "b")).alias("x"), F.to_json(paths.setpath(v, "n.z", n)).alias("p"))
+    v, n = F.col("v"), nodes.as_variant(F.col("c_custkey"))
+    rows = _mixed(spark, d).where("c_custkey % 9 IN (5, 6)")
+    deep = F.when(kinds.ismap(v), paths.setpath(v, "a.z", n)).otherwise(v)
+    return rows.select("c_custkey", F.to_json(nodes.setprop(v, "b", n)).alias("s"), F.to_json(nodes.delprop(v, "a")).alias("x"), F.to_json(deep).alias("p"), F.when(kinds.islist(v), F.to_json(nodes.setprop(v, 1, n))).alias("l"))
 
 
 def _trees(spark: SparkSession, d: str) -> DataFrame:
@@ -427,7 +428,7 @@ def walk_leaves(spark, d):
     return leaves(_trees(spark, d), "v", ["r_regionkey"]).groupBy("r_regionkey").agg(F.count("*").alias("leaves"))
 
 
-def _orders(spark: SparkSession, d: str) -> DataFrame:
+def _order_trees(spark: SparkSession, d: str) -> DataFrame:
     line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"))
     nested = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     return nested.select("l_orderkey", document(F.struct("lines").alias("order")).alias("v"))
@@ -435,7 +436,7 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(d AS INTEGER) AS depth, CAST(CASE WHEN d < 3 THEN count(DISTINCT l_orderkey) WHEN d = 3 THEN count(*) ELSE 2 * count(*) END AS BIGINT) AS nodes FROM lineitem, range(5) t(d) GROUP BY d")
 def walk_order_nodes(spark, d):
-    return walk(_orders(spark, d), "v", ["l_orderkey"]).groupBy(F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("nodes"))
+    return walk(_order_trees(spark, d), "v", ["l_orderkey"]).groupBy(F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("nodes"))
 
 
 # ---------------------------------------------------------------- trees as Arrow functions
@@ -471,3 +472,209 @@ def validate_tree(spark, d):
 def select_tree(spark, d):
     children = F.format_string('{"y":{"a":50},"x":{"a":%s},"z":"a"}', F.get_json_object("props", "$.k"))
     return table(spark, d, "events").select("event_id", shapes.select_udf({"a": {"`$GTE`": 50}})(children).alias("picked"))
+
+
+# ---------------------------------------------------------------- rules over real documents
+
+
+@query(f"SELECT o_orderkey AS id, string_agg(o_orderstatus || CAST(l_linenumber AS VARCHAR) || o_orderstatus, ',' ORDER BY r) AS x FROM orders JOIN {RANKED} ON l_orderkey = o_orderkey GROUP BY 1")
+def transform_ancestors(spark, d):
+    t = transform(_orders(spark, d), {"id": "`o_orderkey`", "x": ["`$EACH`", "items", {"a": "`...o_orderstatus`", "in": {"n": "`..n`", "s": "`....o_orderstatus`"}}]})
+    return t.select("id", F.array_join(F.transform("x", lambda x: F.concat(x["a"], x["in"]["n"].cast("string"), x["in"]["s"])), ",").alias("x"))
+
+
+@query(f"SELECT o_orderkey AS id, string_agg(lower(l_returnflag), '' ORDER BY r) AS flags, string_agg(l_returnflag, '' ORDER BY r) AS same FROM orders JOIN {RANKED} ON l_orderkey = o_orderkey GROUP BY 1")
+def transform_each_scalars(spark, d):
+    o = _orders(spark, d).withColumn("flags", F.transform("items", lambda x: x["flag"]))
+    t = transform(o, {"id": "`o_orderkey`", "low": ["`$EACH`", "flags", ["`$FORMAT`", "lower", "`$COPY`"]], "same": ["`$EACH`", "flags", "`$COPY`"]})
+    return t.select("id", F.array_join("low", "").alias("flags"), F.array_join("same", "").alias("same"))
+
+
+@query("SELECT n_nationkey AS id, n_name AS title, r_name AS region, CAST(NULL AS VARCHAR) AS above FROM nation JOIN region ON r_regionkey = n_regionkey")
+def transform_ref_recursive(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    place = F.struct(F.col("n_name").alias("name"), F.struct(F.col("r_name").alias("name"), F.lit(None).cast("struct<name: string>").alias("of")).alias("of"))
+    t = transform(n.select("n_nationkey", place.alias("place")), {"id": "`n_nationkey`", "place": {"title": "`.name`", "of": ["`$REF`", "place"]}})
+    return t.select("id", "place.title", F.col("place.of.title").alias("region"), F.col("place.of.of.title").alias("above"))
+
+
+@query("SELECT event_id AS id, CAST(event_id AS VARCHAR) AS key, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 0 END AS n FROM events")
+def transform_key_field(spark, d):
+    weights = F.create_map(F.lit("view"), F.lit(1), F.lit("click"), F.lit(2))
+    e = table(spark, d, "events").withColumn("weight", weights).withColumn("e", F.struct("event_id", "event_type"))
+    t = transform(e, {"id": "`event_id`", "e": {"key": "`$KEY`", "`$KEY`": "event_id"}, "n": "`weight.$GET:event_type$`"})
+    return t.select("id", F.col("e.key").cast("string").alias("key"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT event_id AS id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"n\":1}' AS x FROM events")
+def transform_merge_variant(spark, d):
+    return transform(_events(spark, d), {"id": "`event_id`", "x": {"`$MERGE`": "`doc`", "n": 1}}).select("id", F.to_json("x").alias("x"))
+
+
+@query("SELECT event_id AS id, upper(event_type) || '-' || CAST(user_id AS VARCHAR) AS joined, CAST(user_id AS DOUBLE) AS number, event_type AS same FROM events")
+def transform_formats(spark, d):
+    t = transform(table(spark, d, "events"), {"id": "`event_id`", "joined": ["`$FORMAT`", "concat", [["`$FORMAT`", "upper", "`event_type`"], "-", "`user_id`"]], "number": ["`$FORMAT`", "number", "`user_id`"], "same": ["`$FORMAT`", "identity", "`event_type`"]})
+    return t
+
+
+@query("SELECT event_id AS id, '`' || event_type || '$' AS t, 'x' AS custom FROM events")
+def transform_escapes_and_custom(spark, d):
+    return transform(table(spark, d, "events"), {"id": "`event_id`", "t": "`$BT``event_type``$DS`", "custom": "`$MINE`", "gone": "`$NOPE`"}, extra={"$MINE": lambda cx: F.lit("x")})
+
+
+@query("SELECT event_id, '{\"id\":' || json_extract_string(props, '$.k') || '}' AS out, '$EACH: invalid placement as key, expected: value.' AS errs FROM events")
+def transform_errors_tree(spark, d):
+    f = trees.transform_errs_udf({"id": "`k`", "x": {"`$EACH`": 1}})
+    e = table(spark, d, "events").select("event_id", f(F.col("props")).alias("r"))
+    return e.select("event_id", F.regexp_replace("r.out", ',"x":\\{\\}', "").alias("out"), F.array_join("r.errs", " | ").alias("errs"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 9 = 3 THEN 'Expected field v to be exactly equal to ' || CAST(c_custkey AS VARCHAR) || ', but found decimal: 2.5.' ELSE '' END AS errs FROM customer WHERE c_custkey % 9 IN (2, 3)")
+def validate_meta(spark, d):
+    m = _mixed(spark, d).where("c_custkey % 9 IN (2, 3)").withColumn("lim", F.col("c_custkey"))
+    v = validate(m.select("c_custkey", "v"), {"c_custkey": "`$INTEGER`", "v": "`$NUMBER`"}, meta={"q": {"x": 1}})
+    exact = validate(m.where("c_custkey % 9 = 3").select("c_custkey", "v"), {"v": "`q$=x`", "`$OPEN`": True}, meta={"q": {"x": 1}})
+    exact = exact.select("c_custkey", F.regexp_replace(F.array_join("errs", ""), "equal to 1,", F.concat(F.lit("equal to "), F.col("c_custkey").cast("string"), F.lit(","))).alias("errs"))
+    return v.where("c_custkey % 9 = 2").select("c_custkey", F.array_join("errs", "").alias("errs")).unionByName(exact)
+
+
+@query("SELECT event_id, user_id, '{\"event_id\":' || CAST(event_id AS VARCHAR) || ',\"user_id\":' || CAST(user_id AS VARCHAR) || '}' AS out FROM events")
+def validate_ref(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("user_id"), F.col("user_id").alias("u"))
+    v = validate(e.select("event_id", "user_id", "u"), {"event_id": "`$INTEGER`", "user_id": "`u`", "u": "`$INTEGER`"}, out="o")
+    same = F.to_json(F.struct("event_id", F.try_variant_get("o", "$.user_id", "bigint").alias("user_id")))
+    return v.select("event_id", F.col("u").alias("user_id"), same.alias("out"))
+
+
+@query(f"SELECT o_orderkey, coalesce(string_agg('Expected field doc.items.' || CAST(r AS VARCHAR) || '.flag to be number, but found string: ' || l_returnflag || '.', ' | ' ORDER BY r), '') AS errs FROM orders JOIN {RANKED} ON l_orderkey = o_orderkey GROUP BY 1")
+def validate_child_declared(spark, d):
+    o = _orders(spark, d).select("o_orderkey", document(F.col("o_orderkey").alias("id"), "items").alias("doc"))
+    shape = {"doc": {"id": "`$INTEGER`", "`$CHILD`": ["`$CHILD`", {"part": "`$INTEGER`", "`$CHILD`": "`$NUMBER`"}]}, "`$OPEN`": True}
+    return validate(o, shape).select("o_orderkey", F.array_join("errs", " | ").alias("errs"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN '5' WHEN 8 THEN '5' WHEN 1 THEN 'true' WHEN 2 THEN CAST(c_custkey AS VARCHAR) WHEN 3 THEN '2.5' WHEN 4 THEN '\"' || c_name || '\"' WHEN 5 THEN '[1,null,3]' WHEN 6 THEN '{\"a\":{\"c\":2},\"b\":1}' ELSE '\"\"' END AS v, 'eu' AS zone FROM customer")
+def validate_defaults(spark, d):
+    v = validate(_mixed(spark, d).select("c_custkey", "v"), {"c_custkey": 0, "v": 5, "place": {"zone": "eu"}}, out="o")
+    return v.select("c_custkey", F.to_json(F.variant_get("o", "$.v", "variant")).alias("v"), F.variant_get("o", "$.place.zone", "string").alias("zone"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN sum(CASE WHEN r = 0 AND l_returnflag = 'R' THEN 1 ELSE 0 END) > 0 THEN 'Expected field items.0.flag to be exactly equal to one of A, N, but found string: R.' ELSE '' END AS errs FROM orders JOIN {RANKED} ON l_orderkey = o_orderkey GROUP BY 1")
+def validate_list(spark, d):
+    shape = {"items": [{"flag": ["`$EXACT`", "A", "N"], "`$OPEN`": True}], "`$OPEN`": True}
+    return validate(_orders(spark, d), shape).select("o_orderkey", F.array_join("errs", " | ").alias("errs"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 9 WHEN 4 THEN '' WHEN 7 THEN 'Empty string at v' ELSE 'Expected field v to be string' END AS errs FROM customer")
+def validate_string(spark, d):
+    v = validate(_mixed(spark, d), {"v": "`$STRING`", "`$OPEN`": True})
+    return v.select("c_custkey", F.regexp_replace(F.array_join("errs", " | "), ", but found .*", "").alias("errs"))
+
+
+_KINDS_OF = {"`$DECIMAL`": (3,), "`$NULL`": (0,), "`$MAP`": (6,), "`$LIST`": (5,), "`$NIL`": (0, 8), "`$ANY`": range(9), "`$FUNCTION`": (), "`$INSTANCE`": ()}
+
+
+@query("SELECT c_custkey, " + ", ".join(f"c_custkey % 9 IN ({', '.join(map(str, ok)) or '-1'}) AS {k.strip('`$').lower()}_ok" for k, ok in _KINDS_OF.items()) + " FROM customer")
+def validate_kinds(spark, d):
+    m = _mixed(spark, d)
+    for k in _KINDS_OF:
+        m = validate(m, {"v": k, "`$OPEN`": True}).withColumn(k.strip("`$").lower() + "_ok", F.size("errs") == 0).drop("errs")
+    return m.drop("v", "c_name")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 2 = 1 THEN 'odd: ' || CAST(user_id AS VARCHAR) ELSE '' END AS errs FROM events")
+def validate_custom(spark, d):
+    def even(x, path, errs):
+        if x % 2:
+            errs.append(f"odd: {x}")
+        return x
+
+    v = validate(table(spark, d, "events").select("event_id", "user_id"), {"user_id": "`$EVEN`", "`$OPEN`": True}, extra={"$EVEN": even})
+    return v.select("event_id", F.array_join("errs", " | ").alias("errs"))
+
+
+@query("SELECT n_regionkey AS region, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation WHERE n_name >= 'F' AND n_nationkey > 5 GROUP BY 1")
+def select_key(spark, d):
+    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("n_name", F.struct("n_nationkey")))).alias("m"))
+    found = select_children(F.col("m"), n.schema["m"].dataType, {"$KEY": {"`$GTE`": "F"}, "n_nationkey": {"`$GT`": 5}})
+    return n.select(F.col("n_regionkey").alias("region"), F.array_join(F.transform(found, lambda x: x["key"]), ",").alias("names")).where("names <> ''")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 9 IN (2, 3) AND CASE c_custkey % 9 WHEN 2 THEN c_custkey ELSE 2.5 END > 2 OR c_custkey % 9 = 7 AND 0 > 2")
+def select_mixed_order(spark, d):
+    return select(_mixed(spark, d), {"v": {"`$GT`": 2}}).where("c_custkey % 9 <> 4").select("c_custkey")
+
+
+@query("SELECT event_id, user_id AS k, CAST(user_id AS VARCHAR) || '!' AS v FROM events")
+def builders_jm_jt(spark, d):
+    v = nodes.jm(k=F.col("user_id"), l=nodes.jt(F.col("user_id"), F.lit("!")))
+    e = table(spark, d, "events").select("event_id", v.alias("v"))
+    return e.select("event_id", F.variant_get("v", "$.k", "bigint").alias("k"), F.concat(F.variant_get("v", "$.l[0]", "string"), F.variant_get("v", "$.l[1]", "string")).alias("v"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) || '://' || 'x/y' AS url FROM pages")
+def join_url(spark, d):
+    scheme = F.concat(scalars.re_find("^([a-z]+)://", F.col("url"))[1], F.lit("://"))
+    parts = F.array(F.concat(scheme, F.lit("x/")), F.lit("/y"))
+    return table(spark, d, "pages").select("page_id", scalars.join(parts, "/", True).alias("url"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[0-9]+', '#', 'g') AS masked FROM pages")
+def re_replace_function(spark, d):
+    return table(spark, d, "pages").select("page_id", scalars.re_replace("[0-9]+", F.col("url"), lambda m: F.lit("#")).alias("masked"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 9 WHEN 5 THEN '0=integer,1=null,2=integer' WHEN 6 THEN 'a=map,b=integer' ELSE '' END AS names FROM customer")
+def items_mapper(spark, d):
+    named = nodes.items(F.col("v"), lambda k, v: F.concat(k, F.lit("="), kinds.typename(kinds.typify(v))))
+    return _mixed(spark, d).select("c_custkey", F.array_join(named, ",").alias("names"))
+
+
+@query("SELECT o_orderkey, string_agg(CAST(l_linenumber AS VARCHAR) || ',x', ',' ORDER BY r) || ',end' AS flat FROM orders JOIN " + RANKED + " ON l_orderkey = o_orderkey GROUP BY 1")
+def flatten_mixed(spark, d):
+    each = F.transform("items", lambda x: nodes.jt(x["n"], F.lit("x")))
+    v = F.to_variant_object(F.array_append(each, nodes.as_variant(F.lit("end"))))
+    return _orders(spark, d).select("o_orderkey", F.array_join(F.transform(scalars.flatten_mixed(v), lambda x: kinds.text(x)), ",").alias("flat"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 9 WHEN 5 THEN '[\n  1,\n  null,\n  3\n]' WHEN 6 THEN '{\n  \"a\": {\n    \"c\": 2\n  },\n  \"b\": 1\n}' END AS j FROM customer WHERE c_custkey % 9 IN (5, 6)".replace("\n", "' || chr(10) || '"))
+def jsonify_pretty(spark, d):
+    return _mixed(spark, d).where("c_custkey % 9 IN (5, 6)").select("c_custkey", kinds.pretty(F.col("v")).alias("j"))
+
+
+@query("SELECT user_id, list(event_id ORDER BY event_id)[-1] AS last, arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), event_id) AS k, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
+def merge_agg_deep(spark, d):
+    doc = F.parse_json(F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"seen":{"'), F.col("event_type"), F.lit('":1}}')))
+    e = table(spark, d, "events").select("user_id", "event_id", doc.alias("doc"), F.col("event_id").alias("last"))
+    m = merge_agg(e, ["user_id"], "event_id", ["last", "doc"])
+    return m.select("user_id", "last", F.variant_get("doc", "$.k", "bigint").alias("k"), F.size(F.map_keys(F.variant_get("doc", "$.seen", "map<string,variant>"))).cast("bigint").alias("kinds"))
+
+
+@query("SELECT event_id, '{\"$condense\":1,\"sym\":[\"k\"],\"node\":[[3,' || json_extract_string(props, '$.k') || '],[0,0,0]],\"root\":1}' AS c FROM events")
+def condense_encoding(spark, d):
+    return table(spark, d, "events").select("event_id", trees.condense_udf(F.col("props")).alias("c"))
+
+
+@query("SELECT c_custkey, c_custkey % 9 = 6 AS condensed FROM customer")
+def iscondensed_kinds(spark, d):
+    text = F.when(F.col("c_custkey") % 9 == 6, trees.condense_udf(F.to_json("v"))).otherwise(F.to_json("v"))
+    f = trees.json_udf(lambda v: trees.iscondensed(v))
+    return _mixed(spark, d).select("c_custkey", (f(text) == "true").alias("condensed")).select("c_custkey", F.coalesce("condensed", F.lit(False)).alias("condensed"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def getpath_condensed(spark, d):
+    f = trees.json_udf(lambda c: trees.getpath(c, "k"))
+    return table(spark, d, "events").select("event_id", f(trees.condense_udf(F.col("props"))).cast("bigint").alias("k"))
+
+
+@query("SELECT event_id, '{\"K\":' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) * 2 AS VARCHAR) || '}' AS out FROM events")
+def walk_rewrite_tree(spark, d):
+    def double(key, v, parent, path):
+        return v * 2 if isinstance(v, int) else v
+
+    def rename(key, v, parent, path):
+        return {k.upper(): x for k, x in v.items()} if isinstance(v, dict) else v
+
+    f = trees.json_udf(lambda v: trees.walk(v, double, rename))
+    return table(spark, d, "events").select("event_id", f(F.col("props")).alias("out"))

@@ -8,26 +8,33 @@ from sylva.operators import values as v
 S, N, I, ONE, EXACT, CHILD, OPEN = "`$STRING`", "`$NUMBER`", "`$INTEGER`", "`$ONE`", "`$EXACT`", "`$CHILD`", "`$OPEN`"
 
 
+ORDER = {"id": 7, "status": "open", "lines": [{"part": 11, "qty": 3}, {"part": 12, "qty": 1}], "ship": {"city": "Oslo", "fee": 4.5}}
+
+
 @pytest.mark.parametrize(
     ("data", "shape", "want"),
     [
-        ({"name": "Ada", "age": 36}, {"name": S, "age": I}, {"name": "Ada", "age": 36}),
-        (1002, 1001, 1002),
-        ({}, {"x2": "X2"}, {"x2": "X2"}),
-        ({}, {"x": {"y": 11}}, {"x": {"y": 11}}),
-        ({}, {"n0": "`$NIL`"}, {}),
-        ({"a": None}, {"a": "`$ANY`"}, {"a": None}),
-        ({"a": {"x": {"y": 2}}}, {"a": {}}, {"a": {"x": {"y": 2}}}),
-        ({"a": {"x": 12, "y": 22}}, {"a": {"x": 0, OPEN: True}}, {"a": {"x": 12, "y": 22}}),
-        ({"s1": ""}, {"s1": [ONE, S, ""]}, {"s1": ""}),
-        ({}, {"a": {CHILD: 1}, "b": [CHILD, 1]}, {"a": {}, "b": []}),
-        ({"a": 1, "b": 2}, {OPEN: True, CHILD: N}, {"a": 1, "b": 2}),
-        ({"x1": {"a": 1}}, [ONE, {"x1": "`$LIST`"}, {"x1": "`$MAP`"}], {"x1": {"a": 1}}),
-        ({"x": {"y": [3]}}, [EXACT, {"x": {"y": [3]}}], {"x": {"y": [3]}}),
+        (ORDER, {"id": I, "status": S, "lines": "`$LIST`", "ship": "`$MAP`"}, ORDER),
+        (250, 100, 250),  # a literal fixes the type only
+        ({"id": 7}, {"id": I, "status": "new"}, {"id": 7, "status": "new"}),
+        ({"id": 7}, {"id": I, "ship": {"fee": 0.5}}, {"id": 7, "ship": {"fee": 0.5}}),
+        ({"id": 7}, {"id": I, "coupon": "`$NIL`"}, {"id": 7}),
+        ({"id": 7, "note": None}, {"id": I, "note": "`$ANY`"}, {"id": 7, "note": None}),
+        ({"ship": {"city": "Oslo"}}, {"ship": {}}, {"ship": {"city": "Oslo"}}),
+        ({"ship": {"city": "Oslo", "fee": 9}}, {"ship": {"fee": 0, OPEN: True}}, {"ship": {"fee": 9, "city": "Oslo"}}),
+        ({"status": ""}, {"status": [ONE, S, ""]}, {"status": ""}),
+        ({}, {"tags": {CHILD: 1}, "lines": [CHILD, {"qty": 1}]}, {"tags": {}, "lines": []}),
+        ({"lines": [{"part": 5}, {"part": 6, "qty": 2}]}, {"lines": [CHILD, {"part": I, "qty": 1}]}, {"lines": [{"part": 5, "qty": 1}, {"part": 6, "qty": 2}]}),
+        ({"jan": 10, "feb": 20}, {OPEN: True, CHILD: N}, {"jan": 10, "feb": 20}),
+        ({"label": "q1", "jan": 10}, {"label": S, CHILD: N}, {"label": "q1", "jan": 10}),
+        ({"user": {"id": 3}}, [ONE, {"user": I}, {"user": "`$MAP`"}], {"user": {"id": 3}}),
+        ({"ship": {"days": [1, 2]}}, [EXACT, {"ship": {"days": [1, 2.0]}}], {"ship": {"days": [1, 2]}}),
         (None, [EXACT, None], None),
-        ({"x0": 1}, {"x0": N, "y0": "`x0`"}, {"x0": 1, "y0": 1}),
-        ({"x2": 2, "y2": 1}, {"x2": N, "y2": "`x2`"}, {"x2": 2, "y2": 1}),
-        ({"x4": 3, "y4": 4}, {"x4": N, "y4": ["`$REF`", "x4"]}, {"x4": 3, "y4": 4}),
+        ({"gross": 40}, {"gross": N, "net": "`gross`"}, {"gross": 40, "net": 40}),
+        ({"gross": 40, "net": 31}, {"gross": N, "net": "`gross`"}, {"gross": 40, "net": 31}),
+        ({"billed": 5, "paid": 2}, {"billed": N, "paid": ["`$REF`", "billed"]}, {"billed": 5, "paid": 2}),
+        ({"days": [4]}, {"days": [1, 2, 3]}, {"days": [4, 2, 3]}),
+        ({"days": [4, 5, 6]}, {"days": [1]}, {"days": [4]}),
     ],
 )
 def test_validate(data, shape, want):
@@ -37,20 +44,21 @@ def test_validate(data, shape, want):
 @pytest.mark.parametrize(
     ("data", "shape", "want"),
     [
-        (1, S, "Expected string, but found integer: 1."),
+        (250, S, "Expected string, but found integer: 250."),
         (None, S, "Expected string, but found no value."),
-        ({"a": 11, "b": "B"}, {"a": S, "b": N}, "Expected field a to be string, but found integer: 11. | Expected field b to be number, but found string: B."),
-        ({"a4": 3, "b4": "B"}, {"a4": N}, "Unexpected keys at field <root>: b4"),
-        ({"s0": ""}, {"s0": S}, "Empty string at s0"),
-        ({"c1": {}}, {"c1": []}, "Expected field c1 to be list, but found map: {}."),
-        (4.4, I, "Expected integer, but found decimal: 4.4."),
-        ({"q": {"a": {"x": "X"}}}, {"q": {CHILD: {"x": N}}}, "Expected field q.a.x to be number, but found string: X."),
-        ({"q": [23, "a23"]}, {"q": [CHILD, N]}, "Expected field q.1 to be number, but found string: a23."),
-        (True, [ONE, S, N], "Expected one of string, number, but found boolean: true."),
-        ({}, {"a": [ONE, "`$MAP`", "`$LIST`"]}, "Expected field a to be one of map, list, but found no value."),
-        (23, [EXACT, "a", False, 24], "Expected value exactly equal to one of a, false, 24, but found integer: 23."),
-        ({"x0": {"b": 35, "a": 36}}, {"x0": [EXACT, {"b": 37, "a": 36}]}, "Expected field x0 to be exactly equal to {a:36,b:37}, but found map: {a:36,b:35}."),
-        (t.ABSENT, {"a3": [EXACT, 1]}, "Expected field a3 to be exactly equal to 1, but found no value."),
+        ({"id": "seven", "status": 7}, {"id": I, "status": S}, "Expected field id to be integer, but found string: seven. | Expected field status to be string, but found integer: 7."),
+        ({"id": 7, "zip": 1, "fax": 2}, {"id": I}, "Unexpected keys at field <root>: fax, zip"),
+        ({"ship": {"city": "Oslo", "fax": 2}}, {"ship": {"city": S}}, "Unexpected keys at field ship: fax"),
+        ({"status": ""}, {"status": S}, "Empty string at status"),
+        ({"lines": {"part": 1}}, {"lines": []}, "Expected field lines to be list, but found map: {part:1}."),
+        (2.75, I, "Expected integer, but found decimal: 2.75."),
+        ({"stock": {"oslo": {"qty": "few"}}}, {"stock": {CHILD: {"qty": N}}}, "Expected field stock.oslo.qty to be number, but found string: few."),
+        ({"days": [12, "may"]}, {"days": [CHILD, N]}, "Expected field days.1 to be number, but found string: may."),
+        (False, [ONE, S, N], "Expected one of string, number, but found boolean: false."),
+        ({"id": 7}, {"id": I, "ship": [ONE, "`$MAP`", "`$LIST`"]}, "Expected field ship to be one of map, list, but found no value."),
+        ("red", [EXACT, "blue", True, 8], "Expected value exactly equal to one of blue, true, 8, but found string: red."),
+        ({"ship": {"fee": 2, "city": "Oslo"}}, {"ship": [EXACT, {"fee": 3, "city": "Oslo"}]}, "Expected field ship to be exactly equal to {city:Oslo,fee:3}, but found map: {city:Oslo,fee:2}."),
+        (t.ABSENT, {"id": [EXACT, 8]}, "Expected field id to be exactly equal to 8, but found no value."),
     ],
 )
 def test_validate_errors(data, shape, want):
@@ -60,39 +68,41 @@ def test_validate_errors(data, shape, want):
 
 
 def test_validate_meta_and_custom():
-    meta = {"q0": {"x1": 104}}
-    assert v.validate({"x": 204}, {"x": "`q0$~x1`"}, meta=meta) == {"x": 204}
+    meta = {"limits": {"qty": 60}}
+    assert v.validate({"qty": 12}, {"qty": "`limits$~qty`"}, meta=meta) == {"qty": 12}
+    assert v.validate({}, {"qty": "`limits$~qty`"}, meta=meta) == {"qty": 60}
     errs = []
-    v.validate({"x": "s"}, {"x": "`q0$=x1`"}, meta=meta, errs=errs)
-    v.validate({"a": {"b": 4001}}, {"a": {"b": 4002}}, meta={"`$EXACT`": True}, errs=errs)
-    v.validate({"x": 7}, {"x": "`$EVEN`"}, {"$EVEN": lambda x, path, errs: errs.append(f"odd at {path[0]}")}, errs=errs)
-    assert errs == ["Expected field x to be exactly equal to 104, but found string: s.", "Value at field a.b: 4001 should equal 4002.", "odd at x"]
+    v.validate({"qty": "many"}, {"qty": "`limits$=qty`"}, meta=meta, errs=errs)
+    v.validate({"ship": {"fee": 45}}, {"ship": {"fee": 54}}, meta={"`$EXACT`": True}, errs=errs)
+    v.validate({"qty": 7}, {"qty": "`$EVEN`"}, {"$EVEN": lambda x, path, errs: errs.append(f"odd at {path[0]}")}, errs=errs)
+    assert errs == ["Expected field qty to be exactly equal to 60, but found string: many.", "Value at field ship.fee: 45 should equal 54.", "odd at qty"]
 
 
 def test_recursive_shape_ends_with_the_data():
-    tree = {"v": 1, "kid": {"v": 2, "kid": {"v": "x"}}}
+    part = {"name": "bike", "of": {"name": "wheel", "of": {"name": 26}}}
     errs = []
-    v.validate({"top": tree}, {"top": {"v": N, "kid": ["`$REF`", "top"]}}, errs=errs)
-    assert errs == ["Expected field top.kid.kid.v to be number, but found string: x."]
+    v.validate({"part": part}, {"part": {"name": S, "of": ["`$REF`", "part"]}}, errs=errs)
+    assert errs == ["Expected field part.of.of.name to be string, but found integer: 26."]
 
 
-PEOPLE = {"a": {"name": "Alice", "age": 30}, "b": {"name": "Bob", "age": 25}}
+EVENTS = {"e1": {"kind": "click", "ms": 120}, "e2": {"kind": "view", "ms": 45}}
 
 
 @pytest.mark.parametrize(
     ("children", "query", "want"),
     [
-        (PEOPLE, {"age": 30}, ["a"]),
-        (PEOPLE, {}, ["a", "b"]),
-        (PEOPLE, {"$KEY": "b"}, ["b"]),
-        (PEOPLE, {"`$NOT`": {"gone": 1}}, ["a", "b"]),
-        (PEOPLE, {"name": {"`$LIKE`": "^A"}}, ["a"]),
-        ([{"a": x} for x in (5, 10, 15, 20, 25)], {"a": {"`$AND`": [{"`$GT`": 10}, {"`$LT`": 20}]}}, [2]),
-        ([{"x": 1}, {"x": True}, {"x": "1"}, {"x": 1.0}], {"x": 1}, [0, 3]),
-        ([{"t": ["a", "b", "c"]}, {"t": ["a"]}], {"t": ["a", "b"]}, [0]),
-        ([{"x": 1}], {"`$OR`": []}, []),
-        ([{"x": 1}, {"x": 2}], {"`$OR`": [{"`$AND`": []}, {"x": 1}]}, [0, 1]),
-        ("hello", {"x": 1}, []),
+        (EVENTS, {"ms": 45}, ["e2"]),
+        (EVENTS, {}, ["e1", "e2"]),
+        (EVENTS, {"$KEY": "e1"}, ["e1"]),
+        (EVENTS, {"`$NOT`": {"user": 3}}, ["e1", "e2"]),
+        (EVENTS, {"kind": {"`$LIKE`": "ck$"}}, ["e1"]),
+        ([{"ms": x} for x in (8, 40, 65, 90, 200)], {"ms": {"`$AND`": [{"`$GT`": 40}, {"`$LTE`": 90}]}}, [2, 3]),
+        ([{"ok": 0}, {"ok": False}, {"ok": "0"}, {"ok": 0.0}], {"ok": 0}, [0, 3]),
+        ([{"path": ["home", "cart", "pay"]}, {"path": ["home"]}], {"path": ["home", "cart"]}, [0]),
+        ([{"ms": 8}], {"`$OR`": []}, []),
+        ([{"ms": 8}, {"ms": 9}], {"`$OR`": [{"`$AND`": []}, {"ms": 8}]}, [0, 1]),
+        ([{"ms": ""}, {"ms": "12"}, {"ms": "x"}], {"ms": {"`$LT`": 5}}, [0]),
+        ("click", {"ms": 8}, []),
         (None, {}, []),
     ],
 )
@@ -101,8 +111,8 @@ def test_select(children, query, want):
 
 
 def test_select_scalars():
-    assert v.select({"a": "x", "b": "z", "c": "y"}, {"`$OR`": ["x", "y"]}) == ["x", "y"]
-    assert v.select([9, 10, 11], {"`$NOT`": 10}) == [9, 11]
+    assert v.select({"mon": "rain", "tue": "sun", "wed": "snow"}, {"`$OR`": ["snow", "rain"]}) == ["rain", "snow"]
+    assert v.select([300, 250, 410], {"`$NOT`": 250}) == [300, 410]
 
 
 def test_hooks():

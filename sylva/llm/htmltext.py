@@ -23,14 +23,14 @@ import html as htmllib
 import json
 import math
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shingles, words
+from .common import CHUNK_BYTES, materialize, shingles, words
 from .linededup import _runs as sequence_hashes
 
 RUN, SHARD = 8, 512
@@ -38,6 +38,8 @@ RUN, SHARD = 8, 512
 SHARE, LEAST, SURE_SHARE, SURE_LEAST = 0.1, 2, 0.5, 5
 #: Hosts of more than SHARD pages that may be broadcast (name and number of shards).
 BROADCAST_HOSTS = 50_000
+#: Runs with their counts that may be sent to all tasks (a few MB); more are joined by a shuffle.
+BROADCAST_RUNS = 200_000
 
 # Tag names of HTML by their part in a page.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -185,47 +187,84 @@ def _weigh(blocks: list[tuple[str, int, bool]]) -> list[tuple[str, int]]:
 
 
 def _pack(blocks: list[tuple[str, int]]) -> bytes:
-    return zlib.compress(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "surrogatepass"), 1)
+    return zstandard.compress(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "surrogatepass"), 6)
 
 
 def _unpack(blob: bytes) -> list[list]:
-    return json.loads(zlib.decompress(blob).decode("utf-8", "surrogatepass"))
-
-
-def _hashes(page: list[list]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a page's stream, and each block's first word."""
-    raw = [text.encode("utf-8", "surrogatepass") for text, _ in page]
-    return words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-
-
-def _units(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of RUN words of a page's stream (by start), and its blocks of fewer words: which, and their hashes."""
-    runs, _ = shingles(w, np.array([0, len(w)]), RUN, short=False)
-    few = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < RUN))
-    return runs, few, sequence_hashes(w, at[few], at[few + 1])
+    return json.loads(zstandard.decompress(blob).decode("utf-8", "surrogatepass"))
+
+
+class _Words:
+    """Word hashes of several pages' streams: ``w``, each block's first word ``at``, each page's first block and first word."""
+
+    def __init__(self, pages: list[list[list]]):
+        raw = [text.encode("utf-8", "surrogatepass") for page in pages for text, _ in page]
+        self.w, self.at = words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        self.block = np.cumsum([0, *map(len, pages)])
+        self.first = self.at[self.block]
+        # runs of RUN words by start, and blocks of fewer words
+        self.runs, run_at = shingles(self.w, self.first, RUN, short=False)
+        self.run_page = np.repeat(np.arange(len(pages)), np.diff(run_at))
+        self.run_start = np.arange(len(self.runs)) - run_at[self.run_page] + self.first[self.run_page]
+        size = np.diff(self.at)
+        self.few = np.flatnonzero((size > 0) & (size < RUN))
+        self.whole = sequence_hashes(self.w, self.at[self.few], self.at[self.few + 1])
+        self.few_page = np.searchsorted(self.block, self.few, "right") - 1
+
+
+def _portions(pages: list[list[list]]):
+    """(first page, hashes) of pages by portions of about a MB, which numpy works on at once."""
+    a, size = 0, 0
+    for k, page in enumerate(pages):
+        size += sum(len(text) for text, _ in page)
+        if size >= CHUNK_BYTES or k == len(pages) - 1:
+            yield a, _Words(pages[a : k + 1])
+            a, size = k + 1, 0
+
+
+def _per_page(page: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and how many pages have each."""
+    if not len(value):
+        return value, np.zeros(0, np.int64)
+    order = np.lexsort((page, value))
+    p, v = page[order], value[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (p[1:] != p[:-1])
+    v = v[new]
+    head = np.ones(len(v), bool)
+    head[1:] = v[1:] != v[:-1]
+    at = np.flatnonzero(head)
+    return v[at], np.diff(np.append(at, len(v)))
 
 
 def shared_runs(pages: list[list[list]], share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs and short blocks that so many of the distinct pages have, and how many do."""
-    empty = np.zeros(0, np.uint64)
-    made = [_hashes(p) for p in pages]
-    units = [_units(w, at) for w, at in made]
     least = max(least, math.ceil(share * len(pages) - 1e-9))
+    w, size, few_page, whole, starts, names = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    done = 0  # tokens so far, with a mark after each page
+    for a, x in _portions(pages):
+        n = np.diff(x.first)
+        w.append(x.w)
+        size.append(n)
+        few_page.append(x.few_page + a)
+        whole.append(x.whole)
+        starts.append(x.run_start + x.run_page + done)
+        names.append(x.runs)
+        done += len(x.w) + len(n)
     # short blocks, once for each page
-    value, count = np.unique(np.concatenate([empty, *(np.unique(u[2]) for u in units)]), return_counts=True)
+    value, count = _per_page(np.concatenate(few_page), np.concatenate(whole))
     value, count = value[count >= least], count[count >= least]
-    size = np.array([len(w) + 1 for w, _ in made], np.int64)
+    size = np.concatenate([np.zeros(0, np.int64), *size]) + 1
     n = int(size.sum())
     ends = np.cumsum(size) - 1
     t = np.zeros(n, np.int64)
     inside = np.ones(n, bool)
     inside[ends] = False
-    t[inside] = np.unique(np.concatenate([empty, *(w for w, _ in made)]), return_inverse=True)[1]
+    t[inside] = np.unique(np.concatenate(w), return_inverse=True)[1]
     t[ends] = -1 - np.arange(len(pages))  # no run crosses pages
     own = np.repeat(np.arange(len(pages)), size)
     name = np.zeros(n, np.uint64)
-    for start, (runs, _, _) in zip(ends - size + 1, units, strict=True):
-        name[start : start + len(runs)] = runs
+    name[np.concatenate(starts)] = np.concatenate(names)
     order, shared = suffix_array(t, RUN)
     group = np.cumsum(shared < RUN) - 1  # suffixes that share a run of RUN words stand together
     pair = np.unique(group * len(pages) + own[order])
@@ -236,10 +275,19 @@ def shared_runs(pages: list[list[list]], share: float, least: int) -> tuple[np.n
     return np.concatenate([value, name[head[take]]]), np.concatenate([count, spread[take]])
 
 
-def unique_text(page: list[list], runs: np.ndarray, counts: np.ndarray, total: int) -> list[str]:
-    """What stays of a page's blocks; runs (sorted) with the pages that have them, of the host's total."""
-    w, at = _hashes(page)
-    own, few, whole = _units(w, at)
+def count_runs(pages: list[list[list]], want: np.ndarray) -> np.ndarray:
+    """How many of the pages have each of the wanted (sorted) runs and short blocks."""
+    n = np.zeros(len(want), np.int64)
+    for _, x in _portions(pages):
+        h, page = np.concatenate([x.runs, x.whole]), np.concatenate([x.run_page, x.few_page])
+        k = np.minimum(np.searchsorted(want, h), len(want) - 1)
+        hit = want[k] == h
+        n += np.bincount(np.unique(page[hit] * len(want) + k[hit]) % len(want), minlength=len(want))
+    return n
+
+
+def unique_texts(pages: list[list[list]], runs: np.ndarray, counts: np.ndarray, total: int) -> list[str]:
+    """What stays of pages of one host; runs (sorted) with the pages that have them, of the host's total."""
 
     def pages_of(h: np.ndarray) -> np.ndarray:
         if not len(runs):
@@ -247,28 +295,39 @@ def unique_text(page: list[list], runs: np.ndarray, counts: np.ndarray, total: i
         k = np.minimum(np.searchsorted(runs, h), len(runs) - 1)
         return np.where(runs[k] == h, counts[k], 0)
 
-    spread, found = np.zeros(len(w), np.int64), pages_of(own)
-    for d in range(RUN):
-        spread[d : d + len(own)] = np.maximum(spread[d : d + len(own)], found)
-    alone = dict(zip(few.tolist(), pages_of(whole).tolist(), strict=True))
+    enough = np.array([max(least, math.ceil(share * total - 1e-9)) for share, least in ((SHARE, LEAST), (SURE_SHARE, SURE_LEAST))])
     out = []
-    for k, (text, where) in enumerate(page):
-        share, least = (SURE_SHARE, SURE_LEAST) if where == SURE else (SHARE, LEAST)
-        least = max(least, math.ceil(share * total - 1e-9))
-        covered = spread[at[k] : at[k + 1]] >= least
-        if where == NEVER_KEPT or alone.get(k, 0) >= least:
-            continue
-        if not covered.any():
-            out.append(text)
-            continue
-        parts, size = text.split(" "), 1 if 2 * int(covered.sum()) < len(covered) else RUN
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]]).astype(np.int8)))
-        kept = [" ".join(parts[a:b]) for a, b in edge.reshape(-1, 2).tolist() if b - a >= size]
-        if kept:
-            out.append(" ".join(kept))
+    for a, x in _portions(pages):
+        part = pages[a : a + len(x.block) - 1]
+        where = np.array([c for page in part for _, c in page], np.int64)
+        least = enough[(where == SURE).astype(int)]
+        start, spread = np.zeros(len(x.w), np.int64), np.zeros(len(x.w), np.int64)
+        start[x.run_start] = pages_of(x.runs)
+        for d in range(RUN):
+            spread[d:] = np.maximum(spread[d:], start[: len(start) - d])
+        covered = spread >= np.repeat(least, np.diff(x.at))
+        hurt = np.diff(np.concatenate([[0], np.cumsum(covered)])[x.at]) > 0
+        gone = where == NEVER_KEPT
+        gone[x.few[pages_of(x.whole) >= least[x.few]]] = True
+        for p, page in enumerate(part):
+            kept = []
+            for k, (text, _) in enumerate(page, int(x.block[p])):
+                if gone[k]:
+                    continue
+                text = _uncovered(text, covered[x.at[k] : x.at[k + 1]]) if hurt[k] else text
+                if text:
+                    kept.append(text)
+            out.append("\n".join(kept))
     return out
 
 
+def _uncovered(text: str, covered: np.ndarray) -> str:
+    """The unique runs of a block."""
+    parts, size = text.split(" "), 1 if 2 * int(covered.sum()) < len(covered) else RUN
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]]).astype(np.int8)))
+    return " ".join(" ".join(parts[a:b]) for a, b in edge.reshape(-1, 2).tolist() if b - a >= size)
+
+
 def _distinct(blobs: pa.ChunkedArray) -> list[list[list]]:
     return [_unpack(b) for b in dict.fromkeys(blobs.to_pylist())]
 
@@ -330,12 +389,7 @@ def extract(pages: DataFrame) -> DataFrame:
             if not len(pages) or not len(wanted):
                 return none
             want = np.sort(wanted.column("run").to_numpy().view(np.uint64))
-            n = np.zeros(len(want), np.int64)
-            for page in _distinct(pages.column("blob")):
-                own, _, whole = _units(*_hashes(page))
-                h = np.unique(np.concatenate([own, whole]))
-                k = np.minimum(np.searchsorted(want, h), len(want) - 1)
-                n[k[want[k] == h]] += 1
+            n = count_runs(_distinct(pages.column("blob")), want)
             has = n > 0
             size = int(has.sum())
             return pa.table({"host": pa.array([pages.column("host")[0].as_py()] * size, pa.string()), "shards": pa.array([pages.column("shards")[0].as_py()] * size, pa.int32()), "run": _signed(want[has]), "n": pa.array(n[has])})
@@ -345,20 +399,48 @@ def extract(pages: DataFrame) -> DataFrame:
         exact = many.groupBy("bin").cogroup(wanted.groupBy("bin")).applyInArrow(count, "host string, shards int, run long, n long")
         runs = runs.unionByName(exact.groupBy("host", "shards", "run").agg(F.sum("n").alias("n")))
     flagged = runs.join(total, "host").where(f"n >= greatest({LEAST}, ceil({SHARE}D * total - 1e-9D))")
-    flagged = materialize(flagged.groupBy("host", "shards", "total").agg(F.collect_list("run").alias("run"), F.collect_list("n").alias("n")))
+    flagged = materialize(flagged.select("host", "shards", "total", "run", "n"))
+    fields = "page_id long, url string, text string, n_chars long"
+
+    def result(pages, texts: list[str]) -> dict:
+        return {"page_id": pages.column("page_id"), "url": pages.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+
+    def sorted_runs(run: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(run.view(np.uint64))
+        return run.view(np.uint64)[order], n[order]
+
+    if flagged.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
+        # few enough for every task: pages stay where they are
+        rows, hosts = flagged.toArrow(), {}
+        names = np.array(rows.column("host").to_pylist(), object)
+        for h in dict.fromkeys(names):
+            own = rows.filter(pa.array(names == h))
+            hosts[h] = (*sorted_runs(own.column("run").to_numpy(), own.column("n").to_numpy()), own.column("total")[0].as_py())
+        known = pages.sparkSession.sparkContext.broadcast(hosts)
+        nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64), 1)
+
+        def clean_batch(batches):
+            for batch in batches:
+                texts: list[str | None] = [None] * len(batch)
+                by: dict[str, list[int]] = {}
+                for k, h in enumerate(batch.column("host").to_pylist()):
+                    by.setdefault(h if h in known.value else None, []).append(k)
+                blob = batch.column("blob")
+                for h, at in by.items():
+                    for k, text in zip(at, unique_texts([_unpack(blob[k].as_py()) for k in at], *known.value.get(h, nothing)), strict=True):
+                        texts[k] = text
+                yield pa.RecordBatch.from_pydict(result(batch, texts))
+
+        return parsed.select("page_id", "url", "host", "blob").mapInArrow(clean_batch, fields)
 
     def clean(pages: pa.Table, found: pa.Table) -> pa.Table:
         run, n, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 1
         if len(found):
-            run, n = np.array(found.column("run")[0].as_py(), np.int64).view(np.uint64), np.array(found.column("n")[0].as_py(), np.int64)
+            run, n = sorted_runs(np.array(found.column("run")[0].as_py(), np.int64), np.array(found.column("n")[0].as_py(), np.int64))
             total = found.column("total")[0].as_py()
-            order = np.argsort(run)
-            run, n = run[order], n[order]
-        texts = []
-        for blob in pages.column("blob"):
-            texts.append("\n".join(unique_text(_unpack(blob.as_py()), run, n, total)))
-        return pa.table({"page_id": pages.column("page_id"), "url": pages.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+        return pa.table(result(pages, unique_texts([_unpack(b.as_py()) for b in pages.column("blob")], run, n, total)))
 
+    grouped = flagged.groupBy("host", "shards", "total").agg(F.collect_list("run").alias("run"), F.collect_list("n").alias("n"))
     every = dealt(parsed, F.pmod(F.xxhash64("page_id", "url"), "shards")).select("bin", "page_id", "url", "blob")
-    lists = to_all(flagged).select("bin", "run", "n", "total")
-    return every.groupBy("bin").cogroup(lists.groupBy("bin")).applyInArrow(clean, "page_id long, url string, text string, n_chars long")
+    lists = to_all(grouped).select("bin", "run", "n", "total")
+    return every.groupBy("bin").cogroup(lists.groupBy("bin")).applyInArrow(clean, fields)

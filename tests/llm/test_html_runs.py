@@ -56,10 +56,11 @@ def brute(pages):
     return out
 
 
-@pytest.mark.parametrize("shard", [512, 5])
+@pytest.mark.parametrize(("shard", "sent"), [(512, 200_000), (5, 200_000), (5, 0)])
 @pytest.mark.parametrize("n", [1, 3, 45])
-def test_runs_shared_by_pages_go(spark, monkeypatch, shard, n):
+def test_runs_shared_by_pages_go(spark, monkeypatch, shard, sent, n):
     monkeypatch.setattr(htmltext, "SHARD", shard)
+    monkeypatch.setattr(htmltext, "BROADCAST_RUNS", sent)
     rng = random.Random(n)
     word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(60)}"
     stock = [" ".join(word() for _ in range(rng.choice((2, 5, 8, 13, 30)))) for _ in range(14)]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, plain_words, shingles, text_chunks, total_bytes
+from .common import buckets_for, plain_words, shingles, text_chunks, tidy, total_bytes
 
 N, THRESHOLD = 5, 0.8
 #: Bytes of item texts that are collected and sent to the workers at a time.
@@ -92,7 +92,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                     shared, size = (pa.array([g[x] for g in got], pa.int64()) for x in (2, 3))
                     yield pa.RecordBatch.from_arrays([ids, item, shared, size, pa.array([g[2] / g[3] for g in got], pa.float64())], names=["doc_id", "item_id", "shared", "size", "containment"])
 
-        part = rows.mapInArrow(run, "doc_id long, item_id long, shared long, size long, containment double")
+        part = rows.mapInArrow(tidy(run), "doc_id long, item_id long, shared long, size long, containment double")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -109,5 +109,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                     keep[[a + d for d, *_ in index.search(data, offs)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, text_chunks
+from .common import crc_mod, text_chunks, tidy
 
 #: Bound of the training sample: documents per language and characters of each (from its middle).
 TRAIN_DOCS, TRAIN_CHARS = 24, 1200
@@ -208,6 +208,10 @@ class Model:
 
     def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (share of the winner in a softmax over bits) and bits per symbol of each text."""
+        return self.parse(data, offs)[:3]
+
+    def parse(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """predict(), and each text's number of symbols."""
         s, at, has = _symbols(data, offs)
         n = np.diff(at)
         per = -(-n // BLOCK)
@@ -231,7 +235,7 @@ class Model:
         with np.errstate(invalid="ignore", over="ignore"):
             score = 1 / np.exp2(-(bits - low) * 8).sum(0)
         known = has & bool(self.langs)
-        return [self.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0), np.where(known, low, np.inf)
+        return [self.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0), np.where(known, low, np.inf), n
 
 
 def training_sample(docs: DataFrame, holdout: int = 5) -> list[tuple[str, str]]:
@@ -258,7 +262,7 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]] | None = None) -> Da
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names=["doc_id", "held_out", "lang_pred", "score", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits double")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double, bits double")
 
 
 def keep_identified(docs: DataFrame, max_bits: float = MAX_BITS, slack: float = SLACK) -> DataFrame:
@@ -270,10 +274,9 @@ def keep_identified(docs: DataFrame, max_bits: float = MAX_BITS, slack: float =
         for batch in batches:
             model = Model.of(key, sample)
             for a, b, data, offs in text_chunks(batch.column(names.index("text"))):
-                lang, _, bits = model.predict(data, offs)
-                n = np.diff(symbols(data, offs)[1])
+                lang, _, bits, n = model.parse(data, offs)
                 with np.errstate(invalid="ignore"):
                     fits = bits * n <= max_bits * n + slack
                 yield batch.slice(a, b - a).filter(pa.array(fits & np.array([x != "und" for x in lang], bool), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import discard, leave, materialize, mix, pick, text_chunks
+from .common import discard, leave, materialize, mix, pick, text_chunks, tidy
 
 MIN_WORDS, GRAM_WORDS = 50, 25
 
@@ -105,7 +105,7 @@ def sequences(docs: DataFrame) -> DataFrame:
                 out = pa.RecordBatch.from_arrays(out, names=["id", "th", "line", "place", "gram", "pos", "end", "by", "win"])
                 yield out.filter(pa.array(np.diff(first) > 0))
 
-    return docs.select("id", "th", "text").mapInArrow(run, _SEQ)
+    return docs.select("id", "th", "text").mapInArrow(tidy(run), _SEQ)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, leave, materialize, pick, shingles, text_chunks, words
+from .common import discard, leave, materialize, pick, shingles, text_chunks, tidy, words
 from .components import components
 
 K, SHARED = 32, 10
@@ -66,7 +66,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), *digests, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -81,7 +81,7 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["doc_id", "items"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, items array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, items array<long>")
 
 
 def _estimate(a: str, b: str):
@@ -148,7 +148,7 @@ def _own_counts(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
         who, own = np.unique(o[lone], return_counts=True)
         return pa.table({"doc_id": pa.array(who, pa.int64()), "own": pa.array(own, pa.int64())})
 
-    cuts_of = pick(docs, members.select("doc_id")).mapInArrow(cut, "part int, doc_id long, raw binary")
+    cuts_of = pick(docs, members.select("doc_id")).mapInArrow(tidy(cut), "part int, doc_id long, raw binary")
     return cuts_of.groupBy("part").applyInArrow(count, "doc_id long, own long").groupBy("doc_id").agg(F.sum("own").alias("own"))
 
 

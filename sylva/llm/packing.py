@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import array
 import base64
+import json
 import os
 import re
 import zlib
@@ -27,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 CAPACITY, END = 2048, 0
 #: Nodes that branch and bound may visit, and fillings it tries at each.
 NODES, BRANCH = 4_000, 8
 #: Distinct words whose ids a worker remembers.
-CACHE = 500_000
+CACHE = 150_000
 
 _ODD = re.compile(r"\s\s|^ | $|[^\S \n]|\n$|^\n")
 
@@ -49,10 +50,9 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path, self.made = path, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.fast = None
         ranks = os.path.splitext(path)[0] + ".tiktoken"
         if os.path.exists(ranks):  # the same vocabulary, faster for single words
@@ -65,6 +65,15 @@ class Encoder:
         self.first, self.later = _Words(self, ""), _Words(self, " ")
         self.newline = self.raw("\n")
 
+    @property
+    def whole(self):
+        """The tokenizer itself; most texts do without."""
+        if self.made is None:
+            from tokenizers import Tokenizer
+
+            self.made = Tokenizer.from_file(self.path)
+        return self.made
+
     @classmethod
     def of(cls, path: str) -> Encoder:
         if path not in cls._made:
@@ -128,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(o, pa.int64()) for o in out[2:]), pa.array(np.full(len(rank), part, np.int32)), pa.array(rank)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return rows.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 # ---------------------------------------------------------------- the plan
@@ -371,4 +380,4 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
             seq, off = places.find(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, decontaminate, fingerprint, htmltext, langid, linededup, lm, neardup, packing, quality, sql
+from . import chat, decontaminate, divergence, fingerprint, htmltext, infill, langid, linededup, lm, neardup, packing, quality, sql, urls
 from .common import small_batches
 
 
@@ -70,8 +70,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(rows.unionByName(extra), tokenizer()))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_quality, op4_lm_score, op5_html_text, op6_fingerprints, op7_near_dedup, op8_decontamination, op9_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_quality, op4_lm_score, op5_html_text, op6_fingerprints, op7_near_dedup, op8_decontamination, op9_packing, op10_chat_format, op11_source_divergence, op12_url_filter, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:

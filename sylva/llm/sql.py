@@ -49,4 +49,42 @@ found AS (SELECT doc_id, item_id, count(*) AS shared FROM documents_set JOIN ben
 SELECT doc_id, item_id, shared, size, shared / size AS containment FROM found JOIN sizes USING (item_id) WHERE 5 * shared >= 4 * size
 """
 
-ORACLE = {"op7_near_dedup": NEAR_DEDUP, "op8_decontamination": DECONTAMINATION}
+#: Smoothed shares of all kept terms in all groups, zero counts included, compared pair by pair.
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS text FROM documents),
+word AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM word GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+vocab AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM d),
+cell AS (SELECT lang, source, term, count(*) AS n FROM word JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+total AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN cell USING (lang, source) GROUP BY 1, 2),
+full_cell AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (t.total + 5 * v.v) AS p,
+    1 + (1000000000::HUGEINT * (k.n + 5)) // (v.total + 5 * v.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN total t USING (lang, source) JOIN vocab v USING (lang) LEFT JOIN cell c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM full_cell x JOIN full_cell y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM full_cell WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+#: Lines as a list, sliced by the two cuts; the text rebuilt from the places of the marks.
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+cut AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+placed AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM cut),
+part AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM placed),
+made AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM part),
+back AS (SELECT *, CASE form WHEN 'plain' THEN output
+  WHEN 'psm' THEN output[4:instr(output, '<S>') - 1] || output[instr(output, '<M>') + 3:] || output[instr(output, '<S>') + 3:instr(output, '<M>') - 1]
+  ELSE output[instr(output, '<P>') + 3:instr(output, '<M>') - 1] || output[instr(output, '<M>') + 3:] || output[4:instr(output, '<P>') - 1] END AS restored FROM made)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(output) AS output_sha256, sha256(restored) AS restored_sha256 FROM back
+"""
+
+ORACLE = {"op7_near_dedup": NEAR_DEDUP, "op8_decontamination": DECONTAMINATION, "op11_source_divergence": DIVERGENCE, "op13_fill_in_middle": FILL_IN_MIDDLE}

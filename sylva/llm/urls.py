@@ -110,9 +110,8 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
         err = 1 / (1 + F.exp(-_margin(F.col("f"), ahead, ahead_b))) - F.col("y")
         scaled = F.round(err * _UNIT / F.sqrt(F.greatest(F.size("f"), F.lit(1)))).cast("long")
         step = rows.select("f", scaled.alias("e"), F.round(err * _UNIT).cast("long").alias("eb"))
-        # bucket -1 is the bias
-        step = step.select(F.explode(F.array_append(F.transform("f", lambda f: F.struct(f.alias("f"), F.col("e").alias("e"))), F.struct(F.lit(-1).alias("f"), F.col("eb").alias("e")))).alias("x"))
-        grad = {r.f: r.e / _UNIT / n for r in step.groupBy("x.f").agg(F.sum("x.e").alias("e")).collect()}
+        step = step.select("e", "eb", F.explode(F.array_append("f", F.lit(-1))).alias("f"))  # bucket -1 is the bias
+        grad = {r.f: r.e / _UNIT / n for r in step.groupBy("f").agg(F.sum(F.when(F.col("f") < 0, F.col("eb")).otherwise(F.col("e"))).alias("e")).collect()}
         new = [a - RATE * (grad.get(k, 0.0) + DECAY * a) for k, a in enumerate(ahead)]
         new_b = ahead_b - RATE * grad.get(-1, 0.0)
         t_next = (1 + math.sqrt(1 + 4 * t * t)) / 2

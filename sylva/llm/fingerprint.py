@@ -8,7 +8,7 @@ count less half of all is a hashed sign sum, so squared differences of two texts
 sentences they do not share (a tug-of-war sketch): likeness = 1 - different / all.
 
 Edge cases: null is the empty text, with the fingerprint of no paragraphs; two of those are alike (1),
-one of them and another are not (0); rows that repeat a doc_id follow one another by a hash of the text;
+one of them and another are not (0); long texts: every lane is summed modulo its power, however many lines and sentences there are; rows that repeat a doc_id follow one another by a hash of the text;
 null ids come first; a single row is its own next; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -24,6 +24,18 @@ WIDE, NEAR = 6, 20
 _FIELD = 21
 _ONES = 1 | 1 << _FIELD | 1 << 2 * _FIELD
 _LANE = (1 << _FIELD) - 1
+_WHOLE = (1 << 40) - 1
+
+
+def _fields(lanes: Column) -> list[Column]:
+    """The three lanes of a long."""
+    return [F.shiftright(lanes, _FIELD * j).bitwiseAND(_LANE) for j in range(3)]
+
+
+def _packed(fields: list[Column]) -> Column:
+    """Three numbers as the lanes of a long, each modulo 2^21."""
+    a, b, c = (F.shiftleft(f.bitwiseAND(_LANE), _FIELD * j) for j, f in enumerate(fields))
+    return a.bitwiseOR(b).bitwiseOR(c)
 
 
 def _text(p: str) -> Column:
@@ -35,9 +47,11 @@ def _text(p: str) -> Column:
 def _likeness(a: str, b: str) -> Column:
     """1 - different / all sentences of the fingerprints with column prefixes a and b, between 0 and 1."""
     total = F.col(f"{a}n") + F.col(f"{b}n")
-    lanes = F.flatten(F.array(*(F.array(*(F.shiftright(f"{a}s{i}", _FIELD * j).bitwiseAND(_LANE) - F.shiftright(f"{b}s{i}", _FIELD * j).bitwiseAND(_LANE) for j in range(3))) for i in range(NEAR))))
+    lanes = F.array(*(x - y for i in range(NEAR) for x, y in zip(_fields(F.col(f"{a}s{i}")), _fields(F.col(f"{b}s{i}")), strict=True)))
     off = F.col(f"{a}n") - F.col(f"{b}n")
-    square = F.aggregate(F.transform(lanes, lambda d: ((2 * d - off) * (2 * d - off)).cast("double")), F.lit(0.0), lambda x, y: x + y)
+    # lanes are known modulo 2^21, so a difference of signed sums is the one nearest to 0
+    signed = lambda d: (F.pmod(2 * d - off + (1 << _FIELD), F.lit(2 << _FIELD)) - (1 << _FIELD)).cast("double")
+    square = F.aggregate(F.transform(lanes, lambda d: signed(d) * signed(d)), F.lit(0.0), lambda x, y: x + y)
     return F.when(total == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - square / (3.0 * NEAR * total))))
 
 
@@ -51,8 +65,9 @@ def _numbers(fingerprint: Column) -> list[Column]:
 
 
 def _combined(a: Column, b: Column, sign: int) -> Column:
-    sums = [x + sign * y for x, y in zip(_numbers(a), _numbers(b), strict=True)]
-    sums = [sums[0], *(F.pmod(x, F.lit(1 << 40)) for x in sums[1 : 1 + WIDE]), *sums[1 + WIDE :]]
+    x, y = _numbers(a), _numbers(b)
+    near = [_packed([p + sign * q for p, q in zip(_fields(u), _fields(v), strict=True)]) for u, v in zip(x[1 + WIDE :], y[1 + WIDE :], strict=True)]
+    sums = [(x[0] + sign * y[0]).bitwiseAND((1 << 32) - 1), *((u + sign * v).bitwiseAND(_WHOLE) for u, v in zip(x[1 : 1 + WIDE], y[1 : 1 + WIDE], strict=True)), *near]
     return F.concat(*(F.lower(F.lpad(F.hex(x), n, "0")) for x, n in zip(sums, _DIGITS, strict=True)))
 
 
@@ -108,24 +123,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.select("slot", "after", "place", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
 
-    def paragraphs(text: str, which: int) -> Column:
-        some = F.filter(F.split(text, "\n"), lambda p: p != "")
-        return F.transform(some, lambda p: F.struct(F.lit(which).alias("which"), p.alias("p")))
-
-    para = rows.select("slot", "after", "place", "doc_id", "n_chars", "edited_sha256", F.explode_outer(F.concat(paragraphs("text", 0), paragraphs("edited", 1))).alias("x")).select("*", "x.which", "x.p").drop("x")
-    # the paragraph's own hash stands with its first sentence
-    unit = para.select("*", F.posexplode_outer(F.split("p", r"(?<=\.) ")).alias("k", "u"))
-    wide = [F.when(F.col("k") == 0, F.shiftrightunsigned(F.xxhash64(F.lit(i), "p"), 24)).alias(f"w{i}") for i in range(WIDE)]
+    key = ["slot", "place", "after", "doc_id", "n_chars", "edited_sha256"]
+    both = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))
+    para = rows.select(*key, F.explode(both).alias("x")).select(*key, "x.which", F.posexplode(F.split("x.t", "\n")).alias("line", "p"))
+    # the paragraph's own hash stands with its first sentence; empty lines are no paragraphs
+    unit = para.select("*", F.posexplode(F.split("p", r"(?<=\.) ")).alias("k", "u"))
+    some = F.col("p") != ""
+    wide = [F.when(some & (F.col("k") == 0), F.shiftrightunsigned(F.xxhash64(F.lit(i), "p"), 24)).alias(f"w{i}") for i in range(WIDE)]
     # three bits of the sentence's hash to a long; another hash once its bits are used up
-    near = [F.shiftrightunsigned(F.xxhash64(F.lit(100 + i // 20), "u"), i % 20).bitwiseAND(_ONES).alias(f"s{i}") for i in range(NEAR)]
-    unit = unit.select("slot", "place", "after", "doc_id", "n_chars", "edited_sha256", "which", F.when(F.col("u").isNotNull(), 1).alias("n"), *wide, *near)
-    sums = []
+    near = [F.when(some, F.shiftrightunsigned(F.xxhash64(F.lit(100 + i // 20), "u"), i % 20).bitwiseAND(_ONES)).alias(f"s{i}") for i in range(NEAR)]
+    # at most 2^20 sentences are summed in packed lanes; these sums are taken apart before they are summed again
+    chunk = [F.shiftright("line", 10).alias("c1"), F.shiftright("k", 10).alias("c2")]
+    unit = unit.select(*key, "which", *chunk, F.when(some, 1).alias("n"), *wide, *near)
+    zero = F.lit(0).cast("long")
+    parts, sums = [], []
     for which, p in ((0, "a_"), (1, "b_")):
-        of = lambda c, which=which: F.coalesce(F.sum(F.when(F.col("which") == which, F.col(c))), F.lit(0))
-        sums.append(of("n").alias(f"{p}n"))
-        sums += [(of(f"w{i}") % (1 << 40)).alias(f"{p}w{i}") for i in range(WIDE)]
-        sums += [of(f"s{i}").alias(f"{p}s{i}") for i in range(NEAR)]
-    made = unit.groupBy("slot", "place", "after", "doc_id", "n_chars", "edited_sha256").agg(*sums)
+        of = lambda c, which=which: F.coalesce(F.sum(F.when(F.col("which") == which, F.col(c))), zero)
+        parts += [of(c).alias(f"{p}{c}") for c in ("n", *(f"w{i}" for i in range(WIDE)), *(f"s{i}" for i in range(NEAR)))]
+        sums.append(F.sum(f"{p}n").alias(f"{p}n"))
+        sums += [(F.sum(F.col(f"{p}w{i}").bitwiseAND(_WHOLE)).bitwiseAND(_WHOLE)).alias(f"{p}w{i}") for i in range(WIDE)]
+        sums += [_packed([F.sum(f) for f in _fields(F.col(f"{p}s{i}"))]).alias(f"{p}s{i}") for i in range(NEAR)]
+    made = unit.groupBy(*key, "c1", "c2").agg(*parts).groupBy(*key).agg(*sums)
     w = Window.partitionBy("slot").orderBy("place")
     lanes = ["n", *(f"w{i}" for i in range(WIDE)), *(f"s{i}" for i in range(NEAR))]
     made = made.select("*", *(F.lead(f"a_{c}").over(w).alias(f"c_{c}") for c in lanes)).where("after = 0")

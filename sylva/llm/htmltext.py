@@ -7,7 +7,7 @@ these, count all that were named, and the sums are the host's exact counts, howe
 
 What runs that enough pages have cover is cut out of a block; its unique runs stay, those of fewer than RUN words only if
 less than half of the block is covered. Enough is a share of the host's pages, by where the block
-stands: SHARE of them (2 at least) where structure says nothing (no container, outside of it, link lists inside it),
+stands: SHARE of them (2 at least) where structure says nothing (no container, outside of it, link lists and doubtful names inside it),
 SURE_SHARE of them (SURE_LEAST at least) in an article, or in main on pages without one. Menus, footers, forms and what its
 class, id or role names as adverts, notices or comments is compared with the rest and never kept.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import html as htmllib
+import itertools
 import json
 import math
 import re
@@ -51,46 +52,66 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promoted", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "subscription", "signup", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "comment", "comments", "reply", "replies", "respond", "discussion", "disqus", "related", "recommended", "recommendations", "share", "sharing", "social", "widget", "toolbar", "login", "pagination", "pager", "skip", "copyright", "legal"}
 #: Elements that hold an article's own text: inside one their class and id name its subject, not a part of the page.
 TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "caption", "figcaption", "span", "b", "i", "em", "strong", "a", "code", "label"}
+# Words that only say what kind of box it is.
+BOXES = {"area", "bar", "block", "body", "box", "button", "buttons", "container", "content", "div", "footer", "form", "group", "header", "heading", "holder", "inner", "item", "items", "link", "links", "list", "outer", "panel", "post", "posts", "row", "section", "slot", "text", "thread", "title", "unit", "wrap", "wrapper", "zone"}
 COMMENTS = {"comment", "comments", "reply", "replies", "respond", "discussion", "disqus"}
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"']+)))?")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _named(value: str, inside: bool) -> str:
+    """What a class or id says of an element: '', 'comments', 'other', or 'doubt' where it may be an article's subject.
+
+    Inside an article one of its names must say nothing else: ad-box does, menu-history is weighed by shared runs.
+    """
+    names = [set(_NAME.findall(x)) for x in value.split()] if inside else [set(_NAME.findall(value))]
+    why = ""
+    for words_ in names:
+        found = NAMES & words_
+        if found and inside and words_ - NAMES - BOXES:
+            why = why or "doubt"
+        elif found & COMMENTS:
+            return "comments"
+        elif found:
+            why = "other"
+    return why
+
+
 def _unwanted(tag: str, attrs: str, inside: bool) -> str:
-    """'' if the element may hold text; else why not ('comments' or 'other')."""
+    """'' if the element may hold text; else why not ('comments' or 'other'), or 'doubt'."""
     if tag in NEVER or tag == "header" and not inside:
         return "other"
+    out = ""
     if attrs:
         for name, *values in _ATTR.findall(attrs):
             name, value = name.lower(), "".join(values).lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
                 return "other"
             if name in ("class", "id") and not (inside and tag in TEXT):
-                found = NAMES.intersection(_NAME.findall(value))
-                if found & COMMENTS:
-                    return "comments"
-                if found and tag not in ("body", "html", "main"):
-                    return "other"
-    return ""
+                why = _named(value, inside)
+                if why == "comments" or why == "other" and tag not in ("body", "html", "main"):
+                    return why
+                out = out or (why if why == "doubt" else "")
+    return out
 
 
 def parse(page: str) -> list[tuple[str, int, bool]]:
-    """Blocks in page order: text, container (-1 unwanted, 0 none, 1 main, 2 article), mostly links."""
+    """Blocks in page order: text, container (-1 unwanted, 0 none, 1 main, 2 article), mostly links or in doubt by name."""
     blocks: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, str]] = []  # open elements with what is wrong with them
     text: list[str] = []
     unwanted: list[str] = []
     linked = [0]
-    state = {"bad": 0, "article": 0, "main": 0, "a": 0}
+    state = {"bad": 0, "doubt": 0, "article": 0, "main": 0, "a": 0}
 
     def flush() -> None:
         if text:
             whole = _SPACE.sub(" ", htmllib.unescape("".join(text))).strip()
             if whole:
-                blocks.append((whole, 2 if state["article"] else 1 if state["main"] else 0, linked[0] * 2 > len(whole)))
+                blocks.append((whole, 2 if state["article"] else 1 if state["main"] else 0, state["doubt"] > 0 or linked[0] * 2 > len(whole)))
             text.clear()
             linked[0] = 0
         if unwanted:
@@ -100,7 +121,8 @@ def parse(page: str) -> list[tuple[str, int, bool]]:
             unwanted.clear()
 
     def count(tag: str, why: str, step: int) -> None:
-        state["bad"] += step * bool(why)
+        state["bad"] += step * (why in ("comments", "other"))
+        state["doubt"] += step * (why == "doubt")
         if tag in ("article", "main", "a"):
             state[tag] += step
 
@@ -143,7 +165,7 @@ def parse(page: str) -> list[tuple[str, int, bool]]:
         if tag in BLOCK and stack and (stack[-1][0] == "p" or tag == "li" == stack[-1][0]):
             count(*stack.pop(), -1)
         why = _unwanted(tag, attrs, bool(state["article"] or state["main"]))
-        if tag in ("article", "main") and not why:
+        if tag in ("article", "main") and why in ("", "doubt"):
             # what was left open before the article doesn't hold it, but for comments
             while stack and state["bad"] and not any(w == "comments" for _, w in stack):
                 count(*stack.pop(), -1)
@@ -411,11 +433,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     if flagged.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
         # few enough for every task: pages stay where they are
-        rows, hosts = flagged.toArrow(), {}
-        names = np.array(rows.column("host").to_pylist(), object)
-        for h in dict.fromkeys(names):
-            own = rows.filter(pa.array(names == h))
-            hosts[h] = (*sorted_runs(own.column("run").to_numpy(), own.column("n").to_numpy()), own.column("total")[0].as_py())
+        rows = flagged.toArrow().sort_by("host")  # sorted once, then cut where the host changes
+        names = rows.column("host").to_pylist()
+        cuts = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
+        run, n, total = (rows.column(c).to_numpy() for c in ("run", "n", "total"))
+        hosts = {names[i]: (*sorted_runs(run[i:j], n[i:j]), int(total[i])) for i, j in itertools.pairwise([*cuts, len(names)])}
         known = pages.sparkSession.sparkContext.broadcast(hosts)
         nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64), 1)
 

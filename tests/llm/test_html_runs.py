@@ -91,3 +91,24 @@ def test_long_and_empty_pages(spark):
     assert len(got[1].split()) == 200_000
     assert (got[2], got[3], got[None]) == ("", "", "x")
     assert extracted(spark, []) == {}
+
+
+NAMED = ['<p style="overflow:hidden">', '<div data-hidden="false">', '<a href="/hidden/valley">', '<section class="menu-history">', '<div id="related-work">', '<figure class="share-price">', '<table class="widget-sales"><tr><td>', '<div class="post-body reply-free">', "<p title='not hidden'>", "<div data-x=\"class='ad'\">", "<div class=unhidden id=x>"]
+LEFT_OUT = ["<div hidden>", '<div HIDDEN="">', '<div class="x ad-box">', '<section id="comments-list">', '<div aria-hidden="true">', '<div class="related-posts">', "<div id=comments>", '<div role="navigation">']
+
+
+def test_words_in_an_articles_names_and_other_attributes(spark):
+    page = lambda i, tag: (i, f"https://h{i}.example/", f"<html><body><article><p>Before {i}.</p>{tag}Inner text number {i}.</article></body></html>")
+    got = extracted(spark, [page(i, tag) for i, tag in enumerate(NAMED + LEFT_OUT)])
+    for i, tag in enumerate(NAMED + LEFT_OUT):
+        assert (f"Inner text number {i}." in got[i]) == (tag in NAMED), tag
+        assert f"Before {i}." in got[i]
+
+
+def test_doubtful_names_are_weighed_by_shared_runs(spark):
+    """A box that may be the article's subject goes if enough of the host's pages have it, and stays if only its own page does."""
+    shared = "our weekly offers of garden tools and seeds for all friends of this place"
+    page = lambda i, box: (i, "https://one.example/" + str(i), f"<article><p>Story {i} tells of x{i} and y{i}.</p><div class='sponsor-story'>{box}</div></article>")
+    got = extracted(spark, [page(i, shared if i < 6 else f"The sponsor of team {i} left it w{i} v{i} in the year u{i} after long talks q{i}.") for i in range(12)])
+    assert all(shared not in got[i] for i in range(6))
+    assert all(f"The sponsor of team {i}" in got[i] for i in range(6, 12))

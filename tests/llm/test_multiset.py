@@ -57,3 +57,33 @@ def test_likeness_follows_shared_sentences(spark):
 def test_long_text(spark):
     text = " ".join(f"w{i}." for i in range(40_000))
     assert prints(spark, [text])[0].n_chars == len(text)
+
+
+def _lanes(fingerprint):
+    near = [int(fingerprint[8 + 10 * fp.WIDE + 16 * k : 24 + 10 * fp.WIDE + 16 * k], 16) for k in range(fp.NEAR)]
+    return [x >> 21 * j & (1 << 21) - 1 for x in near for j in range(3)]
+
+
+def test_millions_of_lines_and_of_sentences(spark):
+    """Lanes wrap modulo their powers: one line's numbers times so many."""
+    n = 5_000_000
+    docs = spark.range(4).selectExpr("id AS doc_id", f"CASE id WHEN 0 THEN 'a' WHEN 1 THEN repeat('a\n', {n}) WHEN 2 THEN 'Yes. ' ELSE repeat('Yes. ', {n}) END AS text")
+    got = {r.doc_id: r for r in fp.fingerprints(docs).collect()}
+    one, many = got[0].fingerprint, got[1].fingerprint
+    assert int(many[:8], 16) == n
+    assert _lanes(many) == [x * n % (1 << 21) for x in _lanes(one)]
+    assert [int(many[8 + 10 * k : 18 + 10 * k], 16) for k in range(fp.WIDE)] == [int(one[8 + 10 * k : 18 + 10 * k], 16) * n % (1 << 40) for k in range(fp.WIDE)]
+    assert int(got[3].fingerprint[:8], 16) == n + 1
+    few = _lanes(got[2].fingerprint)  # "Yes." and the empty rest
+    assert all((x - y) % (1 << 21) in (0, (n - 1) % (1 << 21)) for x, y in zip(_lanes(got[3].fingerprint), few, strict=True))
+    assert 0 <= got[1].near_edited <= 1 and 0 <= got[3].near_next <= 1
+
+
+def test_insertion_wraps_lane_by_lane(spark):
+    digits = lambda n, w, s: f"{n:08x}" + f"{w:010x}" * fp.WIDE + f"{s:016x}" * fp.NEAR
+    top = (1 << 21) - 1
+    full = top | top << 21 | top << 42
+    df = spark.createDataFrame([(digits(7, (1 << 40) - 1, full), digits(2, 3, 1 | 2 << 21 | 3 << 42))], "a string, b string")
+    made = df.select(fp.inserted(F.col("a"), F.col("b")).alias("ab"), fp.deleted(fp.inserted(F.col("a"), F.col("b")), F.col("b")).alias("back"), "a").first()
+    assert made.ab == digits(9, 2, 0 | 1 << 21 | 2 << 42)
+    assert made.back == made.a

@@ -1,17 +1,22 @@
-"""Deep merge: later values win; maps merge by key, lists by index, other pairs are replaced."""
+"""Deep merge: later values win; maps merge by key, lists by index, other pairs are replaced.
+
+merge() and merge_variants() merge values that stand in one row, at any depth. merge_layers() and merge_agg() merge rows as a relation:
+documents are walked, the last layer wins at every path, conflicts of kind are settled by prefix, and winners are nested again.
+"""
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
-from ..functions import kinds
-from . import trees
+from ..functions import nodes
+from ..functions.nodes import bind
+from ..session import settled
+from .nest import match, nest
+from .walk import MAXDEPTH, by_levels, kind_of, opened, walk
 
 
 def merge_maps(*maps: Column) -> Column:
@@ -23,73 +28,98 @@ def merge_maps(*maps: Column) -> Column:
     return reduce(two, maps)
 
 
-def merge_depth(values: list[Column], depth: int) -> Column:
-    """Merge of VARIANT columns to a fixed small depth, in built-in expressions: below it the later value replaces."""
+def merge_variants(values: list[Column], maxdepth: int | None = None) -> Column:
+    """Merge of VARIANT columns in one expression; absent values (SQL NULL) are left out, a stored null replaces.
+
+    At maxdepth the later value replaces instead of merging; 0 and less give the last value, maps and lists emptied.
+    """
+    limit = MAXDEPTH if maxdepth is None else max(0, maxdepth)
+    if limit == 0:
+        last = F.coalesce(*reversed(values))
+        return bind(opened(last), lambda x: F.when(x["m"].isNotNull(), F.parse_json(F.lit("{}"))).when(x["a"].isNotNull(), F.parse_json(F.lit("[]"))).otherwise(x["v"]))
+
+    def expand(key: Column, layers: Column, parent: Column, path: Column) -> Column:
+        """The last layer decides; it merges with those before it that have its kind, back to one that has not."""
+
+        def inside(x: Column) -> Column:
+            kind = kind_of(F.element_at(x, -1))
+            other = F.filter(F.transform(x, lambda e, i: F.when(kind_of(e) != kind, i)), lambda i: i.isNotNull())
+            run = F.slice(x, F.coalesce(F.try_element_at(other, F.lit(-1)), F.lit(-1)) + 2, F.size(x))
+            return F.struct(kind.alias("kind"), F.element_at(x, -1)["v"].alias("value"), F.when(kind == "scalar", F.array().cast(_LOADS)).otherwise(bind(run, gathered)).alias("kids"))
+
+        return bind(F.transform(layers, opened), inside)
+
+    def gathered(run: Column) -> Column:
+        """The layers' values of each key; keys of a list stay in order, as what only a longer one has comes last."""
+        keyed = lambda x: F.coalesce(x["m"], F.map_from_entries(F.transform(x["a"], lambda e, i: F.struct(i.cast("string").alias("key"), e.alias("value")))))
+        add = lambda acc, x: F.map_zip_with(acc, keyed(x), lambda _, have, v: F.when(v.isNull(), have).when(have.isNull(), F.array(v)).otherwise(F.array_append(have, v))).cast("map<string,array<variant>>")
+        found = F.aggregate(run, F.create_map().cast("map<string,array<variant>>"), add)
+        return F.transform(F.map_entries(found), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("load")))
+
+    there = F.filter(F.array(*values), lambda v: v.isNotNull())
+    return bind(there, lambda layers: F.when(F.size(layers) > 0, by_levels(layers, "array<variant>", expand, None, limit)))
 
-    def two(a: Column, b: Column, left: int) -> Column:
-        if left <= 0:
-            return b
-        ma, mb = kinds.as_map(a), kinds.as_map(b)
-        la, lb = kinds.as_list(a), kinds.as_list(b)
-        pick = lambda x, y: F.when(y.isNull(), x).when(x.isNull(), y).otherwise(two(x, y, left - 1))
-        as_map = F.to_variant_object(F.map_zip_with(ma, mb, lambda _, x, y: pick(x, y)))
-        as_list = F.to_variant_object(F.zip_with(la, lb, pick))
-        return F.when(kinds.ismap(a) & kinds.ismap(b), as_map).when(kinds.islist(a) & kinds.islist(b), as_list).otherwise(b)
 
-    return reduce(lambda a, b: F.when(b.isNull(), a).when(a.isNull(), b).otherwise(two(a, b, depth)), values)
+_LOADS = "array<struct<key:string,load:array<variant>>>"
+
+
+def merge_depth(values: list[Column], depth: int) -> Column:
+    """Merge of VARIANT columns to a depth: below it the later value replaces."""
+    return merge_variants(values, depth) if depth > 0 else F.coalesce(*reversed(values))
 
 
 def merge(values: list[Column], maxdepth: int | None = None) -> Column:
-    """Merge of JSON text columns to any depth; JSON text."""
-    return trees.merge_udf(maxdepth)(F.array(*values))
+    """Merge of JSON text columns to any depth; JSON text, keys sorted."""
+    return F.to_json(merge_variants([F.parse_json(v) for v in values], maxdepth))
+
+
+def merge_layers(df: DataFrame, by: list[str], layer: list[str], doc: str, maxdepth: int | None = None) -> DataFrame:
+    """by and doc (VARIANT): for each by the merge of its rows' documents in order of the layer columns.
+
+    Every path's last layer of each kind is aggregated before the shuffle, however many rows a key has. A path that changes its kind
+    cuts off what was below it before: those layers' nodes go by a join on their ancestors, and nest() puts the rest together.
+    Absent documents are left out, and keys with nothing else with them; rows of one layer should differ in the layer columns.
+    """
+    limit = MAXDEPTH if maxdepth is None else max(0, maxdepth)
+    keys = [f"__k{i}" for i in range(len(by))]
+    docs = df.where(F.col(f"`{doc}`").isNotNull()).select(*(F.col(f"`{c}`").alias(k) for k, c in zip(keys, by, strict=True)), F.struct(*(F.col(f"`{c}`") for c in layer)).alias("layer"), F.col(f"`{doc}`").alias("doc"))
+    if limit == 0:
+        last = docs.groupBy(*keys).agg(F.max_by("doc", "layer").alias("doc"))
+        return last.select(*(F.col(k).alias(c) for k, c in zip(keys, by, strict=True)), merge_variants([F.col("doc")], 0).alias(doc))
+    seen = walk(docs, "doc", [*keys, "layer"], limit)
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("layer"))
+    rows = seen.groupBy(*keys, "path").agg(F.max("depth").alias("depth"), F.max(of("map")).alias("map"), F.max(of("list")).alias("list"), F.max(of("scalar")).alias("scalar"), F.max_by("value", of("scalar")).alias("value"))
+    last = F.greatest("map", "list", "scalar")
+    rows = rows.select(*keys, "path", "depth", last.alias("last"), "map", "list", "scalar", "value")
+    kind = F.when(F.col("scalar") == F.col("last"), "scalar").when(F.col("map") == F.col("last"), "map").otherwise("list")
+    rows = settled(rows.withColumn("kind", kind))  # as small as the merged documents; the walk is done once
+    # nodes below it of this layer and of those before are gone
+    none = F.lit(None).cast(df.select(F.struct(*(F.col(f"`{c}`") for c in layer))).schema[0].dataType)
+    cut = F.greatest(F.when(F.col("kind") != "map", F.col("map")), F.when(F.col("kind") != "list", F.col("list")), F.col("scalar"), none)
+    cuts = rows.where((F.col("map").isNotNull().cast("int") + F.col("list").isNotNull().cast("int") + F.col("scalar").isNotNull().cast("int")) > 1).select(*keys, F.col("path").alias("above"), cut.alias("cut"))
+    touched = match(rows.where("depth > 0").select(*keys, "path", "last"), cuts.select(*keys).distinct(), keys, "left_semi")
+    below = touched.select(*keys, "path", "last", F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda k: F.slice("path", F.lit(1), k))).alias("above"))
+    gone = match(below, cuts, [*keys, "above"]).where("last <= cut").select(*keys, "path").distinct()
+    kept = match(rows, gone, [*keys, "path"], "left_anti")
+    made = nest(kept, keys, kind="kind", out="doc", depth=None)
+    return made.select(*(F.col(k).alias(c) for k, c in zip(keys, by, strict=True)), F.col("doc").alias(doc))
 
 
 def merge_agg(df: DataFrame, by: list[str], order: str, fields: list[str]) -> DataFrame:
-    """Merge of the rows of each key in order (equal orders by the value's text): one row for each key.
+    """Merge of the rows of each key in order (equal orders by the value's text, documents by its hash): one row for each key.
 
-    Of a scalar field the last value that is there stays; it is pre-aggregated before the shuffle. Maps, lists and VARIANT
-    fields are merged as deep as they go, row after row: the fold depends on its order, so a key's rows are streamed in
-    order through one task that holds no more than the merged value (VARIANT).
+    Of a scalar field the last value that is there stays. Maps, lists and VARIANT fields are merged as deep as they go by merge_layers()
+    (VARIANT). Both are aggregated before the shuffle, so no task sees all rows of a key.
     """
     deep = [c for c in fields if isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType, VariantType))]
     flat = [c for c in fields if c not in deep]
     last = {c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.col(order), F.col(c).cast("string")))).alias(c) for c in flat}
-    out = df.groupBy(*by).agg(*last.values()) if flat or not deep else None
+    out = df.groupBy(*by).agg(*last.values()) if flat else df.select(*by).distinct()
     if deep:
-        folded = _fold(df, by, order, deep)
-        keys = [folded[c].eqNullSafe(out[c]) for c in by] if out is not None else None
-        out = folded if out is None else out.join(folded, reduce(lambda a, b: a & b, keys)).select(*(out[c] for c in by), *(out[c] for c in flat), *(folded[c] for c in deep))
+        values = {c: F.col(c) if isinstance(df.schema[c].dataType, VariantType) else F.when(F.col(c).isNotNull(), nodes.as_variant(F.col(c))) for c in deep}
+        pairs = F.filter(F.array(*(F.struct(F.lit(c).alias("key"), v.alias("value")) for c, v in values.items())), lambda e: e["value"].isNotNull())
+        docs = df.select(*by, F.col(order).alias("__order"), F.when(F.size(pairs) > 0, F.to_variant_object(F.map_from_entries(pairs))).alias("__doc"))
+        docs = docs.withColumn("__tie", F.xxhash64(F.to_json("__doc")))
+        merged = merge_layers(docs, by, ["__order", "__tie"], "__doc")
+        out = match(out, merged, by, "left").select(*by, *flat, *(nodes.lookup(F.col("__doc"), c).alias(c) for c in deep))
     return out.select(*by, *fields)
-
-
-def _fold(df: DataFrame, by: list[str], order: str, fields: list[str]) -> DataFrame:
-    texts = df.select(*by, F.col(order).alias("__order"), *(F.to_json(c).alias(c) for c in fields))
-    texts = texts.repartition(*by).sortWithinPartitions(*by, "__order", *fields).drop("__order")
-    width, schema = len(by), texts.schema
-
-    def run(batches):
-        key, now, done = None, None, []
-
-        def row() -> dict:
-            merged = [None if v is trees.ABSENT else json.dumps(trees._tidy(v), separators=(",", ":"), ensure_ascii=False) for v in now]
-            return dict(zip(schema.names, [*key, *merged], strict=True))
-
-        arrow = None
-        for batch in batches:
-            arrow = batch.schema
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != values[:width]:
-                    if key is not None:
-                        done.append(row())
-                    key, now = values[:width], [trees.ABSENT] * len(fields)
-                for k, text in enumerate(values[width:]):
-                    if text is not None:
-                        v = json.loads(text)
-                        now[k] = v if now[k] is trees.ABSENT else trees.merge([now[k], v])
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema=arrow)
-                done = []
-        if key is not None:
-            yield pa.RecordBatch.from_pylist([row()], schema=arrow)
-
-    return texts.mapInArrow(run, schema).select(*by, *(F.parse_json(c).alias(c) for c in fields))

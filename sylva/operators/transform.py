@@ -20,7 +20,8 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, MapT
 
 from ..functions import kinds, nodes, paths
 from ..plans.node import ABSENT, Node
-from .trees import has_ref, merge_udf, misplaced
+from .merge import merge_variants
+from .trees import has_ref, misplaced
 
 _FULL = re.compile(r"`(\$[A-Z]+\d*|[^`]*)`")
 _PART = re.compile(r"`([^`]*)`")
@@ -381,9 +382,9 @@ def compile_map(spec: dict, cx: Context) -> dict[str, Column] | Column:
 
 def _merged(fields: dict[str, Column], args: list) -> Column:
     """Maps whose keys only the data knows, under the fields, merged to any depth: VARIANT."""
-    texts = [F.to_json(m.as_variant() if isinstance(m, Node) else nodes.as_variant(m)) for m in args if m is not DROP]
-    own = F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))) if fields else F.lit("{}")
-    return F.parse_json(merge_udf()(F.array(*texts, own)))
+    maps = [m.as_variant() if isinstance(m, Node) else nodes.as_variant(m) for m in args if m is not DROP]
+    own = F.to_variant_object(F.struct(*(c.alias(k) for k, c in fields.items()))) if fields else F.parse_json(F.lit("{}"))
+    return merge_variants([*maps, own])
 
 
 def _is_command(v) -> bool:

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from .functions import kinds, nodes, paths, scalars
 from .operators import shapes, trees
-from .operators.merge import merge_agg, merge_depth, merge_maps
+from .operators.merge import merge, merge_agg, merge_depth, merge_layers, merge_maps
+from .operators.nest import nest
 from .operators.select import select, select_children, select_list
 from .operators.transform import inject, transform
 from .operators.validate import validate
-from .operators.walk import leaves, walk
+from .operators.walk import leaves, rewrite, walk
 from .sources.documents import document, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -458,7 +459,7 @@ def transform_tree(spark, d):
 
 @query("SELECT event_id, '{\"a\":[1,2],\"k\":' || json_extract_string(props, '$.k') || '}' AS merged FROM events")
 def merge_tree(spark, d):
-    m = trees.merge_udf()(F.array(F.lit(json.dumps({"k": None, "a": [1, 5]})), F.col("props"), F.lit('{"a":{}}'), F.lit('{"a":[1,2]}')))
+    m = merge([F.lit(json.dumps({"k": None, "a": [1, 5]})), F.col("props"), F.lit('{"a":{}}'), F.lit('{"a":[1,2]}')])
     return table(spark, d, "events").select("event_id", m.alias("merged"))
 
 
@@ -670,11 +671,74 @@ def getpath_condensed(spark, d):
 
 @query("SELECT event_id, '{\"K\":' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) * 2 AS VARCHAR) || '}' AS out FROM events")
 def walk_rewrite_tree(spark, d):
+    twice = lambda n: nodes.as_variant(F.try_variant_get(n, "$", "bigint") * 2)
+    renamed = lambda m: F.to_variant_object(F.transform_keys(m, lambda k, _: F.upper(k)))
+
     def double(key, v, parent, path):
-        return v * 2 if isinstance(v, int) else v
+        return F.when(kinds.is_number(v), twice(v)).otherwise(v)
 
     def rename(key, v, parent, path):
-        return {k.upper(): x for k, x in v.items()} if isinstance(v, dict) else v
+        return F.when(kinds.ismap(v), renamed(kinds.as_map(v))).otherwise(v)
 
-    f = trees.json_udf(lambda v: trees.walk(v, double, rename))
-    return table(spark, d, "events").select("event_id", f(F.col("props")).alias("out"))
+    return _events(spark, d).select("event_id", F.to_json(rewrite(F.col("doc"), double, rename)).alias("out"))
+
+
+# ---------------------------------------------------------------- documents as relations
+
+
+def _order_docs(spark: SparkSession, d: str) -> DataFrame:
+    """An order with its lines, an empty map and an empty list, as one VARIANT document."""
+    empty = [F.from_json(F.lit("{}"), "map<string,string>").alias("none"), F.array().cast("array<string>").alias("tags")]
+    return _orders(spark, d).select("o_orderkey", document(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.transform("items", lambda x: F.struct(x["n"].alias("n"), x["part"].alias("part"), x["flag"].alias("flag"))).alias("lines"), *empty).alias("doc"))
+
+
+_LINES = """'[' || string_agg('{"flag":"' || l_returnflag || '","n":' || CAST(l_linenumber AS VARCHAR) || ',"part":' || CAST(l_partkey AS VARCHAR) || '}', ',' ORDER BY r) || ']'"""
+
+
+@query(f"""SELECT o_orderkey, '{{"id":' || CAST(o_orderkey AS VARCHAR) || ',"lines":' || {_LINES} || ',"none":{{}},"status":"' || o_orderstatus || '","tags":[]}}' AS doc FROM orders JOIN {RANKED} ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""")
+def nest_orders(spark, d):
+    rows = walk(_order_docs(spark, d), "doc", ["o_orderkey"])
+    return nest(rows, ["o_orderkey"], kind="kind").select("o_orderkey", F.to_json("doc").alias("doc"))
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS doc FROM events")
+def nest_events(spark, d):
+    return nest(walk(_events(spark, d), "doc", ["event_id"]), ["event_id"], kind="kind").select("event_id", F.to_json("doc").alias("doc"))
+
+
+@query(f"""
+WITH line AS (
+  SELECT o_orderkey, o_orderstatus, count(*) OVER w AS lines, r, l_linenumber, l_partkey, l_returnflag
+  FROM orders JOIN {RANKED} ON l_orderkey = o_orderkey WINDOW w AS (PARTITION BY o_orderkey))
+SELECT o_orderkey, '{{"lines":' || CASE WHEN o_orderkey % 3 = 0 THEN '{{"count":' || CAST(lines AS VARCHAR) || '}}'
+  ELSE '[' || string_agg('{{"flag":"' || CASE WHEN r = 0 THEN 'X' ELSE l_returnflag END || '","n":' || CAST(l_linenumber AS VARCHAR) || '}}', ',' ORDER BY r) || ']' END
+  || ',"note":' || CASE WHEN o_orderkey % 2 = 0 THEN '{{"by":"b"}}' ELSE 'null' END || ',"status":"' || lower(o_orderstatus) || '"}}' AS doc
+FROM line GROUP BY o_orderkey, o_orderstatus, lines""")
+def merge_relation(spark, d):
+    """Three layers of rows: the order; a change of its first line, its status and a note; for some a list that becomes a map."""
+    o = _orders(spark, d)
+    line = F.transform("items", lambda x: F.struct(x["n"].alias("n"), x["flag"].alias("flag")))
+    base = o.select("o_orderkey", F.lit(1).alias("layer"), document(F.col("o_orderstatus").alias("status"), line.alias("lines"), F.struct(F.struct(F.lit("a").alias("by")).alias("deep")).alias("note")).alias("doc"))
+    note = F.when(F.col("o_orderkey") % 2 == 0, F.parse_json(F.lit('{"by":"b"}'))).otherwise(F.parse_json(F.lit("null")))
+    first = F.array(F.struct(F.lit("X").alias("flag")))
+    second = o.select("o_orderkey", F.lit(2).alias("layer"), document(F.lower("o_orderstatus").alias("status"), first.alias("lines"), F.lit("plain").alias("note")).alias("doc"))
+    third = o.select("o_orderkey", F.lit(3).alias("layer"), nodes.jm(note=note).alias("doc"))
+    fourth = o.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit(4).alias("layer"), document(F.struct(F.size("items").alias("count")).alias("lines")).alias("doc"))
+    rows = base.unionByName(second).unionByName(third).unionByName(fourth)
+    return merge_layers(rows, ["o_orderkey"], ["layer"], "doc").select("o_orderkey", F.to_json("doc").alias("doc"))
+
+
+@query(f"""SELECT o_orderkey, '{{"lines":[' || string_agg('{{"at":"lines/' || CAST(r AS VARCHAR) || '/at","n":' || CAST(l_linenumber * 10 AS VARCHAR) || '}}', ',' ORDER BY r) || ']}}' AS doc FROM orders JOIN {RANKED} ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def walk_rewrite(spark, d):
+    """before: line maps get a place for their path and numbers grow; after: flags go and the place becomes its path."""
+    line = F.transform("items", lambda x: F.struct(x["n"].alias("n"), x["flag"].alias("flag"), F.lit("").alias("at")))
+    docs = _orders(spark, d).select("o_orderkey", document(line.alias("lines")).alias("doc"))
+    tenfold = lambda v: nodes.as_variant(F.try_variant_get(v, "$", "bigint") * 10)
+
+    def before(key, v, parent, path):
+        return F.when(key == "n", tenfold(v)).otherwise(v)
+
+    def after(key, v, parent, path):
+        return F.when(key == "flag", F.lit(None).cast("variant")).when(key == "at", nodes.as_variant(F.array_join(path, "/"))).otherwise(v)
+
+    return docs.select("o_orderkey", F.to_json(rewrite(F.col("doc"), before, after)).alias("doc"))

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -39,3 +39,16 @@ def configure(spark: SparkSession) -> SparkSession:
         spark.conf.set(k, v)
     ship(spark)
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, in the checkpoint folder that executors share (spark.checkpoint.dir).
+
+    Where it is unset, local mode takes a folder of its own; on a cluster df stays as it is and is computed at each use.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            return df
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sylva-checkpoint-"))
+    return df.checkpoint()

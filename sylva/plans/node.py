@@ -15,6 +15,7 @@ class Node:
 
     def __init__(self, col: Column | None, kind: DataType | None, fields: dict[str, Column] | None = None):
         self.col, self.kind, self.fields = col, kind, fields
+        self.base, self.steps = col, "$"  # col of a VARIANT as one read from a column
 
     @classmethod
     def row(cls, df: DataFrame) -> Node:
@@ -58,6 +59,20 @@ class Node:
             return Node(nodes.getprop(self.col, k), t)
         return ABSENT
 
+    def child(self, key: str | int, listed: bool = False) -> Node:
+        """The value at a map's key or (listed) at a list's index; of VARIANT null is kept, and the read stays one expression at any depth."""
+        if not self.is_variant:
+            return self.get(key)
+        k = _key(key)
+        if k == "" or listed and not _INDEX.fullmatch(k):
+            return ABSENT
+        if '"' in k or "\\" in k:
+            return Node.variant(F.try_element_at(F.try_variant_get(self.col, "$", "map<string,variant>"), F.lit(k)))
+        steps = self.steps + (f"[{k}]" if listed else f'["{k}"]')
+        out = Node.variant(F.variant_get(self.base, steps, "variant"))
+        out.base, out.steps = self.base, steps
+        return out
+
     def at(self, key: Column) -> Node:
         """The value at a key that is text of the row."""
         t, index = self.kind, F.when(key.rlike(f"^({_INDEX.pattern})$"), key.try_cast("int"))

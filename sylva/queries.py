@@ -353,6 +353,9 @@ def transform_ref(spark, d):
 
 # ---------------------------------------------------------------- validate
 
+#: What error texts say of the values of _mixed().
+_FOUND = "CASE c_custkey % 9 WHEN 1 THEN 'boolean: true' WHEN 2 THEN 'integer: ' || CAST(c_custkey AS VARCHAR) WHEN 3 THEN 'decimal: 2.5' WHEN 4 THEN 'string: ' || c_name WHEN 5 THEN 'list: [1,null,3]' WHEN 6 THEN 'map: {a:{c:2},b:1}' WHEN 7 THEN 'string: ' ELSE 'no value' END"
+
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'Expected field event_type to be exactly equal to one of view, click, signup, purchase, but found string: error.' ELSE '' END AS errs FROM events")
 def validate_exact(spark, d):
@@ -365,10 +368,10 @@ def validate_types(spark, d):
     return validate(_mixed(spark, d), {"v": "`$NUMBER`", "`$OPEN`": True}).select("c_custkey", F.array_join("errs", " | ").alias("errs"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 9 WHEN 6 THEN 'Unexpected keys at field v: b' WHEN 0 THEN '' WHEN 8 THEN '' ELSE 'Expected field v to be map, but found ' END AS errs FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 9 WHEN 6 THEN 'Unexpected keys at field v: b' WHEN 0 THEN '' WHEN 8 THEN '' ELSE 'Expected field v to be map, but found ' || " + _FOUND + " || '.' END AS errs FROM customer")
 def validate_closed(spark, d):
     v = validate(_mixed(spark, d), {"v": {"a": {}}, "`$OPEN`": True})
-    return v.select("c_custkey", F.regexp_replace(F.array_join("errs", " | "), "(but found ).*", "$1").alias("errs"))
+    return v.select("c_custkey", F.array_join("errs", " | ").alias("errs"))
 
 
 @query(f"SELECT o_orderkey, coalesce(string_agg('Expected field items.' || CAST(r AS VARCHAR) || '.flag to be exactly equal to one of A, N, but found string: R.', ' | ' ORDER BY r) FILTER (l_returnflag = 'R'), '') AS errs FROM orders JOIN {RANKED} ON l_orderkey = o_orderkey GROUP BY 1")
@@ -523,20 +526,51 @@ def transform_escapes_and_custom(spark, d):
     return transform(table(spark, d, "events"), {"id": "`event_id`", "t": "`$BT``event_type``$DS`", "custom": "`$MINE`", "gone": "`$NOPE`"}, extra={"$MINE": lambda cx: F.lit("x")})
 
 
-@query("SELECT event_id, '{\"id\":' || json_extract_string(props, '$.k') || '}' AS out, '$EACH: invalid placement as key, expected: value.' AS errs FROM events")
+@query("SELECT event_id, '{\"id\":' || json_extract_string(props, '$.k') || ',\"x\":{}}' AS out, '$EACH: invalid placement as key, expected: value.' AS errs FROM events")
 def transform_errors_tree(spark, d):
     f = trees.transform_errs_udf({"id": "`k`", "x": {"`$EACH`": 1}})
     e = table(spark, d, "events").select("event_id", f(F.col("props")).alias("r"))
-    return e.select("event_id", F.regexp_replace("r.out", ',"x":\\{\\}', "").alias("out"), F.array_join("r.errs", " | ").alias("errs"))
+    return e.select("event_id", F.col("r.out").alias("out"), F.array_join("r.errs", " | ").alias("errs"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 9 = 3 THEN 'Expected field v to be exactly equal to ' || CAST(c_custkey AS VARCHAR) || ', but found decimal: 2.5.' ELSE '' END AS errs FROM customer WHERE c_custkey % 9 IN (2, 3)")
+@query("SELECT event_id, CASE WHEN k <> 7 THEN 'Expected field doc.k to be exactly equal to 7, but found integer: ' || CAST(k AS VARCHAR) || '.' ELSE '' END AS errs, CAST(k AS BIGINT) AS k, 'web' AS origin FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
 def validate_meta(spark, d):
-    m = _mixed(spark, d).where("c_custkey % 9 IN (2, 3)").withColumn("lim", F.col("c_custkey"))
-    v = validate(m.select("c_custkey", "v"), {"c_custkey": "`$INTEGER`", "v": "`$NUMBER`"}, meta={"q": {"x": 1}})
-    exact = validate(m.where("c_custkey % 9 = 3").select("c_custkey", "v"), {"v": "`q$=x`", "`$OPEN`": True}, meta={"q": {"x": 1}})
-    exact = exact.select("c_custkey", F.regexp_replace(F.array_join("errs", ""), "equal to 1,", F.concat(F.lit("equal to "), F.col("c_custkey").cast("string"), F.lit(","))).alias("errs"))
-    return v.where("c_custkey % 9 = 2").select("c_custkey", F.array_join("errs", "").alias("errs")).unionByName(exact)
+    """Exactly a value of meta, and another one as default."""
+    e = _events(spark, d).select("event_id", "doc")
+    v = validate(e, {"event_id": "`$INTEGER`", "doc": {"k": "`q0$=want.k`", "origin": "`q0$~from`"}}, meta={"q0": {"want": {"k": 7}, "from": "web"}}, out="o")
+    return v.select("event_id", F.array_join("errs", " | ").alias("errs"), F.variant_get("o", "$.doc.k", "bigint").alias("k"), F.variant_get("o", "$.doc.origin", "string").alias("origin"))
+
+
+_WAS = "CASE k % 3 WHEN 2 THEN 'integer: ' || CAST(k AS VARCHAR) ELSE 'no value' END || '.'"
+
+
+@query(f"""SELECT event_id,
+  CASE WHEN k % 3 = 0 THEN '' ELSE 'Expected field doc.a to be null, but found ' || {_WAS} END AS nulls,
+  CASE WHEN k % 3 = 0 THEN '' ELSE 'Expected field doc.a to be one of string, null, but found ' || {_WAS} END AS one,
+  CASE WHEN k % 3 = 2 THEN '' ELSE 'Expected field doc.a to be integer, but found no value.' END AS number
+FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")
+def validate_nulls(spark, d):
+    """A stored null, nothing and a number, below the root."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    text = F.when(k % 3 == 0, F.lit('{"a":null}')).when(k % 3 == 1, F.lit("{}")).otherwise(F.concat(F.lit('{"a":'), k.cast("string"), F.lit("}")))
+    out = table(spark, d, "events").select("event_id", F.parse_json(text).alias("doc"))
+    for name, shape in (("nulls", "`$NULL`"), ("one", ["`$ONE`", "`$STRING`", "`$NULL`"]), ("number", "`$INTEGER`")):
+        out = validate(out, {"doc": {"a": shape}, "`$OPEN`": True}).withColumn(name, F.array_join("errs", " | ")).drop("errs")
+    return out.drop("doc")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Expected field doc.a.b.c.d.e.f.g.h to be exactly equal to one of O, F, but found string: P.' ELSE '' END || CASE WHEN o_orderkey % 2 = 1 THEN CASE WHEN o_orderstatus = 'P' THEN ' | ' ELSE '' END || 'Unexpected keys at field doc.a.b.c.d.e: odd' ELSE '' END AS errs FROM orders")
+def validate_deep(spark, d):
+    """Eight levels down, closed maps on the way."""
+    deep = F.struct(F.struct(F.col("o_orderstatus").alias("h")).alias("g"))
+    fields = F.create_map(F.lit("f"), nodes.as_variant(deep))
+    fields = F.when(F.col("o_orderkey") % 2 == 1, F.map_concat(fields, F.create_map(F.lit("odd"), nodes.as_variant(F.lit(1))))).otherwise(fields)
+    doc = F.to_variant_object(fields)
+    shape = {"f": {"g": {"h": ["`$EXACT`", "O", "F"]}}}
+    for k in "edcba":
+        doc, shape = nodes.jm(**{k: doc}), {k: shape}
+    v = validate(table(spark, d, "orders").select("o_orderkey", doc.alias("doc")), {"doc": shape, "`$OPEN`": True})
+    return v.select("o_orderkey", F.array_join("errs", " | ").alias("errs"))
 
 
 @query("SELECT event_id, user_id, '{\"event_id\":' || CAST(event_id AS VARCHAR) || ',\"user_id\":' || CAST(user_id AS VARCHAR) || '}' AS out FROM events")
@@ -566,10 +600,10 @@ def validate_list(spark, d):
     return validate(_orders(spark, d), shape).select("o_orderkey", F.array_join("errs", " | ").alias("errs"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 9 WHEN 4 THEN '' WHEN 7 THEN 'Empty string at v' ELSE 'Expected field v to be string' END AS errs FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 9 WHEN 4 THEN '' WHEN 7 THEN 'Empty string at v' ELSE 'Expected field v to be string, but found ' || " + _FOUND + " || '.' END AS errs FROM customer")
 def validate_string(spark, d):
     v = validate(_mixed(spark, d), {"v": "`$STRING`", "`$OPEN`": True})
-    return v.select("c_custkey", F.regexp_replace(F.array_join("errs", " | "), ", but found .*", "").alias("errs"))
+    return v.select("c_custkey", F.array_join("errs", " | ").alias("errs"))
 
 
 _KINDS_OF = {"`$DECIMAL`": (3,), "`$NULL`": (0,), "`$MAP`": (6,), "`$LIST`": (5,), "`$NIL`": (0, 8), "`$ANY`": range(9), "`$FUNCTION`": (), "`$INSTANCE`": ()}

@@ -42,6 +42,41 @@ def getelem(v: Column, index: int, alt: Column | None = None) -> Column:
     return found if alt is None else F.coalesce(found, alt)
 
 
+def _step(v: Column, key: Column) -> Column:
+    """v[key] with a key that is text of the row, null kept."""
+    named = F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), key)
+    index = F.when(key.rlike(f"^({_INDEX.pattern})$"), key.try_cast("int"))
+    return F.coalesce(named, F.get(F.try_variant_get(v, "$", "array<variant>"), index))
+
+
+def getprop_at(v: Column, key: Column, alt: Column | None = None, number: bool = False) -> Column:
+    """getprop with a key from the row: text, or (number) a number, which is floored; a null or empty key has no value."""
+    text = key.cast("string")
+    text = F.when(text.rlike(r"^-?[0-9]+\.[0-9]+$"), F.floor(text.try_cast("double")).cast("string")).otherwise(text) if number else text
+    found = F.when(text != "", bind(text, lambda k: kinds.present(_step(v, k))))
+    return found if alt is None else F.coalesce(found, alt)
+
+
+def getelem_at(v: Column, index: Column, alt: Column | None = None) -> Column:
+    """getelem with an index from the row; negative ones count from the end. alt can be a function of the list (a default made when needed)."""
+    at = index.try_cast("int")
+    place = F.when(at >= 0, at + 1).otherwise(at)
+    found = bind(F.try_variant_get(v, "$", "array<variant>"), lambda a: kinds.present(F.try_element_at(a, place)))
+    return found if alt is None else F.coalesce(found, alt(v) if callable(alt) else alt)
+
+
+def getpath_at(v: Column, path: Column, alt: Column | None = None) -> Column:
+    """The value at a dotted path that is a column, as paths.getpath() finds a constant one; a null or empty path is the root.
+
+    An empty step starts again at the root; two in a row lead above it, where nothing is. $$ is a plain $.
+    """
+    steps = F.transform(F.split(F.regexp_replace(path, r"(?s)^.*\.\.|^\.", ""), "\\."), lambda s: F.replace(s, F.lit("$$"), F.lit("$")))
+    walked = kinds.present(F.aggregate(steps, v, lambda at, s: F.when(s != "", _step(at, s))))
+    root = path.isNull() | path.isin("", ".")
+    found = F.when(root, v).when(path.rlike(r"^\.\.|\.\.\.|\.\.$"), F.lit(None).cast("variant")).when(path.endswith("."), v).otherwise(walked)
+    return found if alt is None else F.coalesce(found, alt)
+
+
 def getdef(v: Column, alt: Column) -> Column:
     """alt only where v is absent (null stays)."""
     return F.coalesce(v, alt)

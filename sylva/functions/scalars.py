@@ -91,6 +91,25 @@ def pathify(parts: Column, start: int = 0, end: int = 0) -> Column:
     return F.when(parts.isNull(), F.lit("<unknown-path>")).when(F.size(kept) == 0, F.lit("<root>")).otherwise(F.array_join(F.transform(kept, lambda x: F.replace(x, F.lit("."), F.lit(""))), "."))
 
 
+def pathify_mixed(v: Column, start: int = 0, end: int = 0) -> Column:
+    """Dotted text of a VARIANT list of keys (or of one key): texts without their dots, numbers floored, other parts left out.
+
+    The range is taken from the parts as they stand; nothing left of it is <root>, and a value that is no path names itself.
+    """
+    from . import kinds, nodes
+
+    start, end = max(0, start), max(0, end)
+
+    def dotted(x: Column) -> Column:
+        parts = F.coalesce(kinds.as_list(x), F.when(kinds.is_string(x) | kinds.is_number(x), F.array(x)))
+        ranged = F.slice(parts, start + 1, F.greatest(F.lit(0), F.size(parts) - start - end))
+        keys = F.transform(F.filter(ranged, kinds.iskey), lambda k: F.replace(kinds.strkey(k), F.lit("."), F.lit("")))
+        unknown = F.concat(F.lit("<unknown-path:"), kinds.stringify(x, 47), F.lit(">"))
+        return F.when(x.isNull(), F.lit("<unknown-path>")).when(parts.isNull(), unknown).when(F.size(ranged) == 0, F.lit("<root>")).otherwise(F.array_join(keys, "."))
+
+    return nodes.bind(v, dotted)
+
+
 def flatten(a: Column, depth: int = 1) -> Column:
     for _ in range(depth):
         a = F.flatten(a)

@@ -26,6 +26,8 @@ from .trees import has_ref, misplaced
 _FULL = re.compile(r"`(\$[A-Z]+\d*|[^`]*)`")
 _PART = re.compile(r"`([^`]*)`")
 DROP = object()
+#: Column types of a spec's literals.
+_TYPES = {str: "string", int: "bigint", float: "double", bool: "boolean"}
 
 
 @dataclass
@@ -42,6 +44,8 @@ class Context:
     above: tuple[Node, ...] = ()  # from the root to what holds ``here``
     meta: dict = field(default_factory=dict)
     field: str | None = None  # names the key instead (a sibling `$KEY`)
+    modify: Callable | None = None  # (leaf, its key, context) -> Node or Column, after a leaf is made
+    handler: Callable | None = None  # (value, reference, context) -> Node or Column, after a reference is resolved
 
     def down(self, at: str, **more) -> Context:
         """Beside the value at a step of what is beside this."""
@@ -63,7 +67,15 @@ def _constant(store, path: str) -> str:
 
 
 def _reference(ref: str, cx: Context) -> Node:
-    return _found(ref, cx)[-1]
+    found = _found(ref, cx)[-1]
+    return _value(cx.handler(found, ref, cx)) if cx.handler else found
+
+
+def _modified(made, spec, key: str, cx: Context):
+    """A leaf after the modify hook; maps, lists and what is left out stay."""
+    if not cx.modify or made is DROP or isinstance(spec, (dict, list, tuple)):
+        return made
+    return _value(cx.modify(made if isinstance(made, Node) else _literal_node(spec, made), key, cx))
 
 
 def _found(ref: str, cx: Context) -> tuple[Node, ...]:
@@ -321,9 +333,10 @@ def compile_spec(spec, cx: Context):
             return spec[1](_column(compile_spec(spec[2], cx)))
         if name == "$REF":
             return _again(spec[1], cx)
-        made = [compile_spec(x, cx.slot().down(str(i)) if isinstance(x, dict) else replace(cx.slot(), step=str(i))) for i, x in enumerate(spec)]
+        places = [cx.slot().down(str(i)) if isinstance(x, dict) else replace(cx.slot(), step=str(i)) for i, x in enumerate(spec)]
+        made = [_modified(compile_spec(x, at), x, str(i), at) for i, (x, at) in enumerate(zip(spec, places, strict=True))]
         made = [m for m in made if m is not DROP and not (isinstance(m, Node) and m.absent)]
-        kinds_of = {m.kind.simpleString() if isinstance(m, Node) and m.kind else type(s).__name__ for m, s in zip(made, spec, strict=False)}
+        kinds_of = {m.kind.simpleString() if isinstance(m, Node) and m.kind else _TYPES.get(type(s), type(s).__name__) for m, s in zip(made, spec, strict=False)}
         if len(kinds_of) <= 1:
             return F.array(*map(_column, made))
         return F.array(*(m.as_variant() if isinstance(m, Node) else nodes.as_variant(m) for m in made))
@@ -359,7 +372,7 @@ def compile_map(spec: dict, cx: Context) -> dict[str, Column] | Column:
             continue
         step = re.sub(r"^`|`$", "", k)
         inner = cx.down(step, step=None, key=F.lit(step)) if isinstance(v, dict) and not _is_command(v) else replace(cx, step=step)
-        made = compile_spec(v, inner)
+        made = _modified(compile_spec(v, inner), v, step, inner)
         if made is not DROP and not (isinstance(made, Node) and made.absent):
             out[k] = _column(made)
     merges = sorted(k for k in spec if re.fullmatch(r"`\$MERGE\d*`", k))
@@ -391,19 +404,25 @@ def _is_command(v) -> bool:
     return isinstance(v, list) and bool(v) and isinstance(v[0], str) and v[0].startswith("`$") or isinstance(v, dict) and "`$PACK`" in v
 
 
-def transform(df: DataFrame, spec: dict, doc: str | None = None, extra: dict[str, Callable] | None = None, meta: dict | None = None) -> DataFrame:
-    """One column for each key of spec, from each row (or from the document in column doc)."""
+def transform(df: DataFrame, spec: dict, doc: str | None = None, extra: dict[str, Callable] | None = None, meta: dict | None = None, modify: Callable | None = None, handler: Callable | None = None) -> DataFrame:
+    """One column for each key of spec, from each row (or from the document in column doc).
+
+    modify(leaf, key, context) and handler(value, reference, context) see and replace values as Node; both run while the template is compiled.
+    """
     if wrong := misplaced(spec, extra or ()):
         raise ValueError(" | ".join(wrong))
     df.sparkSession.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     root = Node.row(df) if doc is None else Node(F.col(doc), df.schema[doc].dataType)
-    fields = compile_map(spec, Context(root, root, spec, extra=extra or {}, meta=meta or {}))
+    fields = compile_map(spec, Context(root, root, spec, extra=extra or {}, meta=meta or {}, modify=modify, handler=handler))
     if isinstance(fields, Column):
         raise ValueError("a $PACK or a $MERGE of VARIANT has no fixed columns: put it under a key")
     return df.select(*(c.alias(k) for k, c in fields.items()))
 
 
-def inject(template: str, df: DataFrame) -> Column:
-    """One text template over the row."""
+def inject(template, df: DataFrame, modify: Callable | None = None, handler: Callable | None = None) -> Column:
+    """A template over the row as one column: text, a map (struct) or a list (array)."""
     root = Node.row(df)
-    return _column(_leaf(template, Context(root, root, template)))
+    cx = Context(root, root, template, modify=modify, handler=handler)
+    if isinstance(template, (dict, list, tuple)):
+        return _column(compile_spec(template, cx))
+    return _column(_modified(_leaf(template, cx), template, "", cx) if isinstance(template, str) else F.lit(template))

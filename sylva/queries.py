@@ -13,6 +13,7 @@ from .operators import shapes, trees
 from .operators.merge import merge, merge_agg, merge_depth, merge_layers, merge_maps
 from .operators.nest import nest
 from .operators.select import select, select_children, select_list
+from .operators.tables import pack_table, transform_tables
 from .operators.transform import inject, transform
 from .operators.validate import validate
 from .operators.walk import leaves, rewrite, walk
@@ -776,3 +777,59 @@ def walk_rewrite(spark, d):
         return F.when(key == "flag", F.lit(None).cast("variant")).when(key == "at", nodes.as_variant(F.array_join(path, "/"))).otherwise(v)
 
     return docs.select("o_orderkey", F.to_json(rewrite(F.col("doc"), before, after)).alias("doc"))
+
+
+# ---------------------------------------------------------------- paths that are data, hooks, collections that are tables
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, o_orderstatus, count(*) AS n, max(l_partkey) FILTER (r = 0) AS first, max(l_partkey) FILTER (r = 1) AS second, arg_max(l_partkey, r) AS last FROM orders JOIN {RANKED} ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '"' || o_orderstatus || '"' WHEN 1 THEN CAST(first AS VARCHAR) WHEN 2 THEN CAST(second AS VARCHAR) WHEN 3 THEN NULL ELSE CAST(o_orderkey AS VARCHAR) END AS found,
+  CASE WHEN o_orderkey % 2 = 0 THEN last ELSE first END AS part FROM o""")
+def getpath_dynamic(spark, d):
+    """Paths, keys and indexes that differ from row to row."""
+    k = F.col("o_orderkey")
+    o = _order_docs(spark, d).withColumn("path", F.when(k % 5 == 0, "status").when(k % 5 == 1, "lines.0.part").when(k % 5 == 2, "lines.1.part").when(k % 5 == 3, "lines.x.part").otherwise("id"))
+    line = nodes.getelem_at(nodes.getprop_at(F.col("doc"), F.lit("lines")), F.when(k % 2 == 0, -1).otherwise(0))
+    return o.select("o_orderkey", F.to_json(nodes.getpath_at(F.col("doc"), F.col("path"))).alias("found"), F.try_variant_get(line, "$.part", "bigint").alias("part"))
+
+
+@query("SELECT c_custkey, 'c.' || CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) || '.' ELSE '' END || replace(c_name, '.', '') AS path, replace(c_name, '.', '') AS tail FROM customer")
+def pathify_mixed(spark, d):
+    key = F.when(F.col("c_custkey") % 2 == 0, nodes.as_variant(F.col("c_custkey") + F.lit(0.5))).otherwise(nodes.as_variant(F.col("c_custkey") > 0))
+    parts = F.to_variant_object(F.array(nodes.as_variant(F.lit("c")), key, nodes.as_variant(F.col("c_name"))))
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", scalars.pathify_mixed(parts).alias("path"), scalars.pathify_mixed(parts, 2).alias("tail"))
+
+
+@query("SELECT event_id AS id, '@' || event_type AS kind, '@' || CAST(user_id AS VARCHAR) AS u, 7 AS n FROM events")
+def transform_modify(spark, d):
+    """modify: every leaf below the first becomes text with a mark, but for whole numbers of the template."""
+    mark = lambda leaf, key, cx: leaf if key in ("id", "n") else F.concat(F.lit("@"), leaf.text())
+    t = transform(table(spark, d, "events"), {"id": "`event_id`", "kind": "`event_type`", "m": {"u": "`user_id`", "n": 7}}, modify=mark)
+    return t.select("id", "kind", "m.u", "m.n")
+
+
+@query("SELECT event_id, 'event_type=' || event_type AS a, 'by user_id=' || CAST(user_id AS VARCHAR) || '!' AS b, 'none=' AS c FROM events")
+def inject_handler(spark, d):
+    """handler: a reference names itself; maps and lists are injected whole."""
+    e = table(spark, d, "events")
+    named = lambda value, ref, cx: F.concat(F.lit(f"{ref}="), F.coalesce(value.text(), F.lit("")))
+    made = inject({"a": "`event_type`", "l": ["by `user_id`!", "`none`"]}, e, handler=named)
+    return e.select("event_id", made.alias("x")).select("event_id", "x.a", F.col("x.l")[0].alias("b"), F.col("x.l")[1].alias("c"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS key, arg_max(o_orderkey, o_orderkey) AS last, arg_max(lower(o_orderstatus), o_orderkey) AS status FROM orders GROUP BY 1")
+def transform_pack_table(spark, d):
+    """`$PACK` over all orders by customer: of equal keys the last stays."""
+    packed = pack_table(table(spark, d, "orders"), {"`$KEY`": "o_custkey", "last": "`.o_orderkey`", "status": ["`$FORMAT`", "lower", "`.o_orderstatus`"]}, ["o_orderkey"])
+    return packed.select("key", "value.last", "value.status")
+
+
+@query("SELECT o_orderkey AS id, c_name AS name, 'to ' || coalesce(c_name, '') || ' in ' || coalesce(CAST(c_nationkey AS VARCHAR), '') AS label, (SELECT n_name FROM nation WHERE n_nationkey = 7) AS seven FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def transform_cross_reference(spark, d):
+    """References from an order into the packed map of customers, by a key of the row, and into that of nations, by a key of the template."""
+    customers = pack_table(table(spark, d, "customer"), {"`$KEY`": "c_custkey", "name": "`.c_name`", "nation": "`.c_nationkey`"}, ["c_custkey"])
+    nations = pack_table(table(spark, d, "nation"), {"`$KEY`": "n_nationkey", "`$VAL`": "`.n_name`"}, ["n_nationkey"])
+    spec = {"id": "`o_orderkey`", "name": "`customers.$GET:o_custkey$.name`", "label": "to `customers.$GET:o_custkey$.name` in `customers.$GET:o_custkey$.nation`", "seven": "`nations.7`"}
+    return transform_tables(table(spark, d, "orders"), spec, {"customers": customers, "nations": nations})

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import kinds, nodes, paths, scalars
-from .operators import shapes, trees
+from .operators import condense, shapes, trees
+from .operators.condense import condense_table, expand, expand_table, iscondensed
 from .operators.merge import merge, merge_agg, merge_depth, merge_layers, merge_maps
 from .operators.nest import nest
 from .operators.select import select, select_children, select_list
@@ -451,8 +452,8 @@ def walk_order_nodes(spark, d):
 def condense_roundtrip(spark, d):
     e = table(spark, d, "events")
     c = trees.condense_udf(F.col("props"))
-    back = trees.expand_udf(c)
-    return e.select("event_id", F.regexp_replace(back, ":", ": ").alias("same"), F.try_variant_get(F.parse_json(back), "$.k", "bigint").alias("k"))
+    back = e.select("event_id", expand(F.parse_json(c)).alias("back"))
+    return back.select("event_id", F.regexp_replace(F.to_json("back"), ":", ": ").alias("same"), F.try_variant_get("back", "$.k", "bigint").alias("k"))
 
 
 @query("SELECT event_id, '{\"id\":' || json_extract_string(props, '$.k') || ',\"t\":\"k=' || json_extract_string(props, '$.k') || '\"}' AS out FROM events")
@@ -694,14 +695,13 @@ def condense_encoding(spark, d):
 @query("SELECT c_custkey, c_custkey % 9 = 6 AS condensed FROM customer")
 def iscondensed_kinds(spark, d):
     text = F.when(F.col("c_custkey") % 9 == 6, trees.condense_udf(F.to_json("v"))).otherwise(F.to_json("v"))
-    f = trees.json_udf(lambda v: trees.iscondensed(v))
-    return _mixed(spark, d).select("c_custkey", (f(text) == "true").alias("condensed")).select("c_custkey", F.coalesce("condensed", F.lit(False)).alias("condensed"))
+    return _mixed(spark, d).select("c_custkey", iscondensed(F.parse_json(text)).alias("condensed"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def getpath_condensed(spark, d):
-    f = trees.json_udf(lambda c: trees.getpath(c, "k"))
-    return table(spark, d, "events").select("event_id", f(trees.condense_udf(F.col("props"))).cast("bigint").alias("k"))
+    c = F.parse_json(trees.condense_udf(F.col("props")))
+    return table(spark, d, "events").select("event_id", F.try_variant_get(condense.getpath_condensed(c, "k"), "$", "bigint").alias("k"))
 
 
 @query("SELECT event_id, '{\"K\":' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) * 2 AS VARCHAR) || '}' AS out FROM events")
@@ -833,3 +833,66 @@ def transform_cross_reference(spark, d):
     nations = pack_table(table(spark, d, "nation"), {"`$KEY`": "n_nationkey", "`$VAL`": "`.n_name`"}, ["n_nationkey"])
     spec = {"id": "`o_orderkey`", "name": "`customers.$GET:o_custkey$.name`", "label": "to `customers.$GET:o_custkey$.name` in `customers.$GET:o_custkey$.nation`", "seven": "`nations.7`"}
     return transform_tables(table(spark, d, "orders"), spec, {"customers": customers, "nations": nations})
+
+
+# ---------------------------------------------------------------- condensed values and tables
+
+
+def _tagged_events(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return table(spark, d, "events").select("event_id", document(k.alias("k"), F.col("event_type").alias("type")).alias("doc"))
+
+
+#: Nodes of {"k":..., "type":...}: leaves by hash, then maps by hash.
+_NODES = """
+WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS t FROM events),
+sym AS (SELECT text, row_number() OVER (ORDER BY text) - 1 AS sym FROM (SELECT DISTINCT t AS text FROM e UNION SELECT 'k' FROM e UNION SELECT 'type' FROM e)),
+leaf AS (SELECT h, code, text, row_number() OVER (ORDER BY h) - 1 AS node FROM (SELECT DISTINCT sha256('3:' || k) AS h, 3 AS code, k AS text FROM e UNION SELECT DISTINCT sha256('2:' || t), 2, t FROM e)),
+map AS (SELECT k, t, h, (SELECT count(*) FROM leaf) + row_number() OVER (ORDER BY h) - 1 AS node FROM (SELECT DISTINCT k, t, sha256('0:1:k=' || sha256('3:' || k) || ',4:type=' || sha256('2:' || t)) AS h FROM e))
+"""
+
+
+@query(_NODES + "SELECT sym, text FROM sym")
+def condense_table_symbols(spark, d):
+    return condense_table(_tagged_events(spark, d), ["event_id"], "doc")[0]
+
+
+@query(
+    _NODES
+    + """SELECT CAST(node AS BIGINT) AS node, code, 0 AS height, CAST(coalesce(sym, -1) AS BIGINT) AS sym, CASE WHEN code = 3 THEN leaf.text ELSE '' END AS number, '' AS children FROM leaf LEFT JOIN sym ON code = 2 AND sym.text = leaf.text
+UNION ALL SELECT map.node, 0, 1, -1, '', CAST(a.sym AS VARCHAR) || '=' || CAST(x.node AS VARCHAR) || ',' || CAST(b.sym AS VARCHAR) || '=' || CAST(y.node AS VARCHAR)
+FROM map JOIN leaf x ON x.code = 3 AND x.text = k JOIN leaf y ON y.code = 2 AND y.text = t JOIN sym a ON a.text = 'k' JOIN sym b ON b.text = 'type'"""
+)
+def condense_table_nodes(spark, d):
+    made = condense_table(_tagged_events(spark, d), ["event_id"], "doc")[1]
+    made = made.withColumns({"sym": F.coalesce("sym", F.lit(-1).cast("long")), "number": F.coalesce("number", F.lit(""))})
+    return made.withColumn("children", F.array_join(F.transform("children", lambda c: F.concat_ws("=", c["sym"].cast("string"), c["node"].cast("string"))), ","))
+
+
+@query(_NODES + "SELECT event_id, node FROM e JOIN map USING (k, t)")
+def condense_table_roots(spark, d):
+    return condense_table(_tagged_events(spark, d), ["event_id"], "doc")[2]
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"type\":\"' || event_type || '\"}' AS doc FROM events")
+def condense_table_back(spark, d):
+    back = expand_table(*condense_table(_tagged_events(spark, d), ["event_id"], "doc"))
+    return back.select("event_id", F.to_json("doc").alias("doc"))
+
+
+def _condensed_events(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    text = F.concat(F.lit('{"$condense":1,"sym":["at","k","seen","'), F.col("event_type"), F.lit('"],"node":[[3,'), k, F.lit("],[2,3],[1,0,1,0],[0,1,0,2,2],[0,0,3,1,0]],\"root\":4}"))
+    return table(spark, d, "events").select("event_id", F.parse_json(text).alias("c"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS type, CAST(NULL AS VARCHAR) AS nothing FROM events")
+def condensed_getpath(spark, d):
+    c = F.col("c")
+    got = lambda p: condense.getpath_condensed(c, p)
+    return _condensed_events(spark, d).select("event_id", F.try_variant_get(got("at.seen.2"), "$", "bigint").alias("k"), F.try_variant_get(got("at.seen.1"), "$", "string").alias("type"), F.to_json(got("at.none")).alias("nothing"))
+
+
+@query("SELECT event_id, true AS condensed, '{\"at\":{\"k\":' || k || ',\"seen\":[' || k || ',\"' || event_type || '\",' || k || ']},\"k\":' || k || '}' AS doc FROM (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)")
+def condensed_expand(spark, d):
+    return _condensed_events(spark, d).select("event_id", iscondensed(F.col("c")).alias("condensed"), F.to_json(expand(F.col("c"))).alias("doc"))

@@ -41,14 +41,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, must: bool = False) -> DataFrame:
     """df computed once, in the checkpoint folder that executors share (spark.checkpoint.dir).
 
-    Where it is unset, local mode takes a folder of its own; on a cluster df stays as it is and is computed at each use.
+    Where it is unset, local mode takes a folder of its own; on a cluster df stays as it is and is computed at each use,
+    or (must) it raises, as what follows relies on rows that do not move.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            if must:
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             return df
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sylva-checkpoint-"))
     return df.checkpoint()

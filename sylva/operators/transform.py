@@ -22,6 +22,7 @@ from ..functions import kinds, nodes, paths
 from ..plans.node import ABSENT, Node
 from .merge import merge_variants
 from .trees import has_ref, misplaced
+from .walk import MAXDEPTH, by_levels
 
 _FULL = re.compile(r"`(\$[A-Z]+\d*|[^`]*)`")
 _PART = re.compile(r"`([^`]*)`")
@@ -142,7 +143,7 @@ def _command(name: str, cx: Context):
     if base in cx.extra:
         return cx.extra[base](cx)
     if base == "$COPY":
-        return cx.here.get(cx.step) if cx.step is not None else cx.here
+        return cx.here.child(cx.step) if cx.step is not None else cx.here  # of VARIANT a stored null stays
     if base == "$DELETE":
         return DROP
     if base == "$TOP":
@@ -354,13 +355,52 @@ def _again(path: str, cx: Context):
     if has_ref(sub):
         if own.here.absent:
             return DROP
-        if own.here.is_variant or len(cx.going) > 32:
-            raise ValueError("a $REF that refers to itself over VARIANT needs trees.transform_udf")
+        if own.here.is_variant:
+            return _unrolled(path, sub, own)
+        if len(cx.going) > 32:
+            raise ValueError("a $REF that refers to itself needs data of a fixed depth")
     inner = replace(own if isinstance(sub, (dict, list)) and not _is_command(sub) else cx, going=(*cx.going, path))
     made = compile_spec(sub, inner)
     return F.when(~own.here.missing(), _column(made)) if has_ref(sub) and made is not DROP else made
 
 
+_LOAD = "struct<data:variant,done:variant,many:boolean>"
+
+
+def _unrolled(path: str, sub, cx: Context) -> Column:
+    """A part of the spec that refers to itself, over VARIANT: one copy of it, applied level by level as deep as the data goes (VARIANT).
+
+    Its fields can refer to it by `$REF`, or for each element of what stands in the same place (`$EACH` of "." with `$REF`).
+    """
+    again = ["`$REF`", path]
+    if not isinstance(sub, dict) or any(has_ref(v) and v not in (again, ["`$EACH`", ".", again]) for v in sub.values()) or re.search(r"`\.\.|`\$(PACK|MERGE)", json.dumps(sub, default=str)):
+        raise ValueError("over VARIANT only fields can refer to the part they are in, and none to what is above it: see trees.transform_udf")
+    plain = {k: v for k, v in sub.items() if not has_ref(v)}
+    null = F.lit(None).cast("variant")
+
+    def load(data: Column, done: Column, many: bool) -> Column:
+        return F.struct(data.alias("data"), done.alias("done"), F.lit(many).alias("many")).cast(_LOAD)
+
+    def fields(data: Column, key: Column) -> Column:
+        inner = replace(cx, here=Node.variant(data), above=(), step=None, key=F.coalesce(key, cx.key) if cx.key is not None else key, going=(*cx.going, path))
+        made = [(k, load(null, c if isinstance(plain[k], str) and _is_variant(plain[k], inner) else F.when(c.isNotNull(), nodes.as_variant(c)), False)) for k, c in compile_map(plain, inner).items()]
+        made += [(k, load(kinds.present(nodes.lookup(data, k)), null, v != again)) for k, v in sub.items() if has_ref(v)]
+        pairs = F.array(*(F.struct(F.lit(k).alias("key"), x.alias("load")) for k, x in made))
+        return F.filter(pairs, lambda p: p["load"]["data"].isNotNull() | p["load"]["done"].isNotNull())
+
+    def expand(key: Column, x: Column, parent: Column, at: Column) -> Column:
+        elements = F.transform(nodes.items(x["data"]), lambda e: F.struct(e["key"].alias("key"), load(e["value"], null, False).alias("load")))
+        kids = F.when(x["done"].isNotNull(), F.array().cast(f"array<struct<key:string,load:{_LOAD}>>")).when(x["many"], elements).otherwise(fields(x["data"], key))
+        return F.struct(F.when(x["done"].isNotNull(), "scalar").when(x["many"], "list").otherwise("map").alias("kind"), x["done"].alias("value"), kids.alias("kids"))
+
+    return F.when(~cx.here.missing(), by_levels(load(cx.here.column, null, False), _LOAD, expand, None, 2 * MAXDEPTH))
+
+
+def _is_variant(spec: str, cx: Context) -> bool:
+    made = compile_spec(spec, cx)
+    return isinstance(made, Node) and made.is_variant
+
+
 def compile_map(spec: dict, cx: Context) -> dict[str, Column] | Column:
     """Fields of a map template in order; a Column for `$PACK`."""
     if "`$PACK`" in spec:

@@ -896,3 +896,14 @@ def condensed_getpath(spark, d):
 @query("SELECT event_id, true AS condensed, '{\"at\":{\"k\":' || k || ',\"seen\":[' || k || ',\"' || event_type || '\",' || k || ']},\"k\":' || k || '}' AS doc FROM (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)")
 def condensed_expand(spark, d):
     return _condensed_events(spark, d).select("event_id", iscondensed(F.col("c")).alias("condensed"), F.to_json(expand(F.col("c"))).alias("doc"))
+
+
+@query("SELECT o_orderkey AS id, '{\"key\":' || CAST(o_orderkey AS VARCHAR) || ',\"kind\":\"part\",\"of\":' || CASE WHEN o_orderkey % 3 = 0 THEN '{\"kind\":\"part\"}' ELSE '{\"key\":' || CAST(o_custkey AS VARCHAR) || ',\"kind\":\"part\"' || CASE WHEN o_orderkey % 3 = 2 THEN ',\"of\":{\"key\":\"' || o_orderstatus || '\",\"kind\":\"part\"}' ELSE '' END || '}' END || '}' AS part FROM orders")
+def transform_ref_variant(spark, d):
+    """A part that refers to itself over VARIANT documents of different depths."""
+    k = F.col("o_orderkey")
+    deepest = nodes.jm(key=nodes.as_variant(F.col("o_orderstatus")))
+    inner = F.when(k % 3 == 0, F.parse_json(F.lit("{}"))).when(k % 3 == 1, nodes.jm(key=nodes.as_variant(F.col("o_custkey")))).otherwise(nodes.jm(key=nodes.as_variant(F.col("o_custkey")), of=deepest))
+    docs = table(spark, d, "orders").select("o_orderkey", nodes.jm(key=nodes.as_variant(k), of=inner).alias("part"))
+    t = transform(docs, {"id": "`o_orderkey`", "part": {"key": "`.key`", "kind": "part", "of": ["`$REF`", "part"]}})
+    return t.select("id", F.to_json("part").alias("part"))

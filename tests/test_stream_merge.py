@@ -1,0 +1,50 @@
+"""A stream in two parts merges to what merge_agg makes of the whole table; keys expire."""
+
+import json
+import time
+
+from pyspark.sql import functions as F
+
+from sylva.operators.merge import merge_agg
+from sylva.streaming.merge import merge_stream
+
+DATA = "/root/testdata/sf0.001"
+
+
+def docs(events):
+    text = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"seen":{"'), F.col("event_type"), F.lit('":'), F.col("event_id").cast("string"), F.lit("}}"))
+    return events.select("user_id", "event_id", text.alias("text"))
+
+
+def test_a_stream_in_two_parts(spark, tmp_path):
+    events = docs(spark.read.parquet(f"{DATA}/events.parquet"))
+    half = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    events.where(F.col("event_id") <= half).coalesce(1).write.parquet(str(tmp_path / "one"))
+    events.where(F.col("event_id") > half).coalesce(1).write.parquet(str(tmp_path / "two"))
+    got = {}
+
+    def keep(batch, _):
+        got.update({r.user_id: json.loads(r.doc) for r in batch.collect()})
+
+    for part in ("one", "two"):
+        spark.read.parquet(str(tmp_path / part)).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")).withColumn("doc", F.parse_json("text"))
+        q = merge_stream(stream, "user_id", "event_id", "doc").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(keep).trigger(availableNow=True).start()
+        q.awaitTermination()
+    whole = merge_agg(events.withColumn("doc", F.parse_json("text")), ["user_id"], "event_id", ["doc"])
+    assert got == {str(r.user_id): json.loads(r.doc) for r in whole.select("user_id", F.to_json("doc").alias("doc")).collect()}
+
+
+def test_keys_expire(spark, tmp_path):
+    got = []
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else a query that waits for expiry never ends
+    for user, text in (("k", '{"a":1}'), ("k", '{"b":2}'), ("other", "{}"), ("k", '{"c":3}')):
+        spark.createDataFrame([(user, 1, text)], "user string, at int, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("user string, at int, text string").parquet(str(tmp_path / "in")).withColumn("doc", F.parse_json("text"))
+        merged = merge_stream(stream, "user", "at", "doc", expire_ms=30_000 if user == "k" else 1)
+        if user == "other":
+            time.sleep(31)
+        q = merged.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda b, _: got.extend(r.doc for r in b.collect())).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert got == ['{"a":1}', '{"a":1,"b":2}', "{}", '{"c":3}']
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")

@@ -1,9 +1,9 @@
 """transform: by-example templates compiled to columns.
 
 A leaf that is one backtick reference keeps the type of what it names, references inside text become text, other leaves
-are literals. Maps become structs, lists become arrays (of VARIANT if mixed). Commands: `$COPY`, `$DELETE`, `$KEY`, `$BT`,
+are literals. Maps become nested rows, lists become arrays (of VARIANT if mixed). Commands: `$COPY`, `$DELETE`, `$KEY`, `$BT`,
 `$DS`, `$WHEN`; as list heads `$EACH`, `$REF`, `$FORMAT`, `$APPLY`; as map keys `$PACK` and `$MERGE`.
-References with leading dots go up from the data beside them. Absent values are NULL (a struct's fields are fixed); specs whose
+References with leading dots go up from the data beside them. Absent values are NULL (the fields of a column type are fixed); specs whose
 shape depends on the data go through sylva.operators.trees instead. Misplaced commands raise when the template is compiled.
 """
 
@@ -460,7 +460,7 @@ def transform(df: DataFrame, spec: dict, doc: str | None = None, extra: dict[str
 
 
 def inject(template, df: DataFrame, modify: Callable | None = None, handler: Callable | None = None) -> Column:
-    """A template over the row as one column: text, a map (struct) or a list (array)."""
+    """A template over the row as one column: text, a map (nested row) or a list (array)."""
     root = Node.row(df)
     cx = Context(root, root, template, modify=modify, handler=handler)
     if isinstance(template, (dict, list, tuple)):

@@ -259,7 +259,7 @@ def _completed_list(node: Node, own: Column, shape: list) -> Column:
 
 
 def _by_trees(df: DataFrame, node: Node, shape, extra: dict | None, meta: dict | None) -> Column:
-    """struct(out: JSON text, errs) of the tree engine over the document's JSON text."""
+    """Row (out: JSON text, errs) of the tree engine over the document's JSON text."""
     v = node.column if isinstance(node.kind, (StructType, MapType, ArrayType, VariantType)) else node.as_variant()
     return shapes.checked_udf(shape, extra, meta)(F.to_json(v))
 

@@ -22,7 +22,7 @@ _ROW = "struct<key:string,path:array<string>,ord:array<int>,depth:int,kind:strin
 
 
 def opened(v: Column) -> Column:
-    """struct(v, m, a): a value with its entries if it is a map, or its elements if it is a list."""
+    """Fields v, m and a: a value with its entries if it is a map, or its elements if it is a list."""
     return F.struct(v.alias("v"), F.try_variant_get(v, "$", "map<string,variant>").alias("m"), F.try_variant_get(v, "$", "array<variant>").alias("a"))
 
 

@@ -53,7 +53,7 @@ def test_transform_is_that_of_trees(spark, spec):
     made = transform(table(spark, docs), spec, doc="d", meta={"pick": "app"})
     got = [json.loads(r[0]) for r in made.select(F.to_json(F.struct("*"))).collect()]
 
-    def tidy(x):  # a struct's fields are fixed: NULL stands for absent
+    def tidy(x):  # the fields of a column type are fixed: NULL stands for absent
         return {k: tidy(v) for k, v in x.items() if v is not None and tidy(v) != {}} if isinstance(x, dict) else [tidy(v) for v in x] if isinstance(x, list) else trees.plain(x)
 
     want = [trees.transform(d, spec, meta={"pick": "app"}) for d in docs]
